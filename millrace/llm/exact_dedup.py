@@ -46,6 +46,7 @@ def run_stream(arrivals: DataFrame, path: str) -> DataFrame:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
@@ -88,8 +89,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         arrivals.join(state.where("n > 1"), "digest").select("digest", "at", "keep", F.ceil(F.col("n") / ROWS_PER_COPY).cast("int").alias("copies")),
         "hits",
     )
-    differing = _differing(docs, hits, id_col, text_col, digest)
-    regroup = _by_text(docs, arrivals, differing, id_col, text_col, digest)
+    texts = written(_texts(docs, hits, id_col, text_col, digest), "texts")
+    differing = _differing(texts)
+    regroup = _by_text(texts, differing)
     plain = arrivals.join(state, "digest").join(differing, "digest", "left_anti").select("at", "keep", "n", "sha")
     return plain.unionByName(regroup).select(
         F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
@@ -98,27 +100,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """The hits with their texts, fetched by identifier; the digest settles which of repeated identifiers is meant."""
+    """The hits with their texts, fetched by identifier; the digest settles which of repeated identifiers is meant.
+
+    One shuffle by identifier, which no group of copies can skew, and only the hits go on from it.
+    """
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
-    found = raw.join(hits.withColumn("hit_id", F.col("at.id")), F.col("id").eqNullSafe(F.col("hit_id")))
+    found = raw.join(hits.withColumn("hit_id", F.col("at.id")).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hit_id")))
     found = found.withColumn("norm", normalised(F.col("raw"))).where(digest(F.col("norm")) == F.col("digest"))
     return found.select("digest", "at", "keep", "copies", "norm")
 
 
-def _differing(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+def _differing(texts: DataFrame) -> DataFrame:
     """Digests under which some row's bytes differ from the retained row's; a hot digest is spread over copies."""
-    texts = _texts(docs, hits, id_col, text_col, digest)
     kept = texts.where("at = keep").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     rows = texts.where("at != keep").withColumn("copy", F.pmod(F.xxhash64("at.row"), F.col("copies")).cast("int"))
     return written(rows.join(kept, ["digest", "copy"]).where("norm != kept_norm").select("digest").distinct(), "differing")
 
 
-def _by_text(docs: DataFrame, arrivals: DataFrame, differing: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+def _by_text(texts: DataFrame, differing: DataFrame) -> DataFrame:
     """Rows of colliding digests, grouped by the text itself."""
-    again = arrivals.join(differing, "digest", "left_semi").select("digest", "at", "sha", F.lit(1).alias("copies"), F.col("at").alias("keep"))
-    texts = _texts(docs, again, id_col, text_col, digest).select("digest", "at", "norm").dropDuplicates(["at"]).withColumn("sha", sha256_digest(F.col("norm")))
-    groups = texts.groupBy("digest", "norm").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("n"))
-    return texts.join(groups, ["digest", "norm"]).select("at", "keep", "n", "sha")
+    again = texts.join(differing, "digest", "left_semi").select("digest", "at", "norm").withColumn("sha", sha256_digest(F.col("norm")))
+    groups = again.groupBy("digest", "norm").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("n"))
+    return again.join(groups, ["digest", "norm"]).select("at", "keep", "n", "sha")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
