@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, token_count
+from . import decontaminate, exact_dedup, mixing, near_dedup, secret_scan, token_count
 from .shared import table
 
 #: Target mix of op4 and of the pipeline's last stage.
@@ -50,6 +50,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -59,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_count_tokens, op4_mix_sources, op5_decontaminate, op8_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_count_tokens, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
