@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secret_scan, token_count
+from . import decontaminate, exact_dedup, mixing, near_dedup, quality, secret_scan, token_count
 from .shared import table
 
 #: Target mix of op4 and of the pipeline's last stage.
@@ -34,6 +34,10 @@ def total_tokens() -> Column:
     return F.expr("sum(tokens) div 2")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, WEIGHTS, total_tokens(), words(F.col("text")), domain(F.col("source")), SEED, EPOCHS)
@@ -63,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_count_tokens, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
