@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, quality, secret_scan, token_count
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, token_count
 from .shared import table
 
 #: Target mix of op4 and of the pipeline's last stage.
@@ -62,12 +62,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
