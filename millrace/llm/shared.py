@@ -24,7 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later jobs start from the files, not the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table stands, so its shuffles can go
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
