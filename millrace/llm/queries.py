@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, token_count
+from . import chat_format, decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, substring_dedup, token_count
 from .shared import table
 
 #: Target mix of op4 and of the pipeline's last stage.
@@ -63,6 +63,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -80,7 +85,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
