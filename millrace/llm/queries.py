@@ -84,8 +84,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
