@@ -1,11 +1,208 @@
-"""Named queries over the test tables, with the SQL that each is held against."""
+"""Named queries over the test tables, with the SQL that each is held against.
+
+The corpus of most is `embeddings`: 64 inputs and the label as output, dealt over 8 files by vec_id.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import measure
+from ..functions import bf16
+from ..operators import quantise as quantising
+from ..operators import records as recs
+from ..operators import sample as sampling
+from ..operators.fuzz import Policy, counts, fuzz
+from ..shape import RecordShape
+from ..sources.verify import not_contained
+from .pipeline import Pipeline, stage_seed
+
+SEED, RATE, SHAPE = 20260831, 0.25, RecordShape(64, 1)
+POLICIES = {
+    "fuzz_uniform_absolute": Policy.named("uniform", 0.05, "absolute"),
+    "fuzz_uniform_relative": Policy.named("uniform", 0.05, "relative"),
+    "fuzz_gaussian_absolute": Policy.named("gaussian", 0.05, "absolute"),
+    "fuzz_gaussian_relative": Policy.named("gaussian", 0.05, "relative"),
+    "fuzz_targets_outputs": Policy.named("uniform", 0.5, "absolute", "outputs"),
+    "fuzz_targets_all": Policy.named("uniform", 0.5, "absolute", "all"),
+    "fuzz_clamped": Policy.named("uniform", 1000.0, "absolute", "inputs", -1.0, 1.0),
+    "fuzz_one_sided": Policy.named("uniform", 1000.0, "absolute", "inputs", 0.0),
+}
+STEPS = ({"transform": "sample", "rate": RATE}, {"transform": "fuzz", "distribution": "gaussian", "scale": 0.01, "mode": "relative"}, {"transform": "quantise", "scheme": "bfloat16"})
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return recs.from_table(table, "vec_id", F.concat("embedding", F.array(F.col("label").cast("float"))))
+
+
+def each(records: DataFrame) -> DataFrame:
+    """A row per value."""
+    rows = records.select("pos", F.posexplode("values").alias("i", "value"))
+    return rows.select("pos", F.col("i").cast("bigint").alias("i"), F.col("value").cast("double").alias("value"))
+
+
+def scan_records(spark, d):
+    return each(corpus(spark, d))
+
+
+def corpus_geometry(spark, d):
+    rows = corpus(spark, d).select(F.size("values").alias("n"))
+    n, width = F.count(F.lit(1)), F.max("n").cast("bigint")
+    return rows.agg(n.alias("record_count"), width.alias("record_values"), (width * 4).alias("bytes_per_record"), (n * width * 4).alias("total_bytes"))
+
+
+def discovery_order(spark, d):
+    return corpus(spark, d).groupBy("file_name", "file_ord").agg(F.count(F.lit(1)).alias("records")).select("file_name", F.col("file_ord").cast("bigint").alias("file_ord"), "records")
+
+
+def read_record(spark, d):
+    return each(recs.read_record(corpus(spark, d), 17, 500))
+
+
+def split_inputs_outputs(spark, d):
+    return corpus(spark, d).select("pos", F.aggregate(F.slice("values", 1, 64), F.lit(0.0), lambda a, v: a + v.cast("double")).alias("input_sum"), F.element_at("values", 65).cast("double").alias("output"))
+
+
+def synthetic_corpus(spark, d):
+    return each(recs.synthetic(spark, 4, 25, RecordShape(3, 1)))
+
+
+def sample_bernoulli(spark, d):
+    return sampling.kept(corpus(spark, d), RATE, SEED).select("pos")
+
+
+def sample_full_rate(spark, d):
+    return sampling.kept(corpus(spark, d), 1.0, SEED).agg(F.count(F.lit(1)).alias("kept"))
+
+
+def sample_block_shuffle(spark, d):
+    out = sampling.sample(corpus(spark, d), RATE, SEED)
+    return out.select(F.col("file_ord").cast("bigint").alias("file_ord"), "rec_idx", "pos")
+
+
+def sample_share_by_file(spark, d):
+    out = sampling.share_by_file(corpus(spark, d), RATE, SEED)
+    return out.select(F.col("file_ord").cast("bigint").alias("file_ord"), "records_read", "records_kept")
+
+
+def sample_names(spark, d):
+    rates = spark.createDataFrame([(r,) for r in (1.0, 0.5, 0.125, 0.05, 0.004)], "rate double")
+    return rates.select("rate", F.concat(F.lit("sample-"), F.round(F.col("rate") * 100).cast("int").cast("string"), F.lit(".bin")).alias("file_name"))
+
+
+def whole_pass_bytes(spark, d):
+    size = corpus(spark, d).groupBy("file_ord").agg((F.count(F.lit(1)) * SHAPE.bytes_per_record).alias("bytes")).agg(F.sum("bytes").alias("bytes"))
+    kept = F.ceil(F.floor(F.col("bytes") / SHAPE.bytes_per_record) * RATE) * SHAPE.bytes_per_record
+    return size.select((kept + F.ceil(kept / 100)).cast("bigint").alias("expected_bytes"))
+
+
+def quantise_bf16(spark, d):
+    return each(quantising.quantise(corpus(spark, d)))
+
+
+def quantise_bf16_expression(spark, d):
+    """The rounding as a column expression, on a plain table."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").cast("float").alias("x"))
+    return rows.select("pos", bf16.rounded(F.col("x")).cast("double").alias("value"))
+
+
+def quantise_error(spark, d):
+    before = corpus(spark, d)
+    out = quantising.error_report(before, quantising.quantise(before))
+    return out.select("values", "non_zero", F.round("max_relative", 9).alias("max_relative"), F.round("mean_relative", 9).alias("mean_relative"), F.round("max_absolute", 9).alias("max_absolute"))
+
+
+def storage_reduction(spark, d):
+    n = F.count(F.lit(1)) * SHAPE.values
+    return corpus(spark, d).agg((1 - (n * 2) / (n * 4)).alias("reduction"))
+
+
+def fuzz_query(policy: Policy):
+    return lambda spark, d: each(fuzz(corpus(spark, d), policy, SHAPE, SEED))
+
+
+def fuzz_counts(spark, d):
+    return counts(corpus(spark, d), POLICIES["fuzz_clamped"], SHAPE, SEED)
+
+
+def fuzz_preserve_non_finite(spark, d):
+    """Every third record starts with NaN, every fifth then has an infinity: what becomes of them, by class."""
+    rows = corpus(spark, d)
+    marked = F.transform("values", lambda v, i: F.when((i == 0) & (F.col("pos") % 3 == 0), F.lit(float("nan"))).when((i == 1) & (F.col("pos") % 5 == 0), F.lit(float("inf"))).otherwise(v).cast("float"))
+    out = fuzz(rows.withColumn("values", marked), POLICIES["fuzz_clamped"], SHAPE, SEED).select(F.explode("values").alias("v"))
+    v = F.col("v")
+    return out.agg(F.count_if(F.isnan(v)).alias("nans"), F.count_if(v == float("inf")).alias("infinities"), F.count_if(~F.isnan(v) & (F.abs(v) != float("inf"))).alias("finite"))
+
+
+def run(steps: tuple):
+    return lambda spark, d: each(Pipeline(steps).apply(corpus(spark, d), SHAPE, SEED)[0])
+
+
+def stage_seeds(spark, d):
+    return spark.createDataFrame([(k, str(stage_seed(SEED, k))) for k in (1, 2, 3)], "position long, seed string")
+
+
+def record_digests(spark, d):
+    text = F.array_join(F.transform("values", lambda v: F.round(v.cast("double") * 1_000_000).cast("bigint").cast("string")), ",")
+    return corpus(spark, d).select("pos", F.sha2(text, 256).alias("digest"))
+
+
+def sample_containment(spark, d):
+    source = corpus(spark, d)
+    return not_contained(sampling.sample(source, RATE, SEED), source).agg(F.count(F.lit(1)).alias("not_in_source"))
+
+
+def baseline_compare(spark, d):
+    """Two sets of made-up cases: orders by priority, of customers with even and with odd keys, some left out."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+
+    def cases(odd: int, without: str) -> DataFrame:
+        part = orders.where((F.col("o_custkey") % 2 == odd) & (F.col("o_orderpriority") != without))
+        n, key = F.count(F.lit(1)), F.sum("o_orderkey").cast("bigint")
+        return part.groupBy(F.col("o_orderpriority").alias("label")).agg(
+            F.lit(1000).cast("bigint").alias("elapsed_ms"), F.max("o_custkey").cast("bigint").alias("peak_rss_kib"), key.alias("input_bytes"),
+            key.alias("output_bytes"), n.alias("records_read"), n.alias("records_written"),
+        )
+
+    return measure.compared(cases(0, "1-URGENT"), cases(1, "5-LOW"), 0.01)
+
+
+def derived_metrics(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("label")).agg(
+        F.lit(1500).cast("bigint").alias("elapsed_ms"), (F.count(F.lit(1)) * 8).alias("input_bytes"), (F.count(F.lit(1)) * 4).alias("output_bytes"), F.count(F.lit(1)).alias("records_read"),
+    )
+    return measure.derived(orders).select("label", F.round("records_per_second", 6).alias("records_per_second"), F.round("output_ratio", 6).alias("output_ratio"))
+
+
+def metadata_valid(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", F.when(F.col("p_partkey") % 2 == 0, "-").otherwise(" ")), F.lit("=")).alias("entry"))
+    key = F.substring_index("entry", "=", 1)
+    return rows.select("p_partkey", (key.rlike(r"^[A-Za-z0-9_.-]{1,64}$") & (F.octet_length(F.substring_index("entry", "=", -1)) <= 1024)).alias("valid"))
+
+
+def manifest_timestamp(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    return rows.select("event_id", F.date_format(F.timestamp_seconds(F.col("event_id") * 86399), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+
 
 def queries() -> dict:
-    return {}
+    plain = (
+        scan_records, corpus_geometry, discovery_order, read_record, split_inputs_outputs, synthetic_corpus, sample_bernoulli,
+        sample_full_rate, sample_block_shuffle, sample_share_by_file, sample_names, whole_pass_bytes, quantise_bf16,
+        quantise_bf16_expression, quantise_error, storage_reduction, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
+        record_digests, sample_containment, baseline_compare, derived_metrics, metadata_valid, manifest_timestamp,
+    )
+    found = {f.__name__: f for f in plain} | {name: fuzz_query(p) for name, p in POLICIES.items()}
+    return found | {
+        "pipeline_sample_fuzz_quantise": run(STEPS),
+        "pipeline_quantise_fuzz": run((STEPS[2], STEPS[1])),
+        "pipeline_fuzz_quantise": run((STEPS[1], STEPS[2])),
+    }
+
 
+def oracle_sql() -> dict[str, str]:
+    from . import oracle
 
-def oracle_sql() -> dict:
-    return {}
+    return oracle.all_sql()
