@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -195,7 +197,8 @@ def worth_a_look(texts: pa.Array) -> pa.Array:
 
 
 def labelled(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, credential) of the base spans, and of ordinary candidates with kind `other`: what the models learn from."""
+    """(kind, credential) of the base spans, and of candidates without a digit with kind `other`: what the models
+    learn from. The latter are no secrets, so formats not labelled yet stay out of the background."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -207,8 +210,9 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
                     kinds.append(kind)
                     found.append(credential[:256])
                 for _, _, s in candidates(text, base):
-                    kinds.append("other")
-                    found.append(s[:256])
+                    if not any(map(str.isdigit, s)):
+                        kinds.append("other")
+                        found.append(s[:256])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "credential"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "kind string, credential string")
@@ -217,7 +221,7 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, Automaton], Background]:
     """An automaton per kind, and the background, each from at most `sample` distinct strings: those whose hashes
     are smallest over the whole table, so the choice depends on no order or partition."""
-    strings = labelled(docs, text_col).distinct()
+    strings = written(labelled(docs, text_col).distinct(), "credentials")
     kept = {}
     for kind in (*KINDS[:3], "other"):
         rows = strings.where(F.col("kind") == kind).orderBy(F.xxhash64("credential"), "credential").limit(sample)
