@@ -23,8 +23,15 @@ def rounded(x: Column) -> Column:
 def encode(values: np.ndarray) -> np.ndarray:
     """float32 to the 16 bits of bfloat16; a NaN stays one, with its quiet bit set."""
     bits = np.ascontiguousarray(values, np.float32).view(np.uint32)
-    near = (bits.astype(np.uint64) + 0x7FFF + ((bits >> 16) & 1)) >> 16
-    return np.where(np.isnan(values), (bits >> 16) | 0x40, near).astype(np.uint16)
+    near = bits >> 16
+    near &= 1
+    near += 0x7FFF
+    near += bits  # wraps only for NaN
+    near >>= 16
+    nan = np.isnan(values)
+    if nan.any():
+        near[nan] = (bits[nan] >> 16) | 0x40
+    return near.astype(np.uint16)
 
 
 def decode(bits: np.ndarray) -> np.ndarray:

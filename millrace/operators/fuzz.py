@@ -104,14 +104,16 @@ def perturbed(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray,
 def fuzz(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> DataFrame:
     """Noise on the targeted values. Values that are not finite stay as they are; a finite one that would stop
     being finite fails the job, whatever the bounds; `first_failure` names the first."""
-    def change(values: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        new, touched, _ = perturbed(policy, shape, seed, values, pos)
-        if bad := np.argwhere(touched & ~np.isfinite(new)).tolist():
-            r, v = bad[0]
-            raise NonFiniteResult(record=int(pos[r]), value=v, original=float(values[r, v]), perturbed=float(new[r, v]))
-        return new
-
-    return map_values(records, change)
+    return map_values(records, lambda values, pos: checked(policy, shape, seed, values, pos))
+
+
+def checked(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The new values; raises for the first that stops being finite."""
+    new, touched, _ = perturbed(policy, shape, seed, values, pos)
+    if bad := np.argwhere(touched & ~np.isfinite(new)).tolist():
+        r, v = bad[0]
+        raise NonFiniteResult(record=int(pos[r]), value=v, original=float(values[r, v]), perturbed=float(new[r, v]))
+    return new
 
 
 def _marked(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,11 @@ class Scheme(Enum):
 
 def quantise(records: DataFrame, scheme: Scheme = Scheme.BFLOAT16) -> DataFrame:
     """Each value rounded to the scheme's precision, ties to even, by the codec that files are written with."""
-    return map_values(records, lambda values, pos: bf16.decode(bf16.encode(values)))
+    return map_values(records, lambda values, pos: rounded(values))
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    return bf16.decode(bf16.encode(values))
 
 
 def storage_reduction(source_bytes: int, output_bytes: int) -> float:

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ..errors import EmptyPipeline, InvalidConfig, MillraceError, StageFailed, UnsupportedConfigVersion
@@ -43,6 +44,8 @@ class Stage:
     apply: Callable[[DataFrame, RecordShape], DataFrame]
     reshape: Callable[[RecordShape], RecordShape] = lambda shape: shape
     file_name: str = ""
+    #: Of a stage that changes values alone: what it does to an array of records, given their positions.
+    change: Callable[[np.ndarray, np.ndarray, RecordShape], np.ndarray] | None = None
 
     def record(self) -> dict:
         return {"name": self.name, "parameters": self.parameters} | ({"seed": self.seed} if self.seed is not None else {})
@@ -54,9 +57,9 @@ def _plan(name: str, spec: dict, position: int, seed: int) -> Stage:
         return Stage(position, name, seed, {"rate": rate}, lambda df, _: sampling.sample(df, rate, seed), file_name=sampling.file_name(rate))
     if name == "fuzz":
         policy = fuzzing.Policy.named(spec["distribution"], spec["scale"], spec["mode"], spec.get("targets", "inputs"), spec.get("clamp_min"), spec.get("clamp_max"))
-        return Stage(position, name, seed, policy.parameters(), lambda df, shape: fuzzing.fuzz(df, policy, shape, seed), file_name=policy.file_name)
+        return Stage(position, name, seed, policy.parameters(), lambda df, shape: fuzzing.fuzz(df, policy, shape, seed), file_name=policy.file_name, change=lambda values, pos, shape: fuzzing.checked(policy, shape, seed, values, pos))
     scheme = quantising.Scheme.named(spec["scheme"])
-    return Stage(position, name, None, {"scheme": scheme.value}, lambda df, _: quantising.quantise(df, scheme), lambda shape: shape.encoded(scheme.encoding), scheme.file_name)
+    return Stage(position, name, None, {"scheme": scheme.value}, lambda df, _: quantising.quantise(df, scheme), lambda shape: shape.encoded(scheme.encoding), scheme.file_name, lambda values, pos, shape: quantising.rounded(values))
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ import os
 import secrets
 import shutil
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -53,7 +53,7 @@ def staged(destination: str) -> Iterator[str]:
 
 
 def encoded(values: np.ndarray, encoding: Encoding) -> bytes:
-    return values.astype("<f4").tobytes() if encoding is Encoding.FLOAT32 else bf16.encode(values).astype("<u2").tobytes()
+    return np.ascontiguousarray(values, "<f4").tobytes() if encoding is Encoding.FLOAT32 else bf16.encode(values).astype("<u2").tobytes()
 
 
 def write_pieces(records: DataFrame, shape: RecordShape, directory: str) -> list[dict]:
@@ -61,49 +61,93 @@ def write_pieces(records: DataFrame, shape: RecordShape, directory: str) -> list
 
     A retried task writes under a name of its own attempt, and only the attempt that reports counts.
     """
-    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, digest, n, low = f"piece-{secrets.token_hex(8)}", hashlib.sha256(), 0, None
-        with open(os.path.join(directory, name), "wb") as f:
-            for batch in it:
-                column = batch.column(1)
-                lengths = np.diff(column.offsets.to_numpy())
-                if wrong := lengths[lengths != shape.values].tolist():
-                    raise RecordLengthMismatch(path=name, expected=shape.values, actual=wrong[0])
-                raw = encoded(column.flatten().to_numpy(zero_copy_only=False), shape.encoding)
-                f.write(raw)
-                digest.update(raw)
-                low = batch.column(0)[0].as_py() if low is None and batch.num_rows else low
-                n += batch.num_rows
-            f.flush()
-            os.fsync(f.fileno())
-        if n == 0:
-            os.unlink(os.path.join(directory, name))
-            return
-        yield pa.RecordBatch.from_pylist([{"low": low, "name": name, "records": n, "bytes": n * shape.bytes_per_record, "sha256": digest.hexdigest()}])
+    def arrays(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in it:
+            column = batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy())
+            if wrong := lengths[lengths != shape.values].tolist():
+                raise RecordLengthMismatch(path=directory, expected=shape.values, actual=wrong[0])
+            yield batch.column(0).to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
 
     ordered = records.select("pos", "values").repartitionByRange("pos").sortWithinPartitions("pos")
-    written = ordered.mapInArrow(pieces, "low bigint, name string, records bigint, bytes bigint, sha256 string").orderBy("low").collect()
-    wanted = {r["name"] for r in written}
+    return collect_pieces(ordered.mapInArrow(lambda it: piece(arrays(it), shape, directory), PIECES), directory)
+
+
+PIECES = "low bigint, name string, records bigint, bytes bigint, sha256 string"
+
+
+def piece(arrays: Iterator[tuple[np.ndarray, np.ndarray]], shape: RecordShape, directory: str) -> Iterator[pa.RecordBatch]:
+    """A task's (positions, values), in order, as one file; a row that tells of it."""
+    name, digest, n, low = f"piece-{secrets.token_hex(8)}", hashlib.sha256(), 0, None
+    with open(os.path.join(directory, name), "wb") as f:
+        for pos, values in arrays:
+            raw = encoded(values, shape.encoding)
+            f.write(raw)
+            digest.update(raw)
+            low = int(pos[0]) if low is None and len(pos) else low
+            n += len(pos)
+        f.flush()
+        os.fsync(f.fileno())
+    if n:
+        yield pa.RecordBatch.from_pylist([{"low": low, "name": name, "records": n, "bytes": n * shape.bytes_per_record, "sha256": digest.hexdigest()}])
+    else:
+        os.unlink(os.path.join(directory, name))
+
+
+def collect_pieces(told: DataFrame, directory: str) -> list[dict]:
+    """The pieces that tasks told of, in order; files of attempts that did not report go."""
+    found = [r.asDict() for r in told.orderBy("low").collect()]
+    wanted = {p["name"] for p in found}
     for name in os.listdir(directory):
         if name.startswith("piece-") and name not in wanted:
             os.unlink(os.path.join(directory, name))
-    return [r.asDict() for r in written]
+    return found
+
+
+def write_in_place(write: Callable[[str], DataFrame], path: str, width: int) -> int:
+    """Have tasks write their records at their own places in one file, and return how many there are.
+
+    `write(path)` makes a frame whose rows say (records, end): a retried task writes the same bytes again.
+    """
+    open(path, "wb").close()
+    row = write(path).agg(F.sum("records").alias("n"), F.max("end").alias("end")).first()
+    n = row["n"] or 0
+    if (row["end"] or 0) != n:
+        raise InvariantBroken(check="published bytes", detail=f"positions reach {row['end']} for {n} records")
+    return n
+
+
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def _output(file: str, count: int, size: int, digest: str) -> dict:
+    return {"file": file, "record_count": count, "bytes": size, "checksum": {"algorithm": "sha256", "value": digest}}
 
 
 def publish(
-    records: DataFrame, shape: RecordShape, destination: str, file_name: str, transform: dict, source: dict, metadata: dict,
+    records: DataFrame | None, shape: RecordShape, destination: str, file_name: str, transform: dict, source: dict, metadata: dict,
     source_shape: RecordShape | None = None, stages: list[dict] | None = None, single_file: bool = True,
+    write: Callable[[str], DataFrame] | None = None, pieces: Callable[[str], list[dict]] | None = None,
 ) -> dict:
     """Publish records as a corpus and return its manifest. With `single_file` they are one file, `file_name`;
-    else its pieces, numbered, with `output.file` naming the first and `output.files` all."""
+    else its pieces, numbered, with `output.file` naming the first and `output.files` all.
+
+    Records come as a frame in any partitioning, or from `write` and `pieces`, which have tasks write them in place
+    or as pieces without passing them on.
+    """
+    pieces = pieces or (lambda directory: write_pieces(records, shape, directory))
     with staged(destination) as staging:
-        pieces = write_pieces(records, shape, staging)
-        count = sum(p["records"] for p in pieces)
-        if single_file:
-            digest, path = hashlib.sha256(), os.path.join(staging, file_name)
+        path = os.path.join(staging, file_name)
+        if single_file and write:
+            count = write_in_place(write, path, shape.bytes_per_record)
+            output = _output(file_name, count, os.path.getsize(path), file_digest(path))
+        elif single_file:
+            count, digest = 0, hashlib.sha256()
             with open(path, "wb") as out:
-                for p in pieces:
-                    own = os.path.join(staging, p["name"])
+                for p in pieces(staging):
+                    count, own = count + p["records"], os.path.join(staging, p["name"])
                     with open(own, "rb") as f:
                         while raw := f.read(BLOCK):
                             digest.update(raw)
@@ -111,13 +155,14 @@ def publish(
                     os.unlink(own)
                 out.flush()
                 os.fsync(out.fileno())
-            output = {"file": file_name, "record_count": count, "bytes": os.path.getsize(path), "checksum": {"algorithm": "sha256", "value": digest.hexdigest()}}
+            output = _output(file_name, count, os.path.getsize(path), digest.hexdigest())
         else:
             stem, listed = file_name.removesuffix(".bin"), []
-            for k, p in enumerate(pieces):
+            for k, p in enumerate(pieces(staging)):
                 name = f"{stem}-{k:05d}.bin"
                 os.rename(os.path.join(staging, p["name"]), os.path.join(staging, name))
-                listed.append({"file": name, "record_count": p["records"], "bytes": p["bytes"], "checksum": {"algorithm": "sha256", "value": p["sha256"]}})
+                listed.append(_output(name, p["records"], p["bytes"], p["sha256"]))
+            count = sum(x["record_count"] for x in listed)
             output = {"file": listed[0]["file"] if listed else None, "record_count": count, "bytes": sum(x["bytes"] for x in listed), "files": listed}
         if output["bytes"] != count * shape.bytes_per_record:
             raise InvariantBroken(check="published bytes", detail=f"{output['bytes']} for {count} records")

@@ -6,55 +6,49 @@ import errno
 
 from pyspark.sql import SparkSession
 
-from .errors import MillraceError, StageFailed, StorageFull
+from .errors import StageFailed, StorageFull
 from .functions.draws import fresh_seed
 from .operators import sample as sampling
-from .operators.records import one_file
-from .plans.pipeline import VERSION, Pipeline
+from .plans.pipeline import VERSION, Pipeline, Stage
 from .shape import RecordShape
 from .sources import manifest as manifests
 from .sources.discover import checked_destination, corpus_files, record_counts
-from .sources.fixedwidth import read_corpus
+from .sources.gather import Gather
 from .sources.publish import publish
 from .sources.verify import check_declaration
 
 
 def run_pipeline(spark: SparkSession, source: str, output: str, shape: RecordShape, pipeline: Pipeline, seed: int | None = None, metadata: dict | None = None, single_file: bool = True) -> dict:
     """Run all stages as one plan and publish once. Returns the manifest."""
-    stages = pipeline.plan(0)
-    destination = checked_destination(source, output)
-    check_declaration(source, shape)
-    files = corpus_files(source)
-    counts = record_counts(files, shape)
-    seed = next((s for s in (seed, pipeline.seed) if s is not None), None)
-    seed = fresh_seed() if seed is None else seed
-    stages, records, made = pipeline.plan(seed), read_corpus(spark, source, shape), shape
-    for stage in stages:
-        try:
-            records, made = one_file(stage.apply(records, made), stage.file_name), stage.reshape(made)
-        except MillraceError as e:
-            raise StageFailed(position=stage.position, name=stage.name, cause=e) from e
+    pipeline.plan(0)
+    given = next((s for s in (seed, pipeline.seed) if s is not None), None)
+    seed = fresh_seed() if given is None else given
+    stages = pipeline.plan(seed)
     transform = {"name": "pipeline", "parameters": {"config_version": VERSION, "stage_count": len(stages)}, "seed": seed}
-    identity = manifests.source_identity(source, files, sum(counts))
-    return publish(records, made, destination, stages[-1].file_name, transform, identity, metadata or {}, shape, [s.record() for s in stages], single_file)
+    return _run(spark, source, output, shape, stages, transform, [s.record() for s in stages], metadata, single_file)
 
 
 def run_stage(spark: SparkSession, source: str, output: str, shape: RecordShape, spec: dict, metadata: dict | None = None, single_file: bool = True) -> dict:
     """Run one transform (a stage's specification) and publish. Returns the manifest."""
     drawn = spec if spec["transform"] == "quantise" or spec.get("seed") is not None else spec | {"seed": fresh_seed()}
     try:
-        (stage,) = Pipeline((drawn,)).plan(0)
+        stages = Pipeline((drawn,)).plan(0)
     except StageFailed as e:
         raise e.cause from e
+    return _run(spark, source, output, shape, stages, stages[0].record(), None, metadata, single_file)
+
+
+def _run(spark: SparkSession, source: str, output: str, shape: RecordShape, stages: list[Stage], transform: dict, listed: list[dict] | None, metadata: dict | None, single_file: bool) -> dict:
     destination = checked_destination(source, output)
     check_declaration(source, shape)
     files = corpus_files(source)
     counts = record_counts(files, shape)
-    records, made = stage.apply(read_corpus(spark, source, shape), shape), stage.reshape(shape)
+    gather = Gather(spark, files, counts, shape, stages)
     identity = manifests.source_identity(source, files, sum(counts))
     try:
-        return publish(records, made, destination, stage.file_name, stage.record(), identity, metadata or {}, shape, None, single_file)
+        return publish(None, gather.shape, destination, stages[-1].file_name, transform, identity, metadata or {}, shape, listed, single_file, gather.in_place, gather.pieces)
     except OSError as e:
-        if e.errno == errno.ENOSPC and stage.name == "sample":
-            raise StorageFull(required_bytes=sampling.expected_bytes(sum(f.bytes for f in files), shape.bytes_per_record, spec["rate"])) from e
+        if e.errno == errno.ENOSPC and stages[0].name == "sample" and len(stages) == 1:
+            needed = sampling.expected_bytes(sum(f.bytes for f in files), shape.bytes_per_record, stages[0].parameters["rate"])
+            raise StorageFull(required_bytes=needed) from e
         raise
