@@ -159,7 +159,7 @@ def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
     listed = listed.select("item_id", "size", "g1", "g2", F.col("own").bitwiseXOR(F.col("flip")).alias("block"))
     asked = prints.select("size", "f1", "f2", F.explode(blocks("f1", "f2")).alias("block"))
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
-    return asked.join(listed, ["size", "block"]).where(apart <= RADIUS).select("size", "f1", "f2", "item_id").distinct()
+    return asked.hint("merge").join(listed, ["size", "block"]).where(apart <= RADIUS).select("size", "f1", "f2", "item_id").distinct()
 
 
 def weighted_similarity(a: str, b: str) -> float:
