@@ -54,7 +54,7 @@ def leaf_budgets(leaves: DataFrame, weight_of: dict[str, dict[str, int]], total:
             expr = F.when(F.col(level) == value, F.lit(w).cast("bigint")).otherwise(expr)
         return F.coalesce(expr, F.lit(1).cast("bigint"))
 
-    caps = leaves.withColumn("root", F.lit(0)).withColumn("cap", F.col("tokens") * max_epochs)
+    caps = leaves.withColumn("root", F.col("tokens") * 0).withColumn("cap", F.col("tokens") * max_epochs)
     held, keys = caps.groupBy("root").agg(F.least(total.cast("bigint"), F.sum("cap")).alias("budget")), ["root"]
     for level in LEVELS:
         nodes = caps.groupBy(*keys, level).agg(F.sum("cap").alias("cap")).withColumn("weight", weight(level))
