@@ -2,14 +2,16 @@
 
 A document's shingle set gives COORDINATES minima. Every (coordinate, value) pair is a posting list; documents as
 similar as the threshold asks collide on far more than MATCHES coordinates. Two that collide on that many must
-share one of the first COORDINATES - MATCHES + 1 of their pairs in any common order, so only this prefix is
-posted; the order is by list length, so lists that very many documents share through a common passage are skipped
-unless the documents are alike in nearly everything. Candidates that collide on MATCHES coordinates are confirmed
-on their full shingle sets.
-
-Identical sets fold into one representative first. Each representative is then compared with the most central
-member of its lists; components of those links leave few pairs whose ends are still apart, and all of these that
-share a prefix pair are compared. A pair inside one component needs no link.
+share COMMON of the first COORDINATES - MATCHES + COMMON of their pairs in any common order, so only this prefix is
+posted, and a document that shares fewer with anyone is done; the order is by list length, so lists that very many
+documents share through a common passage are skipped unless the documents are alike in nearly everything.
+Candidates that collide on MATCHES coordinates are confirmed on their full shingle sets.
+
+Identical sets fold into one representative first. Each representative is then compared with the member that is
+central to most of its lists, which joins nearly all of a group of copies without any pairs among them. A pair
+inside one component needs no further link, so only documents that share lists across components go on, and those
+join again on the rarest shingles of their full sets: by the same prefix argument, and with the places in the
+prefix bounding the overlap, no linked pair is missed and members of a large group that differ are not paired.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
+from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
 from .shared import written
 
 COORDINATES = 64
 #: At similarity 0.8 a pair collides on 51 of 64 coordinates, give or take 3; on fewer than 34 about once in 10^7.
 MATCHES = 34
+#: How many pairs of the posted prefix two such documents share at least; each adds one to the prefix, and the more
+#: are asked for, the more documents without a partner are sorted out at once.
+COMMON = 10
 #: Counters of list lengths: a consistent order is all they give, so lists may share one.
 BUCKETS = 1 << 18
 
@@ -62,7 +67,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
             n, h1, h2, sig = [], [], [], []
             for own in document_sets(batch.column(1), size):
                 n.append(len(own))
-                h1.append(int(mixed(own).sum(dtype=U64).view(np.int64)))
+                h1.append(set_hash(own))
                 h2.append(int(np.bitwise_xor.reduce(mixed(own + _MUL[0])).view(np.int64)) if len(own) else 0)
                 sig.append(minima(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
@@ -74,47 +79,59 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(batches, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
-def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles): the sorted distinct 64-bit shingle hashes, as bytes."""
+def set_hash(own: np.ndarray) -> int:
+    return int(mixed(own).sum(dtype=U64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles) of the `wanted` (id, h1): the sorted distinct 64-bit shingle hashes, as bytes."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            own = [s.tobytes() for s in document_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "shingles"])
+            own = list(document_sets(batch.column(1), size))
+            right = [set_hash(s) == h for s, h in zip(own, batch.column(2).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "shingles"])
+            yield out.filter(pa.array(right, pa.bool_()))
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "id bigint, shingles binary")
+    return rows.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "h1").mapInArrow(batches, "id bigint, shingles binary")
 
 
 def _signature_rows(column: pa.Array) -> np.ndarray:
-    from .kernels import string_bytes
-
     return string_bytes(column)[0].view(np.uint32).reshape(-1, COORDINATES)
 
 
-def list_lengths(reps: DataFrame) -> np.ndarray:
-    """Documents per counter of (coordinate, value) pairs: BUCKETS numbers, whatever the corpus."""
+def _shingle_rows(column: pa.Array) -> np.ndarray:
+    return string_bytes(column)[0].view(U64)
+
+
+def _histogram(rows: DataFrame, buckets) -> np.ndarray:
+    """How many values of the one column fall into each of BUCKETS counters: as many numbers, whatever the corpus."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in it:
-            total += np.bincount((_signature_rows(batch.column(0)) % BUCKETS).ravel(), minlength=BUCKETS)
+            total += np.bincount(buckets(batch.column(0)).ravel().astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
-    found = reps.select("sig").mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    pairs = found.toPandas()
+    found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     lengths = np.zeros(BUCKETS, np.int64)
-    lengths[pairs["bucket"].to_numpy()] = pairs["n"].to_numpy()
+    lengths[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return lengths
 
 
+def list_lengths(reps: DataFrame) -> np.ndarray:
+    """Documents per counter of (coordinate, value) pairs."""
+    return _histogram(reps.select("sig"), lambda column: _signature_rows(column) % BUCKETS)
+
+
 def prefix_postings(reps: DataFrame, lengths: np.ndarray, matches: int) -> DataFrame:
     """(token, id, n_shingles, score): each document under the pairs of its prefix that others may share.
 
     `score` is the summed length of the document's lists; the highest in a list is its most central member.
     """
-    prefix = COORDINATES - matches + 1
+    prefix = COORDINATES - matches + COMMON
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.arange(COORDINATES, dtype=np.int64) << 32
@@ -170,44 +187,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(batches, "a bigint, b bigint")
 
 
+def across_components(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of `open_ids` (id, component) in different components that may be similar enough.
+
+    Sets in a common order, rare shingles first, can only overlap as much as asked if they share one of their first
+    n - percent of n + 1; and what they share from the first common one on is no more than what is left of either.
+    """
+    lengths = _histogram(sets.select("shingles"), lambda column: _shingle_rows(column) % U64(BUCKETS))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            columns = [[], [], [], [], []]
+            for id_, component, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(blob.as_buffer(), U64)
+                n = len(own)
+                first = own[np.lexsort((own, lengths[own % U64(BUCKETS)]))][: n - -(-percent * n // 100) + 1]
+                for column, values in zip(columns, (first.view(np.int64), np.full(len(first), id_), np.full(len(first), component), np.full(len(first), n), np.arange(1, len(first) + 1)), strict=True):
+                    column.append(values)
+            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "id", "component", "n", "place"])
+
+    rows = open_ids.join(sets, "id").select("id", "component", "shingles").mapInArrow(batches, "shingle bigint, id bigint, component bigint, n bigint, place bigint")
+    rows = written(rows, "prefixes")
+    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "component", "n", "place")]) for i in "ab")
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    both = x.join(y, (x["shingle"] == y["shingle"]) & apart & (left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept.
 
     Words are runs outside space and 0x09-0x0D, lower-cased in A-Z; a document's set is its distinct shingles of
     `size` words, or the whole sequence if it has fewer. Documents are linked when 100 * intersection >= percent *
     union, and component_id is the smallest id reachable over links. Null, empty and blank texts have no set and
-    link with nothing; rows without an id stay alone, component_id null and kept true. Repeated rows share a
-    component; kept says only whether the id is the component's. An empty table gives no rows. Other columns of
+    link with nothing; rows without an id stay alone, component_id null and kept true. Rows that
+    repeat an id share a component, found by the text whose set hashes lowest; kept says only whether the id is the
+    component's. An empty table gives no rows. Other columns of
     `docs` are not read.
     """
     signed = written(signatures(docs, size, id_col, text_col), "signed")
     named = signed.where("id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "h1", "h2"]
-    reps = written(named.groupBy(*key).agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "reps")
+    folded = written(named.groupBy(*key).agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "folded")
+    repeated = not folded.groupBy("id").count().where("count > 1").isEmpty()
+    reps = written(folded.groupBy("id").agg(F.min_by(F.struct("n_shingles", "h1", "sig"), F.struct(*key)).alias("s")).select("id", "s.*"), "reps") if repeated else folded
     lengths = list_lengths(reps)
     postings = prefix_postings(reps, lengths, matches)
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1")
-    shared = written(postings.join(lists.select("token", (-F.col("top.minus")).alias("leader")), "token"), "shared")
-    sets = written(
-        shingle_sets(docs.join(shared.select(F.col("id").alias("_shared_id")).distinct(), F.col(id_col) == F.col("_shared_id"), "left_semi"), size, id_col, text_col)
-        .dropDuplicates(["id"]),
-        "sets",
-    )
-    first = shared.where("leader != id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    best = colliding(first, reps, matches).groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select("best.a", "b")
-    tested = written(best, "tested")
+    shared = written(postings.join(lists.select("token", (-F.col("top.minus")).alias("leader")), "token").select("token", "id", "leader"), "postings")
+    shared = written(shared.join(shared.groupBy("id").count().where(F.col("count") >= COMMON).select("id"), "id", "left_semi"), "shared")
+    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1")
+    sets = shingle_sets(docs, wanted, size, id_col, text_col)
+    sets = written(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
+    votes = shared.where("leader != id").groupBy("id", "leader").count()
+    best = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", "leader")).alias("best")).select(F.col("best.leader").alias("a"), "b")
+    tested = written(colliding(best, reps, matches), "tested").select("a", "b")
     links = written(confirmed(tested, sets, percent), "confirmed")
     labels = components(links)
-    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
     apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    placed = written(placed.join(apart, "token", "left_semi"), "apart")
-    x, y = (placed.select("token", F.col("id").alias(i), F.col("n_shingles").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "ab")
-    near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near).select("a", "b").distinct()
+    open_ids = placed.join(apart, "token", "left_semi").groupBy("id", "component").count().where(F.col("count") >= COMMON)
+    rest = across_components(written(open_ids.select("id", "component"), "open"), sets, percent)
     rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = written(confirmed(colliding(rest, reps, matches), sets, percent), "late")
+    late = written(confirmed(rest, sets, percent), "late")
     labels = components(links.unionByName(late))
-    groups = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
+    groups = folded.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = named.join(groups, key).select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
