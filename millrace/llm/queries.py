@@ -97,4 +97,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_chat_format": sql.CHAT, "op4_mix_sources": sql.MIX, "op10_exact_dedup": sql.EXACT}
+    return {
+        "op1_chat_format": sql.CHAT, "op4_mix_sources": sql.MIX, "op5_decontaminate": sql.LEAKS,
+        "op6_remove_repeats": sql.REPEATS, "op8_near_dedup": sql.NEAR, "op10_exact_dedup": sql.EXACT,
+    }

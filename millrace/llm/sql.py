@@ -69,3 +69,60 @@ mixed AS (SELECT id AS doc_id, domain, lang, source, tokens::INT AS tokens, epoc
 
 
 MIX = f"WITH {mix_ctes('documents')}\nSELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epoch, budget FROM mixed"
+
+
+#: Lower-cases A-Z alone.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+#: All pairs that share a shingle, then the smallest document reachable. A label only has to pass documents above
+#: it, as the smallest of a component does everywhere.
+NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS node, doc_id AS low FROM documents
+  UNION SELECT l.b, r.low FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.low < l.b)
+SELECT node AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(low) AS component_id, node = min(low) AS kept
+FROM reach LEFT JOIN size ON doc_id = node GROUP BY node
+"""
+
+#: Every window of 50 bytes with the smallest document that has it; overlapping and touching spans are one run.
+REPEATS = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, p, b[p + 1:p + 50] AS w FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM raw)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS low FROM windows) WHERE low < doc_id),
+run AS (SELECT doc_id, p, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS run
+        FROM (SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -51) + 50)::INT AS gap FROM hit)),
+span AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM run GROUP BY doc_id, run),
+stays AS (
+  SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f, s AS t FROM span
+  UNION ALL SELECT doc_id, octet_length(b), coalesce(last_end, 0), octet_length(b) FROM raw LEFT JOIN (SELECT doc_id, max(e) AS last_end FROM span GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(hex(b[f + 1:t]), '' ORDER BY f, t) AS h FROM stays JOIN raw USING (doc_id) WHERE t > f GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+#: Every window of an item's size that shares a shingle with it, by the shingles' counts.
+LEAKS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k, greatest(len(w) - 4, 1) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item AS (SELECT item_id, n, k, m, s, count(*) AS c
+         FROM (SELECT item_id, n, k, m, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m + 1)) AS p FROM i)) GROUP BY ALL),
+place AS (SELECT doc_id, k, p, words, array_to_string(w[p:p + k - 1], ' ') AS s
+          FROM (SELECT doc_id, w, k, len(w) AS words, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+met AS (SELECT doc_id, item_id, n, m, c, s, unnest(range(greatest(p - m + 1, 1), least(p, words - n + 1) + 1)) AS start FROM place JOIN item USING (k, s)),
+bag AS (SELECT doc_id, item_id, n, m, start, least(count(*), any_value(c)) AS common FROM met GROUP BY doc_id, item_id, n, m, start, s),
+scored AS (SELECT doc_id, item_id, n, start, sum(common)::BIGINT / (2 * m - sum(common)::BIGINT) AS similarity FROM bag GROUP BY doc_id, item_id, n, m, start)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start))::BIGINT - 1 AS start_word, any_value(n)::BIGINT AS n_words, count(*) AS n_windows
+FROM scored WHERE 100 * similarity >= 80 GROUP BY doc_id, item_id
+"""
