@@ -32,6 +32,8 @@ CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]+"), 16
 ANY_CANDIDATE = r"[A-Za-z0-9+/_=-]{16}"
 #: Labelled credentials that the automata learn from, per kind, and sampled ordinary candidates for the background.
 SAMPLE = 2_000
+#: Letters of one credential that the automata learn from, which bounds the sample in bytes; scoring reads all of one.
+LEARNED = 256
 #: Confidence of the compatibility test, and the log-likelihood ratio per letter from which a candidate is a secret.
 ALPHA, MARGIN = 0.05, 0.35
 
@@ -208,11 +210,11 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
                 base = base_spans(text)
                 for _, _, kind, credential in base:
                     kinds.append(kind)
-                    found.append(credential[:256])
+                    found.append(credential[:LEARNED])
                 for _, _, s in candidates(text, base):
                     if not any(map(str.isdigit, s)):
                         kinds.append("other")
-                        found.append(s[:256])
+                        found.append(s[:LEARNED])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "credential"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "kind string, credential string")
