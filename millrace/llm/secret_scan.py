@@ -27,7 +27,7 @@ ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 #: The same in the syntax of Arrow's matcher: texts without any match need no closer look.
 ANY_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
-#: Candidates: runs of credential letters, this long at least; only those with a digit can be secrets.
+#: Candidates: runs of credential letters, this long at least.
 CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]+"), 16
 ANY_CANDIDATE = r"[A-Za-z0-9+/_=-]{16}"
 #: Labelled credentials that the automata learn from, per kind, and sampled ordinary candidates for the background.
@@ -36,6 +36,8 @@ SAMPLE = 2_000
 LEARNED = 256
 #: Confidence of the compatibility test, and the log-likelihood ratio per letter from which a candidate is a secret.
 ALPHA, MARGIN = 0.05, 0.35
+#: Rounds in which candidates are weighed between the automata and the background that is learnt from them.
+ROUNDS = 12
 
 
 def letter_class(c: str) -> str:
@@ -157,16 +159,16 @@ class Automaton:
 
 
 class Background:
-    """Ordinary candidates as a chain over classes."""
+    """Ordinary candidates as a chain over classes, each counted by its weight."""
 
-    def __init__(self, strings: list[str]):
-        pairs: dict[tuple[str, str], int] = {}
-        first: dict[str, int] = {}
-        for s in strings:
+    def __init__(self, strings: list[str], weights: list[float] | None = None):
+        pairs: dict[tuple[str, str], float] = {}
+        first: dict[str, float] = {}
+        for s, w in zip(strings, weights or [1] * len(strings), strict=True):
             s = s.translate(_CLASS)
             for a, b in zip("^" + s, s + "$", strict=True):
-                pairs[a, b] = pairs.get((a, b), 0) + 1
-                first[a] = first.get(a, 0) + 1
+                pairs[a, b] = pairs.get((a, b), 0) + w
+                first[a] = first.get(a, 0) + w
         self.log = {k: math.log((n + 0.1) / (first[k[0]] + 1.2)) for k, n in pairs.items()}
         self.none = {a: math.log(0.1 / (n + 1.2)) for a, n in first.items()}
 
@@ -175,6 +177,22 @@ class Background:
         return sum(self.log.get((a, b), self.none.get(a, low)) for a, b in zip("^" + s, s + "$", strict=True))
 
 
+def ordinary(strings: list[str], automata: list[Automaton]) -> Background:
+    """The background, from unlabelled candidates that may hold secrets: expectation maximisation, in which each
+    counts for as much as it is likelier ordinary than of a labelled format."""
+    background, secret = Background(strings), 0.5
+    if not automata or not strings:
+        return background
+    formats = [max(m.score(s) for m in automata) for s in strings]
+    for _ in range(ROUNDS):
+        prior = math.log((1 - secret) / secret)
+        odds = [background.score(s) - f + prior for s, f in zip(strings, formats, strict=True)]
+        weights = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in odds]
+        secret = min(1 - 1e-6, max(1e-6, 1 - sum(weights) / len(weights)))
+        background = Background(strings, weights)
+    return background
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, credential) of the fixed patterns, leftmost and non-overlapping within each kind."""
     out = [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -199,8 +217,7 @@ def worth_a_look(texts: pa.Array) -> pa.Array:
 
 
 def labelled(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, credential) of the base spans, and of candidates without a digit with kind `other`: what the models
-    learn from. The latter are no secrets, so formats not labelled yet stay out of the background."""
+    """(kind, credential) of the base spans, and of all other candidates with kind `other`: what the models learn from."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -212,9 +229,8 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
                     kinds.append(kind)
                     found.append(credential[:LEARNED])
                 for _, _, s in candidates(text, base):
-                    if not any(map(str.isdigit, s)):
-                        kinds.append("other")
-                        found.append(s[:LEARNED])
+                    kinds.append("other")
+                    found.append(s[:LEARNED])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "credential"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "kind string, credential string")
@@ -228,7 +244,8 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tupl
     for kind in (*KINDS[:3], "other"):
         rows = strings.where(F.col("kind") == kind).orderBy(F.xxhash64("credential"), "credential").limit(sample)
         kept[kind] = [r.credential for r in rows.collect()]
-    return {k: Automaton(v) for k, v in kept.items() if v and k != "other"}, Background(kept["other"])
+    automata = {k: Automaton(v) for k, v in kept.items() if v and k != "other"}
+    return automata, ordinary(kept["other"], list(automata.values()))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -254,8 +271,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                 base = base_spans(text)
                 spans = [(a, b, k) for a, b, k, _ in base]
                 for a, b, s in candidates(text, base) if automata else ():
-                    if not any(map(str.isdigit, s)):
-                        continue
                     margin = max(m.score(s) for m in automata.values()) - background.score(s)
                     if margin >= MARGIN * len(s):
                         spans.append((a, b, "format"))

@@ -352,6 +352,17 @@ def test_method_adds_formats_and_leaves_words_alone(spark):
     assert [r["n_assign"] for r in out[202:]] == [1, 0] and out[200]["spans"] == "format:4:24"
 
 
+def test_credentials_without_a_digit_are_scored(spark):
+    rng = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(230)]
+    plain = ["extraordinarily-long-words", "internationalization", "incomprehensibilities", "path/to/some/file/here"]
+    texts = [f"token={k} beside {plain[i % 4]}" for i, k in enumerate(keys[:200])] + [f"see {k} here" for k in keys[200:]] + plain
+    out = secret_scan.digest(secret_scan.scan(docs_of(spark, texts))).orderBy("doc_id").collect()
+    assert [r["spans"] for r in out[200:230]] == ["format:4:28"] * 30
+    assert sum(r["n_format"] for r in [*out[:200], *out[230:]]) == 0
+
+
 def test_states_merge():
     machine = secret_scan.Automaton(["ab" * k for k in range(1, 60)] * 20)
     assert len(machine.states) < 40 and machine.score("abab") > machine.score("ab9b")
