@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import ROW, numbered, shared_dir, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of one digest that are compared with one copy of the retained text; beyond that the copy is repeated.
@@ -70,17 +70,19 @@ def run_stream(arrivals: DataFrame, path: str) -> DataFrame:
     return newest.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("s")).select("digest", "s.keep", "s.n")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, row_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when their normalised bytes are. Null text counts as empty, and empty texts equal each other.
     Of equal texts the smallest id stays, nulls last; of repeated rows with that id exactly one has kept = true.
-    An empty table gives no rows. Other columns of `docs` are not read, so their names cannot clash.
+    An empty table gives no rows. Other columns of `docs` are not read, so their names cannot clash. `row_col` names
+    a column that is unique and stable (shared.numbered); it then comes out too and tells which row is meant.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    at = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
+    row = F.col("row") if row_col else F.monotonically_increasing_id()
+    at = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), row.alias("row"))
     arrivals = rows.select(digest(F.col("norm")).alias("digest"), sha256_digest(F.col("norm")).alias("sha"), at.alias("at"))
     arrivals.write.option("compression", "zstd").parquet(f"{path}/arrivals")
     arrivals = spark.read.schema(arrivals.schema).parquet(f"{path}/arrivals")
@@ -89,23 +91,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         arrivals.join(state.where("n > 1"), "digest").select("digest", "at", "keep", F.ceil(F.col("n") / ROWS_PER_COPY).cast("int").alias("copies")),
         "hits",
     )
-    texts = written(_texts(docs, hits, id_col, text_col, digest), "texts")
+    texts = written(_texts(docs, hits, id_col, text_col, digest, row_col), "texts")
     differing = _differing(texts)
     regroup = _by_text(texts, differing)
     plain = arrivals.join(state, "digest").join(differing, "digest", "left_anti").select("at", "keep", "n", "sha")
     return plain.unionByName(regroup).select(
         F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("at") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
+        *([F.col("at.row").alias(row_col)] if row_col else []),
     )
 
 
-def _texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """The hits with their texts, fetched by identifier; the digest settles which of repeated identifiers is meant.
+def _texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest, row_col: str | None = None) -> DataFrame:
+    """The hits with their texts, fetched by row or else by identifier; then the digest settles which of repeated
+    identifiers is meant.
 
-    One shuffle by identifier, which no group of copies can skew, and only the hits go on from it.
+    One shuffle by either, which no group of copies can skew, and only the hits go on from it.
     """
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
-    found = raw.join(hits.withColumn("hit_id", F.col("at.id")).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hit_id")))
+    key = "at.row" if row_col else "at.id"
+    raw = docs.select(F.col(row_col or id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
+    found = raw.join(hits.withColumn("hit_id", F.col(key)).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hit_id")))
     found = found.withColumn("norm", normalised(F.col("raw"))).where(digest(F.col("norm")) == F.col("digest"))
     return found.select("digest", "at", "keep", "copies", "norm")
 
@@ -127,7 +132,8 @@ def _by_text(texts: DataFrame, differing: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all its columns kept.
 
-    Identifiers must be unique for the join back; rows without one are kept only if no equal text has one.
+    Rows are decided one by one, so identifiers may repeat; a row without one stays only if no equal text has one.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    rows = numbered(docs)
+    kept = exact_groups(rows, id_col, text_col, row_col=ROW).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

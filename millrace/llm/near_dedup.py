@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
-from .shared import written
+from .shared import ROW, numbered, written
 
 COORDINATES = 64
 #: At similarity 0.8 a pair collides on 51 of 64 coordinates, give or take 3; on fewer than 34 about once in 10^7.
@@ -260,6 +260,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component, all its columns kept; rows without an id all stay."""
-    drop = near_groups(docs, size, percent, MATCHES, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_near_id"))
-    return docs.join(drop, F.col(id_col) == F.col("_near_id"), "left_anti")
+    """`docs` with one row of each component, that of the smallest id, nulls last; all its columns kept.
+
+    Rows are grouped one by one, so identifiers may repeat or be missing; texts without words all stay.
+    """
+    rows = numbered(docs)
+    groups = written(near_groups(rows, size, percent, MATCHES, ROW, text_col).select(ROW, "component_id"), "groups")
+    groups = groups.join(groups.groupBy("component_id").count().where("count > 1"), "component_id", "left_semi")
+    members = written(rows.select(F.col(id_col).alias("id"), ROW).join(groups, ROW), "members")
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", ROW)
+    stay = members.groupBy("component_id").agg(F.min(at).alias("keep")).select(F.col(f"keep.{ROW}").alias(ROW))
+    return rows.join(members.select(ROW).join(stay, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)

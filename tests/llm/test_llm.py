@@ -502,6 +502,21 @@ def test_exact_groups_of_awkward_texts(spark, awkward, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_stages_keep_one_row_of_each_group(spark):
+    near = LONG.replace("wizards", "witches")
+    given = [(1, LONG), (1, LONG), (2, LONG), (1, "other text of the same id"), (5, "other text of the same id"), (0, "other text of the same id")]
+    given += [(None, LONG), (None, "no id"), (None, "no id"), (None, "alone without id"), (None, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(given)], "doc_id bigint, text string, lang string")
+    exact = exact_dedup.exact_dedup(docs).collect()
+    want = [(0, "other text of the same id"), (1, LONG), (9, None), (None, "alone without id"), (None, "no id")]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in exact) == sorted((i is None, i or 0, t or "") for i, t in want)
+    more = docs.unionByName(spark.createDataFrame([(None, near, "x"), (7, near, "y")], docs.schema))
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.near_dedup(more, percent=40).collect()]
+    assert sum(t in (LONG, near) for _, t in kept) == 1 and (1, LONG) in kept
+    assert [i for i, t in kept if t == "other text of the same id"] == [0]
+    assert sorted(t or "" for _, t in kept) == sorted([LONG, "other text of the same id", "no id", "alone without id", "", ""])
+
+
 def test_a_later_run_continues_the_state(spark, tmp_path):
     path = str(tmp_path / "state")
     for k, texts in enumerate((["a", "b"], ["b", "c"])):
