@@ -253,6 +253,15 @@ def test_contamination_of_awkward_texts(spark, awkward, none, monkeypatch):
     assert decontaminate.decontaminate(awkward, bench.where("false")).count() == awkward.count()
 
 
+def test_clean_rows_stay_beside_a_leak_of_the_same_id(spark):
+    given = [(None, LONG), (None, "clean without id"), (None, None), (1, f"before {LONG}"), (1, "clean under the same id"), (2, "clean")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, LONG)], "item_id bigint, text string")
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert Counter(map(tuple, left.collect())) == Counter(g for g in given if LONG not in (g[1] or ""))
+
+
 # 6 repeated substrings
 
 
