@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index look-up, exact verification.
 
-Every benchmark item of n words is compared with windows of n words. A window can only be as similar as asked if
+Every benchmark item of n words is compared with windows of n words; a document of fewer words is one window, the
+whole of it, where it has shingles enough to be as similar as asked. A window can only be as similar as asked if
 enough of its shingles occur in items of its size, so windows without are left out before any fingerprint is made:
 they cannot match. The others get a 128-bit SimHash over their shingles, each counted as often as it occurs. The
 index cuts fingerprints into 8 blocks of 16 bits and lists every item under all values within 3 bits of its own
@@ -71,14 +72,14 @@ class Index:
         found = contained(own, self.any) if len(words) >= SHINGLE else np.zeros(0, bool)
         hit = np.flatnonzero(found)
         for size, known in self.by_size.items():
-            if size > len(words):
+            if size > len(words) and (len(words) < SHINGLE or 100 * len(own) < self.percent * (size - SHINGLE + 1)):
                 continue
             if size < SHINGLE:
                 short, _ = shingle_hashes(words, count, size)
                 starts, base, length = np.flatnonzero(contained(short, known)), short, 1
             else:
-                length, base = size - SHINGLE + 1, own
-                need = -(-self.percent * length // 100)
+                length, base = min(size - SHINGLE + 1, len(own)), own
+                need = -(-self.percent * (size - SHINGLE + 1) // 100)
                 if len(hit) < need:
                     continue
                 total = np.zeros(len(own) + 1, np.int32)
@@ -98,7 +99,7 @@ def contained(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, size, f1, f2, window): windows that may match, with their text."""
+    """(id, start, size, f1, f2, window): windows that may match items of `size` words, with their text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -116,7 +117,7 @@ def window_rows(docs: DataFrame, index: Index, id_col: str, text_col: str) -> Da
                     a, b = upto[d], upto[d + 1]
                     for size, starts, prints in index.windows(words[a:b]):
                         for s, (f1, f2) in zip(starts.tolist(), prints.view(np.int64).tolist(), strict=True):
-                            text = data[begins[a + s] : ends[a + s + size - 1]].tobytes().decode()
+                            text = data[begins[a + s] : ends[min(a + s + size, b) - 1]].tobytes().decode()
                             for column, value in zip(out, (ids[first + d], s, size, f1, f2, text), strict=True):
                                 column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -173,12 +174,14 @@ def weighted_similarity(a: str, b: str) -> float:
 
 
 def verified(candidates: DataFrame, percent: int) -> DataFrame:
-    """(id, item_id, start, size, similarity) of candidates (…, window, item) that are similar enough."""
+    """(id, item_id, start, size, similarity) of candidates (…, window, item) that are similar enough; size is the
+    window's words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             score = [weighted_similarity(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(score, pa.float64())], names=["id", "item_id", "start", "size", "similarity"])
+            size = pa.array([len(w.encode().split()) for w in batch.column(4).to_pylist()], pa.int64())
+            out = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], size, pa.array(score, pa.float64())], names=["id", "item_id", "start", "size", "similarity"])
             yield out.filter(pa.array([100 * s >= percent for s in score], pa.bool_()))
 
     return candidates.select("id", "item_id", "start", "size", "window", "item").mapInArrow(batches, "id bigint, item_id bigint, start bigint, size bigint, similarity double")
@@ -188,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
     """One row per document and item with a similar window: id, item_id, similarity (the best), start_word, n_words, n_windows.
 
     Words are runs outside space and 0x09-0x0D, lower-cased in A-Z; shingles have five words, or all of a shorter
-    item's. Of equally similar windows the first is given. Null or wordless texts and items match nothing; items
+    item's. A document of fewer words than the item is one window. Of equally similar windows the first is given. Null or wordless texts and items match nothing; items
     with one text each match; rows that repeat an id report together, those without an id under null. Empty tables
     give no rows. Only ids and texts are read.
     """

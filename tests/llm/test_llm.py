@@ -253,6 +253,23 @@ def test_contamination_of_awkward_texts(spark, awkward, none, monkeypatch):
     assert decontaminate.decontaminate(awkward, bench.where("false")).count() == awkward.count()
 
 
+def test_documents_shorter_than_an_item(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(20)]
+    texts = [" ".join(items[k][1].split()[k % 3 : 40 - cut]).upper() for k, cut in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 12, 36] * 2)]
+    texts += ["w0x0", "", " ".join(items[0][1].split()[:20] + ["x"] + items[0][1].split()[20:38])]
+    want = {}
+    for d, text in enumerate(texts):
+        n = len(text.split())
+        for i, item in items if 0 < n < 40 else ():
+            score = decontaminate.weighted_similarity(text, item)
+            if 100 * score >= 80:
+                want[d, i] = (score, 0, n, 1)
+    assert (0, 0) in want and 5 < len(want) < 20
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["n_words"], r["n_windows"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == want
+
+
 def test_clean_rows_stay_beside_a_leak_of_the_same_id(spark):
     given = [(None, LONG), (None, "clean without id"), (None, None), (1, f"before {LONG}"), (1, "clean under the same id"), (2, "clean")]
     docs = spark.createDataFrame(given, "doc_id bigint, text string")
