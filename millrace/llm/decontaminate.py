@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .shared import ROW, numbered, written
+from .shared import numbered, written
 
 SHINGLE, BLOCKS, BLOCK_BITS, FLIPS = 5, 8, 16, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
@@ -216,6 +216,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that hold a benchmark item, all columns kept. Each row is judged by its own text,
     whatever other rows have the same id or none; `id_col` is not read."""
-    rows = numbered(docs)
-    bad = contamination(rows, benchmark, percent, ROW, text_col).select(ROW).distinct()
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    bad = contamination(rows.select(row, text_col), benchmark, percent, row, text_col).select(row).distinct()
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

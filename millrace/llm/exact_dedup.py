@@ -2,8 +2,9 @@
 
 Arrivals (digest, stable identifier, content locator) stream through an aggregation whose keyed state lies on
 disk and never expires: for each digest it retains the smallest identifier, its locator and the number of rows.
-A digest only nominates: every row that hits retained content is compared with it byte for byte, and rows whose
-bytes differ although their digests agree are grouped again by the text itself.
+The locator is the number of the row in a table that was written first, so it finds one text whatever identifiers
+repeat or are missing. A digest only nominates: every row that hits retained content is compared with it byte for
+byte, and rows whose bytes differ although their digests agree are grouped again by the text itself.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, numbered, shared_dir, written
+from .shared import hot_keys, numbered, shared_dir, spread_join, written
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows of one digest that are compared with one copy of the retained text; beyond that the copy is repeated.
-ROWS_PER_COPY = 5_000
 
 
 def normalised(text: Column) -> Column:
@@ -78,23 +77,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives no rows. Other columns of `docs` are not read, so their names cannot clash. `row_col` names
     a column that is unique and stable (shared.numbered); it then comes out too and tells which row is meant.
     """
-    spark = docs.sparkSession
-    path = shared_dir(spark)
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *([F.col(row_col).alias("row")] if row_col else []))
-    row = F.col("row") if row_col else F.monotonically_increasing_id()
-    at = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), row.alias("row"))
+    if row_col is None:
+        docs, row = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    else:
+        docs, row = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_col), row_col
+    path = shared_dir(docs.sparkSession)
+    rows = docs.select("id", normalised(F.col("text")).alias("norm"), F.col(row).alias("row"))
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     arrivals = rows.select(digest(F.col("norm")).alias("digest"), sha256_digest(F.col("norm")).alias("sha"), at.alias("at"))
     arrivals.write.option("compression", "zstd").parquet(f"{path}/arrivals")
-    arrivals = spark.read.schema(arrivals.schema).parquet(f"{path}/arrivals")
-    state = run_stream(arrivals, path)
-    hits = written(
-        arrivals.join(state.where("n > 1"), "digest").select("digest", "at", "keep", F.ceil(F.col("n") / ROWS_PER_COPY).cast("int").alias("copies")),
-        "hits",
-    )
-    texts = written(_texts(docs, hits, id_col, text_col, digest, row_col), "texts")
-    differing = _differing(texts)
+    arrivals = docs.sparkSession.read.schema(arrivals.schema).parquet(f"{path}/arrivals")
+    state = written(run_stream(arrivals, path), "state")
+    hot = hot_keys(state, ["digest"], arrivals.count())
+    hits = spread_join(arrivals.drop("sha"), state.where("n > 1").drop("n"), "digest", "at.row", hot)
+    texts = written(rows.select("row", "norm").join(hits.withColumn("row", F.col("at.row")), "row").select("digest", "at", "keep", "norm"), "texts")
+    differing = _differing(texts, hot)
     regroup = _by_text(texts, differing)
-    plain = arrivals.join(state, "digest").join(differing, "digest", "left_anti").select("at", "keep", "n", "sha")
+    settled = state.join(differing.withColumn("differs", F.lit(True)), "digest", "left").where("differs IS NULL").drop("differs")
+    plain = spread_join(arrivals, settled, "digest", "at.row", hot).select("at", "keep", "n", "sha")
     return plain.unionByName(regroup).select(
         F.col("at.id").alias(id_col), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("at") == F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -102,24 +102,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest, row_col: str | None = None) -> DataFrame:
-    """The hits with their texts, fetched by row or else by identifier; then the digest settles which of repeated
-    identifiers is meant.
-
-    One shuffle by either, which no group of copies can skew, and only the hits go on from it.
-    """
-    key = "at.row" if row_col else "at.id"
-    raw = docs.select(F.col(row_col or id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
-    found = raw.join(hits.withColumn("hit_id", F.col(key)).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hit_id")))
-    found = found.withColumn("norm", normalised(F.col("raw"))).where(digest(F.col("norm")) == F.col("digest"))
-    return found.select("digest", "at", "keep", "copies", "norm")
-
-
-def _differing(texts: DataFrame) -> DataFrame:
+def _differing(texts: DataFrame, hot: DataFrame) -> DataFrame:
     """Digests under which some row's bytes differ from the retained row's; a hot digest is spread over copies."""
-    kept = texts.where("at = keep").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    rows = texts.where("at != keep").withColumn("copy", F.pmod(F.xxhash64("at.row"), F.col("copies")).cast("int"))
-    return written(rows.join(kept, ["digest", "copy"]).where("norm != kept_norm").select("digest").distinct(), "differing")
+    kept = texts.where("at = keep").select("digest", F.col("norm").alias("kept_norm"))
+    rows = spread_join(texts.where("at != keep"), kept, "digest", "at.row", hot)
+    return written(rows.where("norm != kept_norm").select("digest").distinct(), "differing")
 
 
 def _by_text(texts: DataFrame, differing: DataFrame) -> DataFrame:
@@ -134,6 +121,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are decided one by one, so identifiers may repeat; a row without one stays only if no equal text has one.
     """
-    rows = numbered(docs)
-    kept = exact_groups(rows, id_col, text_col, row_col=ROW).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    kept = exact_groups(rows, id_col, text_col, row_col=row).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

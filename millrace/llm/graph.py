@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import hot_keys, spread_join, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b): component is the smallest node reachable.
 
-    Every round is two shuffles by node with partial minima, so a node with very many links is no hot spot; the
-    labels of a round are written to the shared folder, and rounds grow with the logarithm of the longest chain.
+    Every round joins by node and takes partial minima before it shuffles. A node with very many links, and a label
+    that very many nodes have, are dealt over copies. Each round's labels are written to the shared folder, and
+    rounds grow with the logarithm of the longest chain.
     """
     both = links.select("a", "b").where("a != b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    hot = hot_keys(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"], both.count())
     labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("low"))
+        told = spread_join(both, labels.withColumnRenamed("node", "a"), "a", "b", hot)
+        seen = told.groupBy(F.col("b").alias("node")).agg(F.min("component").alias("low"))
         lower = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        step = written(lower.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("component")), "labels")
+        shared = hot_keys(labels.groupBy(F.col("component").alias("mid")).agg(F.count(F.lit(1)).alias("n")), ["mid"], labels.count())
+        step = written(spread_join(lower, jump, "mid", "node", shared).select("node", "old", F.least("mid", "far").alias("component")), "labels")
         labels = step.select("node", "component")
         if step.where("component < old").isEmpty():
             return labels

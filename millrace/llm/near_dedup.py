@@ -9,9 +9,18 @@ Candidates that collide on MATCHES coordinates are confirmed on their full shing
 
 Identical sets fold into one representative first. Each representative is then compared with the member that is
 central to most of its lists, which joins nearly all of a group of copies without any pairs among them. A pair
-inside one component needs no further link, so only documents that share lists across components go on, and those
-join again on the rarest shingles of their full sets: by the same prefix argument, and with the places in the
-prefix bounding the overlap, no linked pair is missed and members of a large group that differ are not paired.
+inside one component needs no further link, so only lists whose members lie in different components go on:
+
+* a short list gives its pairs;
+* in a longer one every member is compared with a leader. What two members share beyond what the leader tells is
+  in how they deviate from it (shingles that they lack or add), and two that are alike, but not both like the
+  leader, must share deviations; how many at least follows from their sizes. So members are posted again, under
+  (leader, deviation) for a prefix of their rarest deviations, and those lists are treated in the same way. As the
+  prefix is the shorter the less the partner is like the leader, members go by classes of likeness, with a
+  prefix for each class that a partner may be in.
+
+A list's children lack its leader, so the rounds end; no linked pair is missed, and members of a large family that
+all differ share no rare deviations and are never paired.
 """
 
 from __future__ import annotations
@@ -20,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
-from .shared import ROW, numbered, written
+from .shared import hot_keys, numbered, spread_join, written
 
 COORDINATES = 64
 #: At similarity 0.8 a pair collides on 51 of 64 coordinates, give or take 3; on fewer than 34 about once in 10^7.
@@ -35,6 +44,14 @@ MATCHES = 34
 COMMON = 10
 #: Counters of list lengths: a consistent order is all they give, so lists may share one.
 BUCKETS = 1 << 18
+#: Members of a list of signatures, and of one of deviations, that is short enough to give its pairs.
+SHORT, SHORT_APART = 4, 64
+#: Upper edges of the classes of members by their weight, in units of the greatest weight that is linked to the leader.
+EDGES = (-0.5, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
+LINKED = EDGES.index(1.0)
+_CLASS = np.random.default_rng(911).integers(0, 1 << 64, (len(EDGES) + 1, len(EDGES) + 1), dtype=U64)
+#: Place of a signature's posting: its lists don't bound what two documents share.
+ANY = 1 << 40
 
 _rng = np.random.default_rng(4_093)
 _MUL = _rng.integers(0, 1 << 64, COORDINATES, dtype=U64) | U64(1)
@@ -150,18 +167,35 @@ def prefix_postings(reps: DataFrame, lengths: np.ndarray, matches: int) -> DataF
     return reps.select("id", "n_shingles", "sig").mapInArrow(batches, "token bigint, id bigint, n_shingles bigint, score bigint")
 
 
+def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The written `pairs` (a, b) with the `column` of both in `table` (id, column). Many pairs may have one a."""
+    left, right = (table.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+    return spread_join(pairs.select("a", "b"), left, "a", "b").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b) that collide on at least `matches` coordinates, with the number, `hits`."""
+    """The pairs (a, b) that collide on at least `matches` coordinates."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             hits = (_signature_rows(batch.column(2)) == _signature_rows(batch.column(3))).sum(1)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64())], names=["a", "b", "hits"])
-            yield out.filter(pa.array(hits >= matches))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hits >= matches))
+
+    return beside(pairs, reps, "sig").mapInArrow(batches, "a bigint, b bigint")
+
+
+def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the distinct sorted x are in the distinct sorted y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
 
-    left, right = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(batches, "a bigint, b bigint, hits bigint")
+
+def alike(x: int, y: int, common: int, percent: int) -> bool:
+    """Whether sets of x and y elements with so many in common are linked."""
+    return common > 0 and 100 * common >= percent * (x + y - common)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,49 +205,107 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in it:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = 0
-                if 100 * len(x) >= percent * len(y):  # the intersection is no larger than the smaller set
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    common = int((y[at] == x).sum())
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+                x, y = sorted((np.frombuffer(v.as_buffer(), U64) for v in (x, y)), key=len)
+                near = 100 * len(x) >= percent * len(y)  # the intersection is no larger than the smaller set
+                keep.append(near and alike(len(x), len(y), int(among(x, y).sum()), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(batches, "a bigint, b bigint")
+    return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint")
+
 
+def deviations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight, class, shingles) of leaders a and members b: the shingles that only one of the two has, each
+    hashed with the leader, and the member's part of what a pair under that leader has to share.
 
-def across_components(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of `open_ids` (id, component) in different components that may be similar enough.
+    With L, n shingles of leader and member and m of the leader's that the member lacks, two members have
+    L - m - m' + c in common, c being the deviations they share. They are linked if (100 + percent) times that is
+    percent * (n + n') at least, that is, if 2 * (100 + percent) * c >= weight + weight'. The leader's own weight is
+    -(100 - percent) * L, so the members linked to it are those of weight (100 - percent) * L and less.
+    """
 
-    Sets in a common order, rare shingles first, can only overlap as much as asked if they share one of their first
-    n - percent of n + 1; and what they share from the first common one on is no more than what is left of either.
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            weight, kind, apart = [], [], []
+            for lead, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                both = among(x, y)
+                lacks = x[~both]
+                weight.append(2 * percent * len(y) + 2 * (100 + percent) * len(lacks) - (100 + percent) * len(x))
+                unit = max(1, (100 - percent) * len(x))
+                kind.append(sum(weight[-1] > e * unit for e in EDGES))
+                apart.append(mixed(np.concatenate([lacks, y[~among(y, x)]]) ^ mixed(np.array([lead]).astype(U64))).tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(weight, pa.int64()), pa.array(kind, pa.int32()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "weight", "class", "shingles"])
+
+    return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint, weight bigint, class int, shingles binary")
+
+
+def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
+    """(key, id, weight, rest): `deviations` posted under those of them by which a partner in another component can
+    be found; `rest` is how many the two can share at most from this one on.
+
+    The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
+    each class under that leader apart, with the classes of both in the key. Two linked members need no link.
     """
-    lengths = _histogram(sets.select("shingles"), lambda column: _shingle_rows(column) % U64(BUCKETS))
+    lengths = _histogram(members.select("shingles"), lambda column: _shingle_rows(column) % U64(BUCKETS))
+    classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
+    classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
+    told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            columns = [[], [], [], [], []]
-            for id_, component, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            columns = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for id_, weight, kind, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
                 own = np.frombuffer(blob.as_buffer(), U64)
-                n = len(own)
-                first = own[np.lexsort((own, lengths[own % U64(BUCKETS)]))][: n - -(-percent * n // 100) + 1]
-                for column, values in zip(columns, (first.view(np.int64), np.full(len(first), id_), np.full(len(first), component), np.full(len(first), n), np.arange(1, len(first) + 1)), strict=True):
-                    column.append(values)
-            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shingle", "id", "component", "n", "place"])
-
-    rows = open_ids.join(sets, "id").select("id", "component", "shingles").mapInArrow(batches, "shingle bigint, id bigint, component bigint, n bigint, place bigint")
-    rows = written(rows, "prefixes")
-    x, y = (rows.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "component", "n", "place")]) for i in "ab")
-    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    both = x.join(y, (x["shingle"] == y["shingle"]) & apart & (left * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
-    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+                own = own[np.lexsort((own, lengths[own % U64(BUCKETS)]))]
+                for other in classes:
+                    need = max(1, -(-(weight + other["low"]) // (2 * (100 + percent))))
+                    if max(kind, other["class"]) > LINKED and need <= min(len(own), other["most"]):
+                        n = len(own) - need + 1
+                        key = mixed(own[:n] ^ _CLASS[min(kind, other["class"]), max(kind, other["class"])]).view(np.int64)
+                        for column, values in zip(columns, (key, np.full(n, id_), np.full(n, weight), len(own) - np.arange(n)), strict=True):
+                            column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["key", "id", "weight", "rest"])
+
+    return told.select("b", "weight", "class", "classes", "shingles").mapInArrow(batches, "key bigint, id bigint, weight bigint, rest bigint")
+
+
+def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """The written lists (key, id, ...) whose members lie in different components, with component, lead and n, the
+    member of least weight and the number of members; without the documents that are in fewer than `least` such lists."""
+    placed = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = written(placed, "placed")
+    heads = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("weight", "id")).alias("head"))
+    heads = written(heads.where("low < high").select("key", "n", F.col("head.id").alias("lead")), "heads")
+    members = written(spread_join(placed, heads, "key", "id", hot_keys(heads.select("key", "n"), ["key"], placed.count())), "members")
+    if least == 1:
+        return members
+    # of k lists a document and its partner share `least`, so they share one of the first k - least + 1, the longest first
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "key"))
+    k = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return written(members.withColumn("place", place).withColumn("k", k).where(F.col("place") <= F.col("k") - least + 1).drop("place", "k"), "members")
+
+
+def across_components(lists: DataFrame, links: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The components (node, component) once every linked pair in a list of `lists` (key, id, weight, rest) counts."""
+    least, most, scale = COMMON, SHORT, 2 * (100 + percent)
+    while True:
+        members = open_lists(lists, labels, least)
+        if members.isEmpty():
+            return labels
+        short = members.where(F.col("n") <= most).select("key", "id", "component", "weight", "rest")
+        x, y = (short.select("key", *[F.col(c).alias(f"{c}_{i}") for c in short.columns if c != "key"]) for i in "ab")
+        may = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+        may &= F.least("rest_a", "rest_b") * scale >= F.when(F.col("rest_a") < ANY, F.col("weight_a") + F.col("weight_b")).otherwise(0)
+        pairs = written(x.join(y, "key").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+        found = confirmed(written(colliding(pairs, reps, matches), "tested"), sets, percent)
+        led = written(members.where((F.col("n") > most) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "led")
+        apart = written(deviations(led, sets, percent), "deviations")
+        fresh = written(found.unionByName(apart.where(F.col("class") <= LINKED).select("a", "b")), "links")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = components(links)
+        lists, least, most = written(deviation_lists(apart, percent), "lists"), 1, SHORT_APART
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,32 +322,27 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int
     signed = written(signatures(docs, size, id_col, text_col), "signed")
     named = signed.where("id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "h1", "h2"]
-    folded = written(named.groupBy(*key).agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "folded")
+    folded = written(named.groupBy(*key).agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "folded")
     repeated = not folded.groupBy("id").count().where("count > 1").isEmpty()
     reps = written(folded.groupBy("id").agg(F.min_by(F.struct("n_shingles", "h1", "sig"), F.struct(*key)).alias("s")).select("id", "s.*"), "reps") if repeated else folded
-    lengths = list_lengths(reps)
-    postings = prefix_postings(reps, lengths, matches)
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1")
-    shared = written(postings.join(lists.select("token", (-F.col("top.minus")).alias("leader")), "token").select("token", "id", "leader"), "postings")
+    postings = prefix_postings(reps, list_lengths(reps), matches)
+    top = F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")
+    lists = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1").select("token", "n", (-F.col("top.minus")).alias("leader")), "lists")
+    hot = hot_keys(lists.select("token", "n"), ["token"], lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    shared = written(spread_join(postings.select("token", "id", "score"), lists.select("token", "leader"), "token", "id", hot), "postings")
     shared = written(shared.join(shared.groupBy("id").count().where(F.col("count") >= COMMON).select("id"), "id", "left_semi"), "shared")
     wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1")
     sets = shingle_sets(docs, wanted, size, id_col, text_col)
     sets = written(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
     votes = shared.where("leader != id").groupBy("id", "leader").count()
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", "leader")).alias("best")).select(F.col("best.leader").alias("a"), "b")
-    tested = written(colliding(best, reps, matches), "tested").select("a", "b")
-    links = written(confirmed(tested, sets, percent), "confirmed")
-    labels = components(links)
-    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ids = placed.join(apart, "token", "left_semi").groupBy("id", "component").count().where(F.col("count") >= COMMON)
-    rest = across_components(written(open_ids.select("id", "component"), "open"), sets, percent)
-    rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = written(confirmed(rest, sets, percent), "late")
-    labels = components(links.unionByName(late))
+    links = written(confirmed(written(colliding(written(best, "best"), reps, matches), "tested"), sets, percent), "confirmed")
+    lists = shared.select(F.col("token").alias("key"), "id", (-F.col("score")).alias("weight"), F.lit(ANY).alias("rest"))
+    labels = across_components(lists, links, components(links), reps, sets, matches, percent)
     groups = folded.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = named.join(groups, key).select("id", "n_shingles", "component_id").unionByName(alone)
+    out = spread_join(named.select("id", *key), groups, key, "id", hot_keys(folded, key, signed.count()))
+    out = out.select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -264,10 +351,11 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Rows are grouped one by one, so identifiers may repeat or be missing; texts without words all stay.
     """
-    rows = numbered(docs)
-    groups = written(near_groups(rows, size, percent, MATCHES, ROW, text_col).select(ROW, "component_id"), "groups")
-    groups = groups.join(groups.groupBy("component_id").count().where("count > 1"), "component_id", "left_semi")
-    members = written(rows.select(F.col(id_col).alias("id"), ROW).join(groups, ROW), "members")
-    at = F.struct(F.col("id").isNull().alias("no_id"), "id", ROW)
-    stay = members.groupBy("component_id").agg(F.min(at).alias("keep")).select(F.col(f"keep.{ROW}").alias(ROW))
-    return rows.join(members.select(ROW).join(stay, ROW, "left_anti"), ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs)
+    groups = written(near_groups(rows.select(row, text_col), size, percent, MATCHES, row, text_col).select(F.col(row).alias("at"), "component_id"), "groups")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = spread_join(groups, several, "component_id", "at", hot_keys(several, ["component_id"], groups.count()))
+    members = written(rows.select(F.col(id_col).alias("id"), F.col(row).alias("at")).join(members, "at"), "members")
+    stay = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("keep")).select(F.col("keep.at").alias("at"))
+    gone = members.select("at").join(stay, "at", "left_anti").withColumnRenamed("at", row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Where operators keep intermediate tables: the folder that driver and executors share."""
+"""What the operators share: the folder for intermediate tables, row locators, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The row locator that stages decide by; identifiers may be missing or repeat.
-ROW = "_millrace_row"
+#: Rows of one key that go to one task, and the most keys that can be hot.
+ROWS_PER_COPY, HOT_KEYS = 1_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a local folder only where that is unset."""
+    """A new folder name under spark.checkpoint.dir; where that is unset, a local folder, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext.getCheckpointDir()
         if kept is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
             kept = spark.sparkContext.getCheckpointDir()
         root = kept
@@ -38,9 +40,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number per row in ROW, as a written table, so that a row keeps its number in every later job."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it as long as a column of `df` is called so, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number per row, as a written table, so that a row keeps its number in every later job; and the
+    name of the number's column, which docs does not have. Stages decide by it, as identifiers may be missing or repeat."""
+    row = free_name(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def hot_keys(counts: DataFrame, key: list[str], total: int) -> DataFrame:
+    """(key, copies) from (key, n), for broadcasting: the keys with more rows than ROWS_PER_COPY and than one in
+    HOT_KEYS of all `total` rows, of which there can be no more than HOT_KEYS."""
+    limit = max(ROWS_PER_COPY, total // HOT_KEYS)
+    hot = counts.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).cast("int").alias("copies"))
+    return F.broadcast(written(hot, "hot"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of `many`, in which one key may have a third of the rows, with `one`, which has few rows a key.
+
+    The rows of a hot key in `many` are dealt by a hash of the column `by` over as many copies of its rows in `one`.
+    `many` has to be a written table where `hot` is not given. Keys are not null; no other column is in both.
+    """
+    key = [key] if isinstance(key, str) else key
+    if hot is None:
+        hot = hot_keys(many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, many.count())
+    dealt = many.join(hot, key, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64(by), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy")
+    copied = one.join(hot, key, "left").select(*one.columns, each)
+    return dealt.join(copied, [*key, "copy"]).drop("copy")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from millrace.llm import chat_format, decontaminate, exact_dedup, graph, kernels, language, mixing, near_dedup, quality, queries, secret_scan, substring_dedup, token_count
+from millrace.llm import chat_format, decontaminate, exact_dedup, graph, kernels, language, mixing, near_dedup, quality, queries, secret_scan, shared, substring_dedup, token_count
 
 from ..conftest import SF, rows
 
@@ -45,7 +45,7 @@ def documents(spark):
 
 def clashing(df):
     """Columns named like those that operators make."""
-    names = ["id", "digest", "at", "keep", "n", "row", "token", "component", "kept", "tag", "doc", "spans", "text_sha256", "window", "size", "start", "tokens", "domain", "epoch", "budget", "score", "norm", "share"]
+    names = ["_row", "copy", "copies", "key", "n_shingles", "component_id", "_kept_id", "_near_id", "_leak_id", "id", "digest", "at", "keep", "n", "row", "token", "component", "kept", "tag", "doc", "spans", "text_sha256", "window", "size", "start", "tokens", "domain", "epoch", "budget", "score", "norm", "share"]
     return df.withColumns({c: F.lit("clash") for c in names if c not in df.columns})
 
 
@@ -446,6 +446,32 @@ def test_near_groups_of_a_large_family(spark):
     assert grouped(docs_of(spark, texts)) == linked(enumerate(texts), 4, 80)
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    """Five times the members make about five times the candidates, and the groups equal brute force."""
+    seen, plain = [], near_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("best", "pairs", "led"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    totals = []
+    for n in (200, 1000):
+        rng = np.random.default_rng(n)
+        texts = []
+        for _ in range(n):
+            words = [f"w{i}" for i in range(150)]
+            for at in rng.integers(0, 150, rng.integers(1, 14)):
+                words[at] = f"x{rng.integers(0, 10_000)}"
+            texts.append(" ".join(words))
+        seen.clear()
+        assert grouped(docs_of(spark, texts)) == linked(enumerate(texts), 4, 80)
+        totals.append(sum(seen))
+    assert totals[1] < 8 * totals[0] and totals[1] < 1000 * 20
+
+
 def test_near_groups_of_awkward_texts(spark, awkward, none):
     out = near_dedup.near_groups(clashing(awkward), size=4).collect()
     by_id = {r["doc_id"]: r for r in out if r["doc_id"] != 3}
@@ -514,7 +540,7 @@ def test_colliding_digests_are_told_apart(spark):
 
 
 def test_hot_groups_are_compared_in_copies(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "ROWS_PER_COPY", 7)
+    monkeypatch.setattr(shared, "ROWS_PER_COPY", 7)
     got = exact_dedup.exact_groups(docs_of(spark, ["same text"] * 50 + ["other"])).collect()
     assert Counter(r["group_size"] for r in got) == {50: 50, 1: 1} and sum(r["kept"] for r in got) == 2
 
@@ -543,6 +569,19 @@ def test_stages_keep_one_row_of_each_group(spark):
     assert sorted(t or "" for _, t in kept) == sorted([LONG, "other text of the same id", "no id", "alone without id", "", ""])
 
 
+def test_stages_survive_clashing_names(spark, awkward):
+    docs = clashing(awkward)
+    bench = spark.createDataFrame([(1, "one")], "item_id bigint, text string")
+    for out in (exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs), decontaminate.decontaminate(docs, bench)):
+        assert out.columns == docs.columns and 0 < out.count() < docs.count()
+
+
+def test_rows_without_id_are_not_paired_with_each_other(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text"))
+    out = exact_dedup.exact_groups(docs).groupBy("group_size", "kept").count().collect()
+    assert sorted((r["group_size"], r["kept"], r["count"]) for r in out) == [(20_000, False, 19_999), (20_000, True, 1)]
+
+
 def test_a_later_run_continues_the_state(spark, tmp_path):
     path = str(tmp_path / "state")
     for k, texts in enumerate((["a", "b"], ["b", "c"])):
