@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each word, lower-cased in A-Z, from both ends and labels every byte of it with language
-probabilities; a document's are the mean over the bytes of its letters. It is trained by backpropagation through
-time, in numpy, on words from a bounded sample of labelled documents. Words that recur are read once per run of
-documents, since a word's labels depend on its bytes alone.
+The network reads a document's bytes, lower-cased in A-Z and spaces included, from both ends and labels every one of
+them with language probabilities; a document's are the mean over the bytes of its letters. So that a document of any
+length is read in parallel, its bytes are labelled in pieces of PIECE, each read from CONTEXT bytes before it to
+CONTEXT bytes behind it: the state that enters a piece is that of these bytes. The network is trained by
+backpropagation through time, in numpy, on a bounded sample of such pieces from all labelled documents.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, runs, word_hashes
+from .kernels import LOWER, U64, mixed, runs
 
-#: State size, bytes that a word is read in at once (a longer one in pieces), and words in a matrix.
-HIDDEN, LONGEST, BATCH = 16, 32, 2048
-#: Documents per language and words per document that train the network, and its training schedule.
-DOCUMENTS, WORDS, STEPS, RATE = 400, 150, 500, 0.02
+#: State size, bytes that a piece labels, bytes read before and behind it, and pieces in a matrix.
+HIDDEN, PIECE, CONTEXT, BATCH = 8, 256, 32, 1024
+#: About how many pieces of each language train the network: rows (document, piece), each as likely as any other.
+SAMPLE = 2_000
+#: Training steps, their rate, the pieces in a step, and bytes of a stretch of one that a step reads.
+STEPS, RATE, PER_STEP, STRETCH = 400, 0.02, 160, 48
+#: The most languages that a corpus may name; with more the column holds something else, and training refuses it.
+LANGUAGES = 1_000
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -123,15 +128,19 @@ class Network:
         table[seen] = np.add.reduceat(d_x.reshape(-1, 3 * h)[order], first)
         return table, d_u
 
-    def train(self, words: np.ndarray, lengths: np.ndarray, target: np.ndarray, steps: int = STEPS, rate: float = RATE, size: int = 384) -> list[float]:
-        """Adam over seeded batches of words of like length; the losses, step by step."""
+    def train(self, pieces: list[np.ndarray], target: np.ndarray, steps: int = STEPS, rate: float = RATE, size: int = PER_STEP) -> list[float]:
+        """Adam over seeded batches, with as many stretches of each language; the losses, step by step."""
         rng, losses = np.random.default_rng(5), []
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in "mv")
-        order = np.argsort(lengths, kind="stable")
+        own = [np.flatnonzero(target == k) for k in np.unique(target)]
         for step in range(1, steps + 1):
-            at = rng.integers(0, max(1, len(order) - size + 1))
-            pick = order[at : at + size]
-            loss, grads = self.gradients(words[pick, : lengths[pick].max()], lengths[pick], target[pick])
+            pick = np.concatenate([rng.choice(x, -(-size // len(own))) for x in own])
+            lengths = np.array([min(len(pieces[i]), STRETCH) for i in pick])
+            words = np.zeros((len(pick), lengths.max()), np.uint8)
+            for row, i, n in zip(words, pick, lengths, strict=True):
+                at = rng.integers(0, len(pieces[i]) - n + 1)
+                row[:n] = pieces[i][at : at + n]
+            loss, grads = self.gradients(words, lengths, target[pick])
             losses.append(loss)
             for k, g in grads.items():
                 m[k] += 0.1 * (g - m[k])
@@ -142,78 +151,73 @@ class Network:
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(documents, languages): mean probabilities over the bytes of letters; zero without any."""
-        hashes, starts, ends, counts = word_hashes(data, offsets)
-        n_docs, n_langs = len(counts), len(self.languages)
-        if not len(starts):
-            return np.zeros((n_docs, n_langs))
-        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
-        begin, length = starts[first], (ends - starts)[first]
-        pieces = -(-length // LONGEST)
-        word = np.repeat(np.arange(len(first)), pieces)
-        nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, length = begin[word] + nth * LONGEST, np.minimum(length[word] - nth * LONGEST, LONGEST)
-        low, letter = LOWER[data], _LETTER[data]
-        sums = np.zeros((len(first), n_langs + 1))
+        n_docs, n_langs = len(offsets) - 1, len(self.languages)
+        doc, start, end = piece_bounds(offsets)
+        low, high = np.maximum(start - CONTEXT, offsets[doc]), np.minimum(end + CONTEXT, offsets[doc + 1])
+        lower, letter, length = LOWER[data], _LETTER[data], high - low
+        sums = np.zeros((n_langs + 1, n_docs))
         order = np.argsort(length, kind="stable")
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             size = length[pick]
-            place = np.minimum(begin[pick, None] + np.arange(size[-1]), len(data) - 1)
-            inside = np.arange(size[-1]) < size[:, None]
-            weight = (letter[place] & inside).astype(np.float32)
-            mass = np.einsum("wsl,ws->wl", self.probabilities(np.where(inside, low[place], 0), size), weight)
-            np.add.at(sums, word[pick], np.concatenate([mass, weight.sum(1, keepdims=True)], 1))
-        doc = np.repeat(np.arange(n_docs), counts)
-        each = np.stack([np.bincount(doc, sums[same, k], n_docs) for k in range(n_langs + 1)], 1)
-        return each[:, :-1] / np.maximum(each[:, -1:], 1)
+            place = low[pick, None] + np.arange(size[-1])
+            inside = place < high[pick, None]
+            place = np.minimum(place, len(data) - 1)
+            weight = letter[place] & inside & (place >= start[pick, None]) & (place < end[pick, None])
+            mass = np.einsum("wsl,ws->lw", self.probabilities(np.where(inside, lower[place], 0), size), weight.astype(np.float32))
+            for total, part in zip(sums, [*mass, weight.sum(1)], strict=True):
+                total += np.bincount(doc[pick], part, n_docs)
+        return (sums[:-1] / np.maximum(sums[-1], 1)).T
+
+
+def piece_bounds(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and end byte of each piece of the documents of a run."""
+    n = -(-np.diff(offsets) // PIECE)
+    doc = np.repeat(np.arange(len(n)), n)
+    start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
+    return doc, start, np.minimum(start + PIECE, offsets[doc + 1])
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, id, words): of about DOCUMENTS labelled documents per language, WORDS words from all over the text.
+def training_pieces(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, id, piece): about SAMPLE pieces per language, from all over the texts of all that may teach.
 
-    Documents are chosen by a hash of the id, at a rate that the count of their language sets.
+    Pieces are chosen by a hash of the id and their number, at a rate that the size of their language's texts sets.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(~held_out(F.col(id_col)), F.lit(False)))
-    share = known.groupBy(F.col(lang_col).alias("lang")).agg((F.lit(float(DOCUMENTS)) / F.count(F.lit(1))).alias("share"))
-    rows = known.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = known.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang_col} names more than {LANGUAGES} languages")
+    share = {r["lang"]: min(1.0, SAMPLE / max(1, r["n"])) for r in sizes}
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for _, _, data, offsets in runs(batch.column(2)):
-                _, starts, ends, counts = word_hashes(data, offsets)
-                upto = np.concatenate([[0], np.cumsum(counts)])
-                for a, b in zip(upto[:-1], upto[1:], strict=True):
-                    pick = np.unique(np.linspace(a, b - 1, min(WORDS, b - a)).astype(int)) if b > a else []
-                    out.append(b" ".join(data[starts[k] : min(ends[k], starts[k] + LONGEST)].tobytes() for k in pick))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "id", "words"])
+            langs, ids, out = batch.column(0).to_pylist(), batch.column(1).to_numpy(), [[], [], []]
+            for first, _, data, offsets in runs(batch.column(2)):
+                doc, start, end = piece_bounds(offsets)
+                below = np.array([share[x] for x in langs[first : first + len(offsets) - 1]])[doc]
+                draw = mixed(mixed(ids[first + doc].astype(U64)) ^ (start - offsets[doc]).astype(U64)) >> U64(11)
+                for k in np.flatnonzero(draw < below * 2.0**53):
+                    for column, value in zip(out, (langs[first + doc[k]], ids[first + doc[k]], data[start[k] : end[k]].tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["lang", "id", "piece"])
 
-    return rows.select("lang", "id", "text").mapInArrow(batches, "lang string, id bigint, words binary")
+    return rows.mapInArrow(batches, "lang string, id bigint, piece binary")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """The network, from documents that are not held out; None if none of them names a language."""
-    rows = training_words(docs, id_col, text_col, lang_col).toPandas().sort_values(["lang", "id", "words"], kind="stable")
+    rows = training_pieces(docs, id_col, text_col, lang_col).toPandas().sort_values(["lang", "id", "piece"], kind="stable")
+    rows = rows[[bool(_LETTER[np.frombuffer(x, np.uint8)].any()) for x in rows["piece"]]]
     if not len(rows):
         return None
     languages = sorted(set(rows["lang"]))
-    words, target = [], []
-    for lang, text in zip(rows["lang"], rows["words"], strict=True):
-        for w in text.split():
-            if any(_LETTER[c] for c in w):
-                words.append(w[:LONGEST])
-                target.append(languages.index(lang))
     network = Network(languages)
-    if words:
-        lengths = np.array([len(w) for w in words])
-        table = LOWER[np.frombuffer(b"".join(w.ljust(LONGEST, b"\0") for w in words), np.uint8).reshape(len(words), LONGEST)]
-        mix = np.random.default_rng(3).permutation(len(words))
-        network.train(table[mix], lengths[mix], np.array(target)[mix])
+    network.train([LOWER[np.frombuffer(x, np.uint8)] for x in rows["piece"]], np.array([languages.index(x) for x in rows["lang"]]))
     return network
 
 

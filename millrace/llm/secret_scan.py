@@ -3,7 +3,8 @@
 Labelled credentials grow a prefix tree whose states are merged where their statistics are compatible (the ALERGIA
 algorithm, in red-blue order), which gives a probabilistic automaton over character classes. Every candidate string
 of a text is scored by its likelihood under the automaton against its likelihood as ordinary text; a candidate well
-above is a span of kind `format`. Spans of the fixed patterns stay whatever their score.
+above is a span of kind `format`, unless a fixed pattern marks just these letters. Spans of the fixed patterns stay
+whatever their score, which they tell as well.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]+"), 16
 ANY_CANDIDATE = r"[A-Za-z0-9+/_=-]{16}"
 #: Labelled credentials that the automata learn from, per kind, and sampled ordinary candidates for the background.
 SAMPLE = 2_000
-#: Letters of one credential that the automata learn from, which bounds the sample in bytes; scoring reads all of one.
-LEARNED = 256
 #: Confidence of the compatibility test, and the log-likelihood ratio per letter from which a candidate is a secret.
 ALPHA, MARGIN = 0.05, 0.35
 #: Rounds in which candidates are weighed between the automata and the background that is learnt from them.
@@ -201,14 +200,16 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of credential letters outside the base spans."""
+def candidates(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, letters, whether no base span touches them) of the runs of credential letters, but for those that
+    are the credential of a base span."""
     base = sorted(base)
     starts, reach = [a for a, _, _, _ in base], list(accumulate((b for _, b, _, _ in base), max))
+    marked = {(b - len(credential), b) for _, b, _, credential in base}
     for m in CANDIDATE.finditer(text):
-        before = bisect_left(starts, m.end())
-        if m.end() - m.start() >= LEAST and not (before and reach[before - 1] > m.start()):
-            yield m.start(), m.end(), m[0]
+        if m.end() - m.start() >= LEAST and m.span() not in marked:
+            before = bisect_left(starts, m.end())
+            yield m.start(), m.end(), m[0], not (before and reach[before - 1] > m.start())
 
 
 def worth_a_look(texts: pa.Array) -> pa.Array:
@@ -227,10 +228,11 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
                 base = base_spans(text)
                 for _, _, kind, credential in base:
                     kinds.append(kind)
-                    found.append(credential[:LEARNED])
-                for _, _, s in candidates(text, base):
-                    kinds.append("other")
-                    found.append(s[:LEARNED])
+                    found.append(credential)
+                for _, _, s, free in candidates(text, base):
+                    if free:
+                        kinds.append("other")
+                        found.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "credential"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(batches, "kind string, credential string")
@@ -249,8 +251,9 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tupl
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(id, spans): one row per row of `docs`; spans is an array of (start, end, kind) in code points, end exclusive,
-    by start and then kind in the order assign, access, hex, format.
+    """(id, spans): one row per row of `docs`; spans is an array of (start, end, kind, margin) in code points, end
+    exclusive, by start and then kind in the order assign, access, hex, format. `margin` is the log-likelihood ratio
+    a letter of the credential, or null where nothing was learnt.
 
     Null and empty texts have no spans; repeated rows each get theirs; an empty table gives no rows. Without any
     base span in the table nothing is learnt and no format span is added. Only the id and the text are read.
@@ -258,6 +261,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     automata, background = learn(docs, text_col, sample)
     kind_of_id = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
 
+    def margin(s: str) -> float | None:
+        return (max(m.score(s) for m in automata.values()) - background.score(s)) / len(s) if automata else None
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = pc.fill_null(batch.column(1), "")
@@ -269,18 +275,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
                     continue
                 text = texts[i].as_py()
                 base = base_spans(text)
-                spans = [(a, b, k) for a, b, k, _ in base]
-                for a, b, s in candidates(text, base) if automata else ():
-                    margin = max(m.score(s) for m in automata.values()) - background.score(s)
-                    if margin >= MARGIN * len(s):
-                        spans.append((a, b, "format"))
+                spans = [(a, b, k, margin(s)) for a, b, k, s in base]
+                spans += [x for a, b, s, _ in candidates(text, base) if automata and (x := (a, b, "format", margin(s)))[3] >= MARGIN]
                 spans.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
-                out.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+                out.append([{"start": a, "end": b, "kind": k, "margin": m} for a, b, k, m in spans])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("margin", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(batches, f"id {kind_of_id}, spans array<struct<start: bigint, end: bigint, kind: string>>")
+    found = rows.mapInArrow(batches, f"id {kind_of_id}, spans array<struct<start: bigint, end: bigint, kind: string, margin: double>>")
     return found.withColumnRenamed("id", id_col)
 
 
