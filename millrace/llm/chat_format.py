@@ -1,9 +1,10 @@
 """Chat formatting from event logs: reconstruct messages, escape them, render them with a loss mask.
 
 A log row is an event of a conversation: `open` starts a message with a role and a first text, `delta` adds text,
-`edit` replaces the text so far, `regenerate` discards it. Events are dealt by ranges of (conversation, message),
-so one conversation, however long, is spread over many tasks while each message stays whole; within a task they
-are sorted by sequence and folded into final messages one at a time. Rendered messages leave a task in blocks.
+`edit` replaces the text so far, `regenerate` discards it. A message stands in its conversation where the sequence
+of its first event puts it. Events are dealt by ranges of (conversation, that sequence), so one conversation, however
+long, is spread over many tasks while each message stays whole; within a task they are sorted by sequence and folded
+into final messages one at a time. Rendered messages leave a task in blocks.
 
 Control strings inside texts are escaped so that no text can open or close a turn: a backslash doubles and `<|`
 becomes `<\\|`. Roles escape line breaks as well.
@@ -96,14 +97,17 @@ def format_conversations(events: DataFrame, learn_roles: tuple[str, ...] = ("ass
     `events` has conv_id, seq, message, kind, role and text. A conversation's blocks, in order of `part`, put end
     to end are its formatted text; `mask` lists (start, end) within the block, in code points, where the loss
     applies. Null texts and roles are empty, null numbers sort first, and a null conv_id is a conversation of its
-    own. Events of one message that tie in seq are taken in the order open, regenerate, edit, delta, then by role
-    and text; repeated rows are repeated events. Empty tables give no rows; other columns are not read.
+    own. Messages stand by the least seq of their events, then by number. Events of one message that tie in seq are
+    taken in the order open, regenerate, edit, delta, then by role and text; repeated rows are repeated events. Empty
+    tables give no rows; other columns are not read.
     """
     rank = F.when(F.col("kind") == OPEN, 0).when(F.col("kind") == REGENERATE, 1).when(F.col("kind") == EDIT, 2).otherwise(3)
     log = events.select("conv_id", "message", "seq", rank.alias("rank"), "role", "text", "kind")
-    order = ["conv_id", "message", "seq", "rank", "role", "text"]
+    began = log.groupBy(F.col("conv_id").alias("of_conv"), F.col("message").alias("of_message")).agg(F.when(F.count_if(F.col("seq").isNull()) == 0, F.min("seq")).alias("first"))
+    log = log.join(began, F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("message").eqNullSafe(F.col("of_message"))).drop("of_conv", "of_message")
+    order = ["conv_id", "first", "message", "seq", "rank", "role", "text"]
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = log.repartitionByRange(n, "conv_id", "message").sortWithinPartitions(*order)
+    dealt = log.repartitionByRange(n, "conv_id", "first", "message").sortWithinPartitions(*order)
     dealt = dealt.select("conv_id", "message", "kind", "role", "text", F.spark_partition_id().cast("long").alias("task"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

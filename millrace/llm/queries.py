@@ -44,13 +44,30 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "tokens", F.col("epoch").cast("bigint").alias("epoch"), "budget")
 
 
+def turn_log(turns: DataFrame) -> DataFrame:
+    """The turns (conv_id, turn, role, text) as a log that their text was streamed with.
+
+    A user's turn comes as a message and a delta, and is edited from a draft where its number is divisible by four.
+    An assistant's is streamed in two deltas, after a first answer that was thrown away where its number is odd.
+    """
+    open_, delta, edit, again = (F.lit(k) for k in (chat_format.OPEN, chat_format.DELTA, chat_format.EDIT, chat_format.REGENERATE))
+    text, half = F.coalesce("text", F.lit("")), F.expr("length(coalesce(text, '')) div 2")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda k, kind, said: F.struct(F.lit(k).alias("at"), kind.alias("kind"), said.alias("text"))
+    drafted = F.array(event(0, open_, F.lit("a draft")), event(1, delta, F.lit(" and more")), event(2, edit, head), event(3, delta, tail))
+    twice = F.array(event(0, open_, F.lit("")), event(1, delta, F.reverse(text)), event(2, again, F.lit(None).cast("string")), event(3, delta, head), event(4, delta, tail))
+    plain = F.array(event(0, open_, head), event(1, delta, tail))
+    chosen = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), twice).when((F.col("role") == "user") & (F.col("turn") % 4 == 0), drafted).otherwise(plain)
+    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("message"), "role", F.explode(chosen).alias("e"))
+    return rows.select("conv_id", (F.col("message") * 8 + F.col("e.at")).alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every logged turn is an event that opens a message; conversation -1 carries control strings in its texts."""
+    """Every turn is logged as it was streamed and folded again; conversation -1 carries control strings in its texts."""
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit(chat_format.OPEN).alias("kind"), "role", "text")
-    return chat_format.digest(chat_format.format_conversations(events))
+    return chat_format.digest(chat_format.format_conversations(turn_log(rows)))
 
 
 def op2_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
