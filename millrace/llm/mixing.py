@@ -44,9 +44,14 @@ def deal(nodes: DataFrame, parent: list[str], node: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weight_of: dict[str, dict[str, int]], total: Column, max_epochs: int) -> DataFrame:
     """Budget of each leaf. `leaves` has domain, lang, source and tokens, a row per leaf.
 
-    `weight_of` maps a level to integer weights of its values; a value without one weighs 1. `total` is the
-    whole budget as an expression over `tokens` of all leaves; what no leaf can hold stays unspent.
+    `weight_of` maps a level to integer weights of its values; a value without one weighs 1, and a leaf with a value
+    of weight 0 has no budget and no capacity. Other weights than integers from 0 are refused. `total` is the whole
+    budget as an expression over `tokens` of all leaves; what no leaf can hold stays unspent.
     """
+    for level, known in weight_of.items():
+        if level not in LEVELS or any(not isinstance(w, int) or w < 0 for w in known.values()):
+            raise ValueError(f"weights are integers from 0, by one of {LEVELS}, not {level}: {known}")
+
     def weight(level: str) -> Column:
         known = weight_of.get(level, {})
         expr = F.lit(None).cast("bigint")
@@ -54,8 +59,10 @@ def leaf_budgets(leaves: DataFrame, weight_of: dict[str, dict[str, int]], total:
             expr = F.when(F.col(level) == value, F.lit(w).cast("bigint")).otherwise(expr)
         return F.coalesce(expr, F.lit(1).cast("bigint"))
 
-    caps = leaves.withColumn("root", F.col("tokens") * 0).withColumn("cap", F.col("tokens") * max_epochs)
+    used = (weight(LEVELS[0]) > 0) & (weight(LEVELS[1]) > 0) & (weight(LEVELS[2]) > 0)
+    caps = leaves.withColumn("root", F.col("tokens") * 0).withColumn("cap", F.when(used, F.col("tokens") * max_epochs).otherwise(0))
     held, keys = caps.groupBy("root").agg(F.least(total.cast("bigint"), F.sum("cap")).alias("budget")), ["root"]
+    caps = caps.where(used)
     for level in LEVELS:
         nodes = caps.groupBy(*keys, level).agg(F.sum("cap").alias("cap")).withColumn("weight", weight(level))
         held = deal(nodes.join(held, keys), keys, level).select(*keys, level, "budget")
@@ -95,9 +102,14 @@ def select_prefixes(rows: DataFrame, weight_of: dict, total: Column, seed: int,
     full = slots.where(~part)
     last = slots.where(part).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("id").cast("string"))))
     last = last.withColumn("slice", F.conv(F.substring("key", 1, SLICE_DIGITS), 16, 10).cast("int")).withColumn("need", F.expr("budget - whole * leaf_tokens"))
-    sums = last.groupBy(*keys, "need", "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    upto = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("slice_tokens").over(upto), F.lit(0))).where("start < need").drop("need")
+    sums = last.groupBy(*keys, "need", "slice").agg(F.sum("tokens").alias("slice_tokens")).withColumn("part", F.shiftright("slice", 2 * SLICE_DIGITS))
+    # running sums over the parts of a leaf, then over the slices of a part: 256 rows at most in either window
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy(*keys, "part").agg(F.sum("slice_tokens").alias("part_tokens"))
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("part_tokens").over(upto), F.lit(0)).alias("part_start"))
+    within = Window.partitionBy(*keys, "part").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("before", F.coalesce(F.sum("slice_tokens").over(within), F.lit(0))).join(parts, [*keys, "part"])
+    starts = starts.withColumn("start", F.col("part_start") + F.col("before")).where("start < need").select(*keys, "slice", "slice_tokens", "start")
     last = last.join(starts, [*keys, "slice"])
     inside = last.where("start + slice_tokens <= need")
     order = Window.partitionBy(*keys, "slice").orderBy("key", "id", "tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
