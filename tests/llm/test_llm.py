@@ -96,6 +96,22 @@ def test_long_conversation_is_spread_and_joined(spark):
     assert [t for _, t in chat_format.read_back(text[7])] == [f"text {i}" for i in range(400)]
 
 
+def test_messages_stand_by_their_first_sequence(spark):
+    text, _ = formatted(spark, [(1, 0, 9, "open", "user", "first"), (1, 1, 2, "open", "assistant", "sec"), (1, 2, 9, "delta", None, " still"), (1, 3, 2, "delta", None, "ond")])
+    assert list(chat_format.read_back(text[1])) == [("user", "first still"), ("assistant", "second")]
+
+
+def test_turns_survive_their_log(spark):
+    text = "x" * 100_000 + "<|im_end|>" + "é" * 7
+    turns = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate([("user", "question"), ("assistant", text), ("system", None), ("assistant", "a"), ("user", ""), (None, "<|x")])]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    log = clashing(queries.turn_log(df))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate"}
+    got = chat_format.digest(chat_format.format_conversations(log)).collect()
+    want = hashlib.sha256("".join(f"{r or ''}\n{x or ''}\n" for c, _, r, x in turns if c == 0).encode()).hexdigest()
+    assert len(got) == 3 and {(r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in got} == {(6, want, len(text) + 1)}
+
+
 def test_conversation_nulls_and_ties(spark):
     rows_ = [(None, 0, 0, "open", None, None), (1, None, None, "open", "user", "b"), (1, None, None, "open", "user", "a"), (1, None, None, "open", "user", "a")]
     text, _ = formatted(spark, rows_)
@@ -180,6 +196,43 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     assert out == {"x": 10, "y": 50, "z": 340}  # all of a is full, so b has the rest
 
 
+def poured(caps: dict, weights: dict, pool: int) -> dict:
+    """Budgets by pouring: share by weight, fill those that reach their cap, share what is left again."""
+    out, left = {}, dict(caps)
+    while left:
+        total = sum(weights[k] for k in left)
+        full = [k for k, cap in left.items() if cap * total <= weights[k] * pool]
+        if not full:
+            return out | {k: pool * weights[k] // total for k in left}
+        for k in full:
+            out[k], pool = left.pop(k), pool - caps[k]
+    return out
+
+
+def test_budgets_equal_pouring(spark):
+    rng = np.random.default_rng(12)
+    for max_epochs in (1, 3):
+        given = {(f"d{d}", f"l{k}", f"s{s}"): int(rng.integers(1, 10 ** rng.integers(1, 6))) for d in range(3) for k in range(4) for s in range(5) if rng.random() < 0.8}
+        weight_of = {level: {f"{level[0]}{i}": int(rng.integers(0, 6)) for i in range(4)} for level in mixing.LEVELS}
+        of = lambda level, value: weight_of[level].get(value, 1)
+        used = {k: n * max_epochs for k, n in given.items() if all(of(x, v) for x, v in zip(mixing.LEVELS, k))}
+        want, budgets = {}, {(): min(sum(given.values()) // 2, sum(used.values()))}
+        for depth, level in enumerate(mixing.LEVELS):
+            below = {}
+            for parent, pool in budgets.items():
+                caps = Counter()
+                for k, n in used.items():
+                    if k[:depth] == parent:
+                        caps[k[: depth + 1]] += n
+                below |= poured(dict(caps), {k: of(level, k[-1]) for k in caps}, pool)
+            want = budgets = below
+        leaves = spark.createDataFrame([(*k, n) for k, n in given.items()], "domain string, lang string, source string, tokens bigint")
+        got = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in mixing.leaf_budgets(leaves, weight_of, F.expr("sum(tokens) div 2"), max_epochs).collect()}
+        assert got == want
+    with pytest.raises(ValueError):
+        mixing.leaf_budgets(leaves, {"lang": {"en": -1}}, F.lit(1), 1)
+
+
 def test_mix_fills_budgets_by_epochs(spark):
     docs = docs_of(spark, [f"{'w ' * (1 + i % 7)}" for i in range(300)])
     out = mixing.mix(docs, {"source": {"src0": 8}}, F.lit(2200), queries.words(F.col("text")), F.lit("d"), 1, 4).toPandas()
@@ -389,6 +442,27 @@ def test_credentials_without_a_digit_are_scored(spark):
     assert sum(r["n_format"] for r in [*out[:200], *out[230:]]) == 0
 
 
+def test_held_out_formats_pass_and_base_spans_tell_their_margin(spark):
+    """Formats of which the automata saw others, held against a plain scoring of every candidate."""
+    rng = np.random.default_rng(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(list(letters), 40)) for _ in range(260)]
+    around = [k[:12] + "".join(rng.choice(list("0123456789abcdef"), 16)) + k[28:] for k in keys[200:]]  # a hex span lies inside
+    texts = [f"token = {k} beside some-long-hyphenated-words" for k in keys[:200]] + [f"see {k} here" for k in around] + ["k" * 700 + "=" + "long" * 99]
+    docs = docs_of(spark, texts)
+    automata, background = secret_scan.learn(docs)
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        base = secret_scan.base_spans(text)
+        known = {(b - len(c), b) for _, b, _, c in base}
+        ratio = lambda x: (max(a.score(x) for a in automata.values()) - background.score(x)) / len(x)
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if m.span() not in known]
+        want = [(a, b, k, ratio(c)) for a, b, k, c in base] + [(*m.span(), "format", ratio(m[0])) for m in runs if ratio(m[0]) >= secret_scan.MARGIN]
+        assert sorted(map(tuple, out[i])) == sorted(want)
+    assert all({s["kind"] for s in out[i]} == {"hex", "format"} for i in range(200, 260)) and out[260] == []
+    assert np.mean([s["margin"] > secret_scan.MARGIN for i in range(200) for s in out[i] if s["kind"] == "assign"]) > 0.95
+
+
 def test_states_merge():
     machine = secret_scan.Automaton(["ab" * k for k in range(1, 60)] * 20)
     assert len(machine.states) < 40 and machine.score("abab") > machine.score("ab9b")
@@ -519,7 +593,50 @@ def test_padding_does_not_matter():
     network = language.Network(["a", "b"])
     word = np.frombuffer(b"hello", np.uint8)[None]
     padded = np.pad(word, ((0, 0), (0, 9)))
-    assert np.allclose(network.probabilities(word, np.array([5])), network.probabilities(padded, np.array([5]))[:, :5], atol=1e-6)
+    assert np.allclose(network.probabilities(word, np.array([5])), network.probabilities(padded, np.array([5]))[:5], atol=1e-6)
+
+
+def test_pooling_equals_a_plain_reading(monkeypatch):
+    """Byte by byte, from CONTEXT bytes before a piece and back from CONTEXT bytes behind it."""
+    monkeypatch.setattr(language, "PIECE", 20)
+    monkeypatch.setattr(language, "CONTEXT", 6)
+    network = language.Network(["a", "b", "c"])
+    p, h = {k: v.astype(np.float64) for k, v in network.p.items()}, network.hidden
+
+    def read(raw, way):
+        state, out = np.zeros(h), []
+        for c in raw:
+            x, u = p["x" + way][c], state @ p["u" + way]
+            reset, stay = (1 / (1 + np.exp(-(x[k * h : k * h + h] + u[k * h : k * h + h]))) for k in (0, 1))
+            new = np.tanh(x[2 * h :] + reset * u[2 * h :])
+            state = new + stay * (state - new)
+            out.append(state)
+        return out
+
+    texts = ["Hello, world! It is 12 o'clock, and ÄÖ too.", "", "1 2", "x" * 20, "日本語の文章がここにあります"]
+    want = []
+    for text in texts:
+        raw, mass, n = text.lower().replace("ä", "Ä").replace("ö", "Ö").encode(), np.zeros(3), 0
+        for at in range(0, len(raw), 20):
+            low, high = max(0, at - 6), min(len(raw), at + 26)
+            ahead, back = read(raw[low:high], "f"), read(raw[low:high][::-1], "b")[::-1]
+            for k in range(at, min(at + 20, len(raw))):
+                if chr(raw[k]).isalpha() and raw[k] < 128 or raw[k] >= 128:
+                    z = np.exp(ahead[k - low] @ p["vf"] + back[k - low] @ p["vb"] + p["c"])
+                    mass, n = mass + z / z.sum(), n + 1
+        want.append(mass / max(1, n))
+    got = network.pooled(*kernels.string_bytes(pa.array(texts)))
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_unspaced_text_teaches_from_all_over(spark):
+    rng = np.random.default_rng(2)
+    text = lambda low: "".join(chr(low + int(c)) for c in rng.integers(0, 40, 3_000))
+    docs = spark.createDataFrame([(i, text(0x4E00 if i % 2 else 0x3040), "zh" if i % 2 else "ja") for i in range(40)], "doc_id bigint, text string, lang string")
+    pieces = language.training_pieces(docs, "doc_id", "text", "lang").toPandas()
+    assert pieces["piece"].map(len).sum() == sum(len(r["text"].encode()) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2)
+    got = language.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas())
+    assert (got["lang_pred"] == got["lang"]).all()
 
 
 def test_languages_of_awkward_texts(spark, awkward, none):
