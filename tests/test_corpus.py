@@ -240,6 +240,8 @@ def test_command_line(spark, source, tmp_path, capsys):
     config = tmp_path / "p.json"
     config.write_text(Pipeline(tuple(STEPS), 1).to_json())
     assert cli.main([*common, "--output", str(tmp_path / "p"), "pipeline", "--config", str(config)], spark) == 0
+    assert cli.main([*common, "--output", str(tmp_path / "n"), "--pieces", "quantise", "--scheme", "bfloat16"], spark) == 0
+    assert (tmp_path / "n" / "quantise-bfloat16-00000.bin").exists()
     assert cli.main([*common, "--output", str(tmp_path / "x"), "sample", "--rate", "7"], spark) == 1
     assert cli.main([*common, "--output", str(tmp_path / "x"), "quantise", "--scheme", "int8"], spark) == 1
     with pytest.raises(SystemExit) as e:
