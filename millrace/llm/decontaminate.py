@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .shared import numbered, written
+from .shared import numbered, spread_join, written
 
 SHINGLE, BLOCKS, BLOCK_BITS, FLIPS = 5, 8, 16, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Items whose shingles go to every task at once; a larger benchmark takes a pass over the documents per so many.
-ITEMS_PER_PASS = 20_000
+#: Words of items whose shingles go to every task at once, 8 bytes each; a larger benchmark takes a pass over the
+#: documents per so many.
+WORDS_PER_PASS = 4_000_000
+#: Pairs of texts whose similarity a task remembers: speed only, as a passage that many documents share recurs.
+REMEMBERED = 64
 #: Shingles whose running bit sums are held at once, and the mixing constants of the two fingerprint halves.
 SPAN = 4096
 _HALVES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], U64)
@@ -163,6 +167,7 @@ def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
     return asked.hint("merge").join(listed, ["size", "block"]).where(apart <= RADIUS).select("size", "f1", "f2", "item_id").distinct()
 
 
+@lru_cache(REMEMBERED)
 def weighted_similarity(a: str, b: str) -> float:
     """Sum of the smaller over sum of the larger counts of the texts' shingles, words lower-cased in A-Z."""
     bags = []
@@ -197,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     listed = written(item_prints(items), "items")
-    passes = max(1, -(-listed.count() // ITEMS_PER_PASS))
+    passes = max(1, -(-(listed.agg(F.sum("size").alias("n")).first()["n"] or 0) // WORDS_PER_PASS))
     found = None
     for k in range(passes):
         part = listed.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == k)
@@ -205,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
         windows = written(window_rows(docs, index, id_col, text_col), "windows")
         pairs = within_radius(windows.select("size", "f1", "f2").distinct(), part)
         pairs = pairs.join(part.select("item_id", "item", "size"), ["item_id", "size"])
-        hits = verified(windows.join(pairs, ["size", "f1", "f2"]), percent)
+        hits = verified(spread_join(windows, pairs, ["size", "f1", "f2"], "id"), percent)
         found = hits if found is None else found.unionByName(hits)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "size")).alias("best")
     return found.groupBy("id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows")).select(
