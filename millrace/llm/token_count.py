@@ -32,6 +32,8 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if odd := unlike(spec):
+            raise ValueError(f"{path}: not supported: {', '.join(odd)}")
         vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
@@ -50,7 +52,7 @@ class Merges:
             stay[who] = False
             rest, slot = rest[stay], (slot[stay] + 1) & ((1 << TABLE_BITS) - 1)
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int32)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # direct look-up by pair of bytes covers the first round, where most pairs are
         self.first = np.full((256, 256), NONE, np.int32)
@@ -73,6 +75,16 @@ class Merges:
         return out
 
 
+def unlike(spec: dict) -> list[str]:
+    """What a tokenizer file asks for and this module does not do; such a file would be counted wrongly."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    odd += ["model"] if model.get("type", "BPE") != "BPE" else []
+    odd += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+    return odd + [f"added token {t['content']!r}" for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones stand for themselves, the
     others, in order, for the code points from 256."""
