@@ -21,6 +21,8 @@ from .shared import written
 
 #: Hashed feature space, and the most documents that train the scorer: those with the smallest hashes of id and text.
 FEATURES, SAMPLE = 1 << 14, 20_000
+#: The most bytes of features, 8 for each kind that a document has, that train the scorer; more, and fewer documents do.
+SAMPLE_BYTES = 256 << 20
 THRESHOLD = 0.5
 #: Each labeller: a measure, the value above which it votes bad and that below which it votes good.
 LABELLERS = (
@@ -218,8 +220,8 @@ def scored(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str) ->
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
     """The label model, from all documents' votes, and the scorer's weights, from a sample of about `sample`.
 
-    What reaches the driver is bounded by the number of vote patterns (3 to the power of the labellers) and by the
-    sample. The sample follows hashes of the rows and so neither their order nor their partitions.
+    What reaches the driver is bounded by the number of vote patterns (3 to the power of the labellers), by the
+    sample and by about SAMPLE_BYTES. The sample follows hashes of the rows and so neither their order nor their partitions.
     """
     share = min(1.0, sample / max(1, docs.count()))
     rows = written(vote_rows(docs, id_col, text_col, share), "votes")
@@ -230,7 +232,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     table = np.array([[int(c) for c in r["pattern"]] for r in found])
     model = fit_label_model(table, np.array([r["count"] for r in found], float))
     posterior = dict(zip((r["pattern"] for r in found), model.posterior(table).tolist(), strict=True))
-    chosen = rows.where("features IS NOT NULL").orderBy("id", F.xxhash64("features")).select("pattern", "features").toPandas()
+    chosen = rows.where("features IS NOT NULL")
+    size = chosen.agg(F.sum(F.length("features")).alias("n")).first()["n"] or 0
+    if size > SAMPLE_BYTES:
+        chosen = chosen.where(F.pmod(F.xxhash64("id", "features"), F.lit(1 << 30)) < (SAMPLE_BYTES << 30) // size)
+    chosen = chosen.orderBy("id", F.xxhash64("features")).select("pattern", "features").toPandas()
     target = np.array([posterior[p] for p in chosen["pattern"]])
     return model, fit_scorer(list(chosen["features"]), target)
 
