@@ -152,6 +152,21 @@ def test_tokens_of_awkward_texts(spark, awkward, none):
 # 3 quality classifier
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"byte_fallback": True}}, {"model": {"dropout": 0.1}}])
+def test_unlike_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in change.items():
+        spec[key] = spec[key] | value if key == "model" else value
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="not supported"):
+        token_count.Merges(str(tmp_path / "t.json"))
+
+
 def test_quality_agrees_with_held_labels(spark):
     got = queries.op3_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
@@ -160,6 +175,14 @@ def test_quality_agrees_with_held_labels(spark):
     assert both[both["quality"] == 1]["kept"].mean() > 0.99
 
 
+def test_the_training_sample_is_bounded_by_its_features(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = quality.train(docs)[1]
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 40_000)
+    thin, again = quality.train(docs)[1], quality.train(docs.repartition(3))[1]
+    assert not np.allclose(whole, thin) and np.allclose(thin, again)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     n, skill = 20_000, np.array([0.95, 0.9, 0.85, 0.8])
@@ -300,12 +323,20 @@ def test_contamination_of_awkward_texts(spark, awkward, none, monkeypatch):
     bench = spark.createDataFrame([(1, LONG), (2, None), (3, " "), (4, "one"), (5, LONG)], "item_id bigint, text string")
     hits = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(clashing(awkward), bench).collect()}
     assert hits == {(d, i) for d in (3, 4, 5, None) for i in (1, 5)} | {(6, 4), (7, 4)}
-    monkeypatch.setattr(decontaminate, "ITEMS_PER_PASS", 2)
+    monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", 20)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(awkward, bench).collect()} == hits
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.decontaminate(awkward, bench.where("false")).count() == awkward.count()
 
 
+def test_a_passage_of_very_many_documents_is_dealt_over_copies(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_PER_COPY", 10)
+    passage, item = " ".join(f"w{i}" for i in range(40)), spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    docs = docs_of(spark, [f"before {i} {passage} after {i}" if i % 2 else f"clean {i} " * 30 for i in range(400)])
+    found = decontaminate.contamination(docs, item).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1, 400, 2)) and {(r["item_id"], r["similarity"], r["start_word"]) for r in found} == {(7, 1.0, 2)}
+
+
 def test_documents_shorter_than_an_item(spark):
     items = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(20)]
     texts = [" ".join(items[k][1].split()[k % 3 : 40 - cut]).upper() for k, cut in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 12, 36] * 2)]
