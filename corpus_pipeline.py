@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from millrace.llm.queries import EPOCHS, SEED, WEIGHTS, domain, total_tokens, words
 from millrace.llm.shared import table, written
+from millrace.llm.targets import EPOCHS, SEED, WEIGHTS, domain, total_tokens, words
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
