@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from ..errors import InvariantBroken, SourceEncodingMismatch, SourceWidthMismatc
 from ..shape import RecordShape
 from . import manifest as manifests
 
+#: The most tasks that hash files.
+TASKS = 10_000
+
 
 def check_declaration(directory: str, shape: RecordShape) -> None:
     """A source that has a manifest must hold what the caller says; one without is taken at the caller's word."""
@@ -25,9 +31,17 @@ def check_declaration(directory: str, shape: RecordShape) -> None:
 
 
 def digests(spark: SparkSession, directory: str, names: list[str]) -> DataFrame:
-    """(name, bytes, sha256) of files, each read by the task that has it."""
-    files = spark.read.format("binaryFile").load([os.path.join(directory, n) for n in names])
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(name, bytes, sha256) of files, each read as a stream by one task, so that none is held whole."""
+    paths = [os.path.join(directory, n) for n in names]
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k in batch.column(0).to_pylist():
+                with open(paths[k], "rb") as f:
+                    found = {"name": [os.path.basename(paths[k])], "bytes": [os.fstat(f.fileno()).st_size], "sha256": [hashlib.file_digest(f, "sha256").hexdigest()]}
+                yield pa.RecordBatch.from_pydict(found)
+
+    return spark.range(0, len(paths), 1, max(1, min(len(paths), TASKS))).mapInArrow(hashed, "name string, bytes bigint, sha256 string")
 
 
 def verify(spark: SparkSession, directory: str, shape: RecordShape) -> dict:
