@@ -116,16 +116,6 @@ def checked(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, p
     return new
 
 
-def _marked(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> DataFrame:
-    """A row per targeted value: pos, i, x, y, and what became of it."""
-    codes = map_values(records, lambda values, pos: _codes(policy, shape, seed, values, pos))
-    made = map_values(records, lambda values, pos: perturbed(policy, shape, seed, values, pos)[0])
-    both = codes.select("pos", F.col("values").alias("code")).join(made.select("pos", F.col("values").alias("y")), "pos")
-    both = both.join(records.select("pos", F.col("values").alias("x")), "pos")
-    each = both.select("pos", F.posexplode(F.arrays_zip("code", "x", "y")).alias("i", "v")).select("pos", "i", "v.code", "v.x", "v.y")
-    return each.where("code > 0")
-
-
 def _codes(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """1 perturbed, 2 perturbed and clamped, 3 preserved as not finite, 4 perturbed out of the finite; 0 untargeted."""
     new, touched, moved = perturbed(policy, shape, seed, values, pos)
@@ -142,6 +132,12 @@ def counts(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) ->
 
 
 def first_failure(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> NonFiniteResult | None:
-    """The first value, by record and index, that noise would make infinite."""
-    bad = _marked(records, policy, shape, seed).where("code = 4").agg(F.min(F.struct("pos", "i", "x", "y")).alias("first")).first()["first"]
-    return bad and NonFiniteResult(record=bad["pos"], value=bad["i"], original=bad["x"], perturbed=bad["y"])
+    """The first value, by record and index, that noise would make infinite. One pass without a shuffle of values."""
+    bad = map_values(records, lambda values, pos: np.where(_codes(policy, shape, seed, values, pos) == 4, values, np.float32("nan")))
+    each = bad.select("pos", F.size("values").alias("width"), F.posexplode("values").alias("i", "x")).where(~F.isnan("x"))
+    first = each.agg(F.min(F.struct("pos", "i", "x", "width")).alias("first")).first()["first"]
+    if first is None:
+        return None
+    row = np.full((1, first["width"]), first["x"], np.float32)  # noise follows the place alone
+    made = perturbed(policy, shape, seed, row, np.array([first["pos"]]))[0][0, first["i"]]
+    return NonFiniteResult(record=first["pos"], value=first["i"], original=first["x"], perturbed=float(made))
