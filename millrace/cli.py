@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import errno
 import sys
 
+from .errors import chain, storage_full
 from .plans.pipeline import Pipeline
 from .shape import RecordShape
 from .sources.manifest import parse_metadata
@@ -39,22 +39,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _chain(error: BaseException | None):
-    seen: set[int] = set()
-    while error is not None and id(error) not in seen:
-        seen.add(id(error))
-        yield error
-        error = error.__cause__ or error.__context__
-
-
 def exit_code(error: BaseException) -> int:
-    """28 if storage ran out anywhere below, also in a task, whose error arrives as text; else 1."""
-    full = any(isinstance(e, OSError) and e.errno == errno.ENOSPC or "No space left on device" in str(e) for e in _chain(error))
-    return STORAGE_FULL if full else 1
+    """28 if storage ran out, else 1."""
+    return STORAGE_FULL if storage_full(error) else 1
 
 
 def required_bytes(error: BaseException) -> int | None:
-    return next((e.required_bytes for e in _chain(error) if hasattr(e, "required_bytes")), None)
+    return next((e.required_bytes for e in chain(error) if hasattr(e, "required_bytes")), None)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

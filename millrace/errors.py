@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import errno
+from collections.abc import Iterator
+
 
 class MillraceError(Exception):
     """Base of all errors; keyword arguments become attributes and the message."""
@@ -89,3 +92,17 @@ InvariantBroken = _error(VerifyError, "InvariantBroken", "{check}: {detail}")
 CommandFailed = _error(VerifyError, "CommandFailed", "{label} ended with {code}")
 Incomparable = _error(BenchError, "Incomparable", "{detail}")
 Regression = _error(BenchError, "Regression", "{detail}")
+
+
+def chain(error: BaseException | None) -> Iterator[BaseException]:
+    """An error and those that it came from."""
+    seen: set[int] = set()
+    while error is not None and id(error) not in seen:
+        seen.add(id(error))
+        yield error
+        error = error.__cause__ or error.__context__
+
+
+def storage_full(error: BaseException) -> bool:
+    """Whether storage ran out anywhere below, also in a task, whose error arrives as text."""
+    return any(isinstance(e, OSError) and e.errno == errno.ENOSPC or "No space left on device" in str(e) for e in chain(error))

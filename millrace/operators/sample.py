@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -45,6 +46,11 @@ def sample(records: DataFrame, rate: float, seed: int) -> DataFrame:
     return replaced(kept(records, rate, seed), record_key(seed, "file", "file_ord"), record_key(seed, "order", "pos"))
 
 
+def file_order(seed: int, files: int) -> list[int]:
+    """The files of a source in the order in which a sample has them, by the key that `sample` gives each."""
+    return sorted(range(files), key=lambda k: (hashlib.md5(f"{seed}:file:{k}".encode()).hexdigest(), k))
+
+
 def share_by_file(records: DataFrame, rate: float, seed: int) -> DataFrame:
     """Records read and kept per file."""
     hit = F.when(record_uniform(seed, "keep", "pos") < checked_rate(rate), 1)

@@ -15,6 +15,7 @@ from ..operators import records as recs
 from ..operators import sample as sampling
 from ..operators.fuzz import Policy, counts, fuzz
 from ..shape import RecordShape
+from ..sources import manifest as manifests
 from ..sources.verify import not_contained
 from .pipeline import Pipeline, stage_seed
 
@@ -88,14 +89,12 @@ def sample_share_by_file(spark, d):
 
 
 def sample_names(spark, d):
-    rates = spark.createDataFrame([(r,) for r in (1.0, 0.5, 0.125, 0.05, 0.004)], "rate double")
-    return rates.select("rate", F.concat(F.lit("sample-"), F.round(F.col("rate") * 100).cast("int").cast("string"), F.lit(".bin")).alias("file_name"))
+    return spark.createDataFrame([(r, sampling.file_name(r)) for r in (1.0, 0.5, 0.125, 0.05, 0.004)], "rate double, file_name string")
 
 
 def whole_pass_bytes(spark, d):
-    size = corpus(spark, d).groupBy("file_ord").agg((F.count(F.lit(1)) * SHAPE.bytes_per_record).alias("bytes")).agg(F.sum("bytes").alias("bytes"))
-    kept = F.ceil(F.floor(F.col("bytes") / SHAPE.bytes_per_record) * RATE) * SHAPE.bytes_per_record
-    return size.select((kept + F.ceil(kept / 100)).cast("bigint").alias("expected_bytes"))
+    size = corpus(spark, d).count() * SHAPE.bytes_per_record
+    return spark.createDataFrame([(sampling.expected_bytes(size, SHAPE.bytes_per_record, RATE),)], "expected_bytes bigint")
 
 
 def quantise_bf16(spark, d):
@@ -109,16 +108,10 @@ def quantise_bf16_expression(spark, d):
 
 
 def quantise_error(spark, d):
-    before = corpus(spark, d)
-    out = quantising.error_report(before, quantising.quantise(before))
+    out = quantising.rounding_report(corpus(spark, d))
     return out.select("values", "non_zero", F.round("max_relative", 9).alias("max_relative"), F.round("mean_relative", 9).alias("mean_relative"), F.round("max_absolute", 9).alias("max_absolute"))
 
 
-def storage_reduction(spark, d):
-    n = F.count(F.lit(1)) * SHAPE.values
-    return corpus(spark, d).agg((1 - (n * 2) / (n * 4)).alias("reduction"))
-
-
 def fuzz_query(policy: Policy):
     return lambda spark, d: each(fuzz(corpus(spark, d), policy, SHAPE, SEED))
 
@@ -178,20 +171,22 @@ def derived_metrics(spark, d):
 
 def metadata_valid(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", F.when(F.col("p_partkey") % 2 == 0, "-").otherwise(" ")), F.lit("=")).alias("entry"))
-    key = F.substring_index("entry", "=", 1)
-    return rows.select("p_partkey", (key.rlike(r"^[A-Za-z0-9_.-]{1,64}$") & (F.octet_length(F.substring_index("entry", "=", -1)) <= 1024)).alias("valid"))
+    valid = F.pandas_udf(lambda entries: entries.map(manifests.valid_metadata), "boolean")
+    return rows.select("p_partkey", valid("entry").alias("valid"))
 
 
 def manifest_timestamp(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id")
-    return rows.select("event_id", F.date_format(F.timestamp_seconds(F.col("event_id") * 86399), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    clock = F.pandas_udf(lambda seconds: seconds.map(manifests.timestamp), "string")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", clock(F.col("event_id") * 86399).alias("created_at"))
 
 
 def queries() -> dict:
+    from . import disk
+
     plain = (
         scan_records, corpus_geometry, discovery_order, read_record, split_inputs_outputs, synthetic_corpus, sample_bernoulli,
         sample_full_rate, sample_block_shuffle, sample_share_by_file, sample_names, whole_pass_bytes, quantise_bf16,
-        quantise_bf16_expression, quantise_error, storage_reduction, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
+        quantise_bf16_expression, quantise_error, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
         record_digests, sample_containment, baseline_compare, derived_metrics, metadata_valid, manifest_timestamp,
     )
     found = {f.__name__: f for f in plain} | {name: fuzz_query(p) for name, p in POLICIES.items()}
@@ -199,10 +194,10 @@ def queries() -> dict:
         "pipeline_sample_fuzz_quantise": run(STEPS),
         "pipeline_quantise_fuzz": run((STEPS[2], STEPS[1])),
         "pipeline_fuzz_quantise": run((STEPS[1], STEPS[2])),
-    }
+    } | disk.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle
+    from . import disk, oracle
 
-    return oracle.all_sql()
+    return oracle.all_sql() | disk.oracle_sql()

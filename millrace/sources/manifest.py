@@ -35,6 +35,14 @@ def parse_metadata(entries: Iterable[str]) -> dict[str, str]:
     return dict(sorted(out.items()))
 
 
+def valid_metadata(entry: str) -> bool:
+    try:
+        parse_metadata([entry])
+    except InvalidMetadata:
+        return False
+    return True
+
+
 def timestamp(unix: int) -> str:
     return datetime.fromtimestamp(unix, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 

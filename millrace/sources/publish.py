@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvariantBroken, PublishFailed, RecordLengthMismatch
+from ..errors import EmptySource, InvariantBroken, PublishFailed, RecordLengthMismatch
 from ..functions import bf16
 from ..shape import Encoding, RecordShape
 from . import manifest as manifests
@@ -173,23 +173,19 @@ def publish(
 
 def write_synthetic(spark, directory: str, shards: int, records: int, shape: RecordShape) -> None:
     """`shard-000.bin` and so on, each written by a task of its own."""
-    from ..errors import EmptySource
-    from ..operators.records import synthetic
-
     if shards < 1 or records < 1:
         raise EmptySource(path=directory)
     os.makedirs(directory, exist_ok=True)
 
+    per, last = max(1, BLOCK // shape.bytes_per_record), np.arange(shape.values, dtype=np.float32)
+
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict = {}
         for batch in it:
-            for name, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if name not in files:
-                    files[name] = open(os.path.join(directory, name), "wb")  # noqa: SIM115
-                files[name].write(encoded(values.values.to_numpy(), shape.encoding))
-        for f in files.values():
-            f.close()
-        yield pa.RecordBatch.from_pydict({"name": pa.array(list(files), pa.string())})
-
-    rows = synthetic(spark, shards, records, shape).repartition(shards, "file_ord").sortWithinPartitions("pos")
-    rows.select("file_name", "values").mapInArrow(write, "name string").agg(F.count(F.lit(1))).collect()
+            for k in batch.column(0).to_pylist():
+                with open(os.path.join(directory, f"shard-{k:03d}.bin"), "wb") as f:
+                    for low in range(k * records, (k + 1) * records, per):
+                        g = np.arange(low, min(low + per, (k + 1) * records)).astype(np.float32)
+                        f.write(encoded(g[:, None] + last, shape.encoding))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64())})
+
+    spark.range(0, shards, 1, shards).mapInArrow(write, "shard bigint").agg(F.count(F.lit(1))).collect()

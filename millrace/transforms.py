@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import errno
-
 from pyspark.sql import SparkSession
 
-from .errors import StageFailed, StorageFull
+from .errors import StageFailed, StorageFull, storage_full
 from .functions.draws import fresh_seed
 from .operators import sample as sampling
 from .plans.pipeline import VERSION, Pipeline, Stage
@@ -44,11 +42,13 @@ def _run(spark: SparkSession, source: str, output: str, shape: RecordShape, stag
     files = corpus_files(source)
     counts = record_counts(files, shape)
     gather = Gather(spark, files, counts, shape, stages)
-    identity = manifests.source_identity(source, files, sum(counts))
+    first = stages[0]
+    processed = [files[k] for k in sampling.file_order(first.seed, len(files))] if first.name == "sample" else files
+    identity = manifests.source_identity(source, processed, sum(counts))
     try:
         return publish(None, gather.shape, destination, stages[-1].file_name, transform, identity, metadata or {}, shape, listed, single_file, gather.in_place, gather.pieces)
-    except OSError as e:
-        if e.errno == errno.ENOSPC and stages[0].name == "sample" and len(stages) == 1:
-            needed = sampling.expected_bytes(sum(f.bytes for f in files), shape.bytes_per_record, stages[0].parameters["rate"])
+    except Exception as e:  # tasks write the records, so a full disk arrives as Spark's error
+        if storage_full(e) and first.name == "sample" and len(stages) == 1:
+            needed = sampling.expected_bytes(sum(f.bytes for f in files), shape.bytes_per_record, first.parameters["rate"])
             raise StorageFull(required_bytes=needed) from e
         raise
