@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import resource
 import time
 from collections.abc import Callable
@@ -46,6 +47,8 @@ def derived(cases: DataFrame) -> DataFrame:
 def compared(base: DataFrame, current: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """(label, verdict) over all labels of both: `regression` if records/s fell, or memory or output rose, by more
     than the tolerance, or if the case is gone; `new` if only now there; else `ok`."""
+    if not 0 <= tolerance < 1:
+        raise Incomparable(detail=f"a tolerance is from 0 to under 1, not {tolerance}")
     a, b = (derived(x).select("label", *[F.col(c).alias(f"{c}_{k}") for c in ("records_per_second", "peak_rss_kib", "output_bytes")]) for x, k in ((base, "a"), (current, "b")))
     both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), "label", "full_outer")
     slower = F.col("records_per_second_b") < F.col("records_per_second_a") * (1 - tolerance)
@@ -54,7 +57,16 @@ def compared(base: DataFrame, current: DataFrame, tolerance: float = 0.25) -> Da
     return both.select("label", F.when(F.col("in_b").isNull(), "regression").when(F.col("in_a").isNull(), "new").when(worse, "regression").otherwise("ok").alias("verdict"))
 
 
+def unlike(base: DataFrame, current: DataFrame) -> DataFrame:
+    """Labels of cases in both that did not read the same corpus, by its bytes and records."""
+    a, b = (x.select("label", F.struct("input_bytes", "records_read").alias(k)) for x, k in ((base, "a"), (current, "b")))
+    return a.join(b, "label").where(~F.col("a").eqNullSafe(F.col("b"))).select("label")
+
+
 def hold(base: DataFrame, current: DataFrame, tolerance: float = 0.25) -> None:
+    """Raise for cases that got worse, and refuse to compare runs over unlike corpora."""
+    if other := [r["label"] for r in unlike(base, current).orderBy("label").collect()]:
+        raise Incomparable(detail=f"other corpora: {', '.join(other)}")
     bad = [r["label"] for r in compared(base, current, tolerance).where("verdict = 'regression'").orderBy("label").collect()]
     if bad:
         raise Regression(detail=", ".join(bad))
@@ -64,3 +76,24 @@ def markdown(cases: DataFrame) -> str:
     rows = derived(cases).orderBy("label").collect()
     lines = ["| case | ms | records/s | GiB/s | output ratio | peak KiB |", "| --- | --- | --- | --- | --- | --- |"]
     return "\n".join(lines + [f"| {r['label']} | {r['elapsed_ms']} | {r['records_per_second']:.0f} | {r['gib_per_second']:.3f} | {r['output_ratio']:.3f} | {r['peak_rss_kib']} |" for r in rows]) + "\n"
+
+
+def as_json(cases: DataFrame) -> str:
+    return json.dumps([r.asDict() for r in derived(cases).orderBy("label").collect()], indent=2) + "\n"
+
+
+def speed_up(cases: DataFrame, label: str, reference: str) -> dict:
+    """How many times the records/s of `reference` a case reaches, and its share of that one's memory."""
+    found = {r["label"]: r for r in derived(cases.where(F.col("label").isin(label, reference))).collect()}
+    if gone := {label, reference} - set(found):
+        raise Incomparable(detail=f"no case {', '.join(sorted(gone))}")
+    ours, theirs = found[label], found[reference]
+    if not theirs["records_per_second"] or not theirs["peak_rss_kib"]:
+        raise Incomparable(detail=f"{reference} has no speed or no memory to compare with")
+    return {"times": ours["records_per_second"] / theirs["records_per_second"], "memory_share": ours["peak_rss_kib"] / theirs["peak_rss_kib"]}
+
+
+def hold_speed_up(cases: DataFrame, label: str, reference: str, at_least: float) -> None:
+    found = speed_up(cases, label, reference)["times"]
+    if found < at_least:
+        raise Regression(detail=f"{label} reaches {found:.2f} times the records/s of {reference}, not {at_least}")

@@ -285,3 +285,44 @@ def test_measured_runs_must_agree():
     results = iter([{"source": {"record_count": 1}, "output": {"record_count": 1, "bytes": n}} for n in (4, 8)])
     with pytest.raises(errors.Incomparable):
         measure.measured("x", lambda: next(results), 2, 10)
+
+
+def test_storage_full_in_a_task_tells_what_is_needed(spark, source, tmp_path, monkeypatch):
+    def full(*_):
+        def write(it):
+            raise OSError(errno.ENOSPC, os.strerror(errno.ENOSPC))
+            yield from it
+
+        spark.range(1).mapInArrow(write, "id bigint").collect()
+
+    monkeypatch.setattr(transforms, "publish", full)
+    with pytest.raises(errors.StorageFull) as e:
+        transforms.run_stage(spark, source, str(tmp_path / "out"), SHAPE, {"transform": "sample", "rate": 0.5, "seed": 1})
+    assert e.value.required_bytes == 50 * 12 + 6 and cli.exit_code(e.value) == 28
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_manifest_lists_files_as_processed(spark, source, tmp_path, seed):
+    made = transforms.run_stage(spark, source, str(tmp_path / "out"), SHAPE, {"transform": "sample", "rate": 1.0, "seed": seed})
+    first = np.frombuffer(published(str(tmp_path / "out"))[1], "<f4")[0]
+    assert made["source"]["files"][0]["name"] == ("a.bin" if first < 40 else "b.bin")
+
+
+def test_unlike_corpora_are_not_compared(spark):
+    base = spark.createDataFrame([case("a", 100, 10, 10)], measure.CASES)
+    other = spark.createDataFrame([("a", 100, 10, 2000, 10, 200, 50)], measure.CASES)
+    with pytest.raises(errors.Incomparable, match="a"):
+        measure.hold(base, other)
+    for tolerance in (-0.1, 1.0, float("nan")):
+        with pytest.raises(errors.Incomparable, match="tolerance"):
+            measure.compared(base, base, tolerance)
+
+
+def test_speed_up(spark):
+    cases = spark.createDataFrame([case("ours", 100, 5, 10), case("theirs", 300, 10, 10)], measure.CASES)
+    assert measure.speed_up(cases, "ours", "theirs") == {"times": pytest.approx(3.0), "memory_share": 0.5}
+    with pytest.raises(errors.Regression):
+        measure.hold_speed_up(cases, "ours", "theirs", 4.0)
+    with pytest.raises(errors.Incomparable, match="none"):
+        measure.speed_up(cases, "ours", "none")
+    assert json.loads(measure.as_json(cases))[0]["records_per_second"] == 1000.0

@@ -177,3 +177,10 @@ def test_read_record(spark):
 def test_shapes():
     shape = RecordShape(2511, 1)
     assert shape.bytes_per_record == 10_048 and shape.encoded(Encoding.BFLOAT16).bytes_per_record == 5_024
+
+
+def test_rounding_report_is_the_error_report(spark):
+    records = multiples(spark, 500)
+    one, two = quantising.rounding_report(records).first().asDict(), quantising.error_report(records, quantising.quantise(records)).first().asDict()
+    assert one == pytest.approx(two)
+    assert quantising.rounding_report(records.where("pos < 0")).first()["values"] == 0
