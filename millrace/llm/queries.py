@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, substring_dedup, token_count
-from .shared import table
+from . import chat_format, decontaminate, exact_dedup, language, mixing, near_dedup, quality, secret_scan, substring_dedup, token_count, turn_repair
+from .shared import in_order, table
 from .targets import EPOCHS, SEED, WEIGHTS, domain, total_tokens, words
 
 
@@ -25,16 +25,21 @@ def turn_log(turns: DataFrame) -> DataFrame:
 
     A user's turn comes as a message and a delta, and is edited from a draft where its number is divisible by four.
     An assistant's is streamed in two deltas, after a first answer that was thrown away where its number is odd.
+    Each row is a message of its own, numbered by turn (null last), role and text (null as empty), so rows that tie,
+    repeat or have no turn stay apart.
     """
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role")]
+    turns, message = in_order(turns, [*order, F.substr("text", F.lit(1), F.lit(64))], [*order, F.col("text")], "turns")
     open_, delta, edit, again = (F.lit(k) for k in (chat_format.OPEN, chat_format.DELTA, chat_format.EDIT, chat_format.REGENERATE))
-    text, half = F.coalesce("text", F.lit("")), F.expr("length(coalesce(text, '')) div 2")
+    text, half = F.col("text"), F.expr("length(text) div 2")
     head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
     event = lambda k, kind, said: F.struct(F.lit(k).alias("at"), kind.alias("kind"), said.alias("text"))
     drafted = F.array(event(0, open_, F.lit("a draft")), event(1, delta, F.lit(" and more")), event(2, edit, head), event(3, delta, tail))
     twice = F.array(event(0, open_, F.lit("")), event(1, delta, F.reverse(text)), event(2, again, F.lit(None).cast("string")), event(3, delta, head), event(4, delta, tail))
     plain = F.array(event(0, open_, head), event(1, delta, tail))
     chosen = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), twice).when((F.col("role") == "user") & (F.col("turn") % 4 == 0), drafted).otherwise(plain)
-    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("message"), "role", F.explode(chosen).alias("e"))
+    rows = turns.select("conv_id", F.col(message).alias("message"), "role", F.explode(chosen).alias("e"))
     return rows.select("conv_id", (F.col("message") * 8 + F.col("e.at")).alias("seq"), "message", F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
@@ -77,6 +82,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -84,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup, op13_repair_turns, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -92,5 +101,5 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_chat_format": sql.CHAT, "op4_mix_sources": sql.MIX, "op5_decontaminate": sql.LEAKS,
-        "op6_remove_repeats": sql.REPEATS, "op8_near_dedup": sql.NEAR, "op10_exact_dedup": sql.EXACT,
+        "op6_remove_repeats": sql.REPEATS, "op8_near_dedup": sql.NEAR, "op10_exact_dedup": sql.EXACT, "op13_repair_turns": sql.REPAIR,
     }

@@ -55,6 +55,18 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+def in_order(df: DataFrame, deal: list, order: list, name: str) -> tuple[DataFrame, str]:
+    """df as a written table with a number per row that grows with `order`, and the number's column, which df lacks.
+
+    Rows are dealt by ranges of `deal`, which `order` refines, so a key that most rows share is spread all the same,
+    and no window holds it.
+    """
+    at = free_name(df, "at")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *deal).sortWithinPartitions(*order)
+    return written(dealt.withColumn(at, F.monotonically_increasing_id()), name), at
+
+
 def hot_keys(counts: DataFrame, key: list[str], total: int) -> DataFrame:
     """(key, copies) from (key, n), for broadcasting: the keys with more rows than ROWS_PER_COPY and than one in
     HOT_KEYS of all `total` rows, of which there can be no more than HOT_KEYS."""

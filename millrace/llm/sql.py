@@ -126,3 +126,68 @@ scored AS (SELECT doc_id, item_id, n, start, sum(common)::BIGINT / (2 * m - sum(
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start))::BIGINT - 1 AS start_word, any_value(n)::BIGINT AS n_words, count(*) AS n_windows
 FROM scored WHERE 100 * similarity >= 80 GROUP BY doc_id, item_id
 """
+
+
+def _step(best: str, cost: int | str, audit: str) -> str:
+    """A path in `best` (nine digits of cost, then the audit) after more cost and audit; null stays null."""
+    return f"lpad((left({best}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({best}, 10) || '{audit}'"
+
+
+def _kept(state: str, before: tuple[str, str, str, str]) -> str:
+    """The cheapest path that retains the turn as `state`; `before` has what is inserted after each of the states."""
+    ways = [f"{_step(f'w{e}', 2 * len(i), i + 'K')}" for e, i in enumerate(before)], [f"{_step(f'w{e}', 2 + 2 * len(i), i + 'R')}" for e, i in enumerate(before)]
+    kept = f"CASE WHEN r = '{state}' THEN least({', '.join(ways[0])}) ELSE least({', '.join(ways[1])}) END"
+    return f"CASE WHEN fault IN (1, 2) THEN NULL WHEN fault = 3 THEN (SELECT {_step('x', 1, '')} FROM (SELECT {kept} AS x)) ELSE {kept} END"
+
+
+_TRIMMED = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+#: crc32 by its table, then the faults, then a path per state (w0: nothing retained, w1: s, w2: u, w3: a) turn by
+#: turn; least() skips nulls, and strings of nine digits and an audit order as (cost, audit) do.
+REPAIR = rf"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i::BIGINT AS i, 0 AS k, i::BIGINT AS v FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tbl FROM crc_bits WHERE k = 8),
+t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM t, (SELECT unnest([0, 1]) AS c) WHERE k <> 0 AND (c = 0 OR k = 3)),
+placed AS (
+  SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
+faults AS MATERIALIZED (
+  SELECT *, CASE WHEN {_TRIMMED} = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right({_TRIMMED}, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS two FROM placed),
+path AS (
+  SELECT conv_id, 0::BIGINT AS turns, '000000000' AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM (SELECT DISTINCT conv_id FROM faults)
+  UNION ALL
+  SELECT p.conv_id, f.i, {_step('w0', 3, 'D')},
+         least({_step('w1', 3, 'D')}, CASE WHEN r = 's' AND fault IN (0, 3) THEN {_step('w0', '(fault = 3)::INT', 'K')} END),
+         least({_step('w2', 3, 'D')}, {_kept('u', ('', '', 'I', ''))}),
+         least({_step('w3', 3, 'D')}, {_kept('a', ('I', 'I', '', 'I'))})
+  FROM path p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.turns + 1),
+best AS (
+  SELECT conv_id, least(w0, {_step('w1', 4, 'II')}, {_step('w2', 2, 'I')}, w3) AS w
+  FROM path SEMI JOIN (SELECT conv_id AS c, max(i) AS n FROM faults GROUP BY ALL) ON c IS NOT DISTINCT FROM conv_id AND n = turns),
+letters AS (
+  SELECT conv_id, p, op, count(*) FILTER (op <> 'I') OVER run AS i, count(*) FILTER (op <> 'D') OVER run AS o
+  FROM (SELECT conv_id, unnest(string_split(substr(w, 10), '')) AS op, generate_subscripts(string_split(substr(w, 10), ''), 1) AS p FROM best) WINDOW run AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (
+  SELECT l.conv_id, p, o, op, f.role, f.text, max(CASE WHEN o = 1 AND op = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+  FROM letters l LEFT JOIN faults f ON op <> 'I' AND f.i = l.i AND f.conv_id IS NOT DISTINCT FROM l.conv_id WHERE op <> 'D'),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (o - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha
+  FROM lines GROUP BY conv_id),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(w, 9)::BIGINT, 0) AS cost, coalesce(substr(w, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
