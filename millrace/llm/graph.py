@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by minimum labels with pointer jumping."""
+"""Connected components of a table of links, by minimum labels with pointer jumping, and how new links change them."""
 
 from __future__ import annotations
 
@@ -29,3 +29,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "component")
         if step.where("component < old").isEmpty():
             return labels
+
+
+def relabelled(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The written labels (node, component) once the written links `fresh` (a, b) count too; nodes may be new.
+
+    Only the components that `fresh` joins are labelled again, each as one node of a smaller graph.
+    """
+    ends = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = written(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("component", F.col("node"))), "nodes")
+    a = spread_join(fresh, labels.toDF("a", "ca"), "a", "b")
+    seams = written(spread_join(written(a, "seams"), labels.toDF("b", "cb"), "b", "a").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "seams")
+    if seams.isEmpty():
+        return labels
+    moved = components(seams).toDF("component", "to")
+    each = labels.select("component").distinct().join(moved, "component", "left").select("component", F.coalesce("to", "component").alias("to"))
+    return written(spread_join(labels, each, "component", "node").select("node", F.col("to").alias("component")), "labels")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, relabelled
 from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
 from .shared import hot_keys, numbered, spread_join, written
 
@@ -101,7 +101,8 @@ def set_hash(own: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) of the `wanted` (id, h1): the sorted distinct 64-bit shingle hashes, as bytes."""
+    """(id, shingles) of the `wanted` (node, doc, h1): the sorted distinct 64-bit shingle hashes, as bytes, of each
+    node's text, which is one of those named by `doc`. Rows that repeat an id and its text give repeated rows."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -110,8 +111,41 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["id", "shingles"])
             yield out.filter(pa.array(right, pa.bool_()))
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "h1").mapInArrow(batches, "id bigint, shingles binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(wanted.hint("shuffle_hash"), "doc").select("node", "text", "h1").mapInArrow(batches, "id bigint, shingles binary")
+
+
+SET = ["n_shingles", "h1", "h2"]
+
+
+def unlike_sets(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The sets among the written `rows` (id, n_shingles, h1, h2, ...): (id, doc, n, set, *columns), where the set is the
+    node and `id` its number, as an id may name several texts, and `doc` the least id that has it; and the links (a, b)
+    between sets that share an id, or None if no id repeats."""
+    named = rows.where("id IS NOT NULL AND n_shingles > 0")
+    folded = named.groupBy(*SET).agg(F.min("id").alias("doc"), *[F.any_value(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n"))
+    folded = written(folded.withColumn("id", F.monotonically_increasing_id()), "folded")
+    several = named.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if several.isEmpty():
+        return folded, None
+    several = written(several, "several")
+    mine = spread_join(named.select("id", *SET), several, "id", "h1", hot_keys(several.select("id", F.col("rows").alias("n")), ["id"], named.count()))
+    mine = mine.distinct().withColumnRenamed("id", "name").join(folded.select(*SET, F.col("id").alias("b")), SET)
+    mine = written(mine.select("name", "b"), "names")
+    least = mine.groupBy("name").agg(F.min("b").alias("a"))
+    return folded, spread_join(mine, least, "name", "b").where("a != b").select("a", "b").distinct()
+
+
+def by_row(rows: DataFrame, folded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, n_shingles, component_id) of every row, from the labels (node, component) of sets: the least id of all
+    that have a set in the component."""
+    placed = written(folded.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*SET, "doc", F.coalesce("component", "id").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
+    groups = spread_join(placed, least, "component", "doc").select(*SET, "component_id")
+    named = rows.where("id IS NOT NULL AND n_shingles > 0").select("id", *SET)
+    out = spread_join(named, groups, SET, "id", hot_keys(folded.select(*SET, "n"), SET, rows.count()))
+    alone = rows.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return out.select("id", "n_shingles", "component_id").unionByName(alone)
 
 
 def _signature_rows(column: pa.Array) -> np.ndarray:
@@ -122,25 +156,26 @@ def _shingle_rows(column: pa.Array) -> np.ndarray:
     return string_bytes(column)[0].view(U64)
 
 
-def _histogram(rows: DataFrame, buckets) -> np.ndarray:
-    """How many values of the one column fall into each of BUCKETS counters: as many numbers, whatever the corpus."""
+def histogram(rows: DataFrame, buckets, size: int = BUCKETS) -> np.ndarray:
+    """How many values of the one column fall into each of `size` counters: as many numbers, whatever the corpus."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in it:
-            total += np.bincount(buckets(batch.column(0)).ravel().astype(np.int64), minlength=BUCKETS)
+            for part in buckets(batch.column(0)):
+                total += np.bincount(part, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
     found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    lengths = np.zeros(BUCKETS, np.int64)
+    lengths = np.zeros(size, np.int64)
     lengths[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return lengths
 
 
 def list_lengths(reps: DataFrame) -> np.ndarray:
     """Documents per counter of (coordinate, value) pairs."""
-    return _histogram(reps.select("sig"), lambda column: _signature_rows(column) % BUCKETS)
+    return histogram(reps.select("sig"), lambda column: [(_signature_rows(column) % BUCKETS).ravel()])
 
 
 def prefix_postings(reps: DataFrame, lengths: np.ndarray, matches: int) -> DataFrame:
@@ -247,7 +282,7 @@ def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
     The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
     each class under that leader apart, with the classes of both in the key. Two linked members need no link.
     """
-    lengths = _histogram(members.select("shingles"), lambda column: _shingle_rows(column) % U64(BUCKETS))
+    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)])
     classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
     classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
     told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")
@@ -277,7 +312,8 @@ def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     placed = written(placed, "placed")
     heads = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("weight", "id")).alias("head"))
     heads = written(heads.where("low < high").select("key", "n", F.col("head.id").alias("lead")), "heads")
-    members = written(spread_join(placed, heads, "key", "id", hot_keys(heads.select("key", "n"), ["key"], placed.count())), "members")
+    members = spread_join(placed, heads, "key", "id", hot_keys(heads.select("key", "n"), ["key"], placed.count()))
+    members = written(members, "members")
     if least == 1:
         return members
     # of k lists a document and its partner share `least`, so they share one of the first k - least + 1, the longest first
@@ -286,9 +322,11 @@ def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     return written(members.withColumn("place", place).withColumn("k", k).where(F.col("place") <= F.col("k") - least + 1).drop("place", "k"), "members")
 
 
-def across_components(lists: DataFrame, links: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The components (node, component) once every linked pair in a list of `lists` (key, id, weight, rest) counts."""
-    least, most, scale = COMMON, SHORT, 2 * (100 + percent)
+def across_components(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, test, least: int, most: int) -> DataFrame:
+    """The components (node, component) once every linked pair in a list of the written `lists` (key, id, weight, rest)
+    counts. `test` tells linked pairs (a, b) from others; two linked documents share `least` lists or more, and lists
+    of at most `most` members give their pairs."""
+    scale = 2 * (100 + percent)
     while True:
         members = open_lists(lists, labels, least)
         if members.isEmpty():
@@ -298,13 +336,16 @@ def across_components(lists: DataFrame, links: DataFrame, labels: DataFrame, rep
         may = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
         may &= F.least("rest_a", "rest_b") * scale >= F.when(F.col("rest_a") < ANY, F.col("weight_a") + F.col("weight_b")).otherwise(0)
         pairs = written(x.join(y, "key").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
-        found = confirmed(written(colliding(pairs, reps, matches), "tested"), sets, percent)
-        led = written(members.where((F.col("n") > most) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "led")
+        found = test(pairs)
+        led = members.where((F.col("n") > most) & (F.col("id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        led = written(led, "led")
+        if led.isEmpty():
+            fresh = written(found, "links")
+            return labels if fresh.isEmpty() else relabelled(labels, fresh)
         apart = written(deviations(led, sets, percent), "deviations")
         fresh = written(found.unionByName(apart.where(F.col("class") <= LINKED).select("a", "b")), "links")
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
+            labels = relabelled(labels, fresh)
         lists, least, most = written(deviation_lists(apart, percent), "lists"), 1, SHORT_APART
 
 
@@ -315,34 +356,31 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int
     `size` words, or the whole sequence if it has fewer. Documents are linked when 100 * intersection >= percent *
     union, and component_id is the smallest id reachable over links. Null, empty and blank texts have no set and
     link with nothing; rows without an id stay alone, component_id null and kept true. Rows that
-    repeat an id share a component, found by the text whose set hashes lowest; kept says only whether the id is the
-    component's. An empty table gives no rows. Other columns of
-    `docs` are not read.
+    repeat an id are one node with the links of all their texts; kept says only whether the id is the
+    component's. Texts of any length count whole. An empty table gives no rows. Other columns of `docs` are not read.
     """
     signed = written(signatures(docs, size, id_col, text_col), "signed")
-    named = signed.where("id IS NOT NULL AND n_shingles > 0")
-    key = ["n_shingles", "h1", "h2"]
-    folded = written(named.groupBy(*key).agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "folded")
-    repeated = not folded.groupBy("id").count().where("count > 1").isEmpty()
-    reps = written(folded.groupBy("id").agg(F.min_by(F.struct("n_shingles", "h1", "sig"), F.struct(*key)).alias("s")).select("id", "s.*"), "reps") if repeated else folded
+    reps, same = unlike_sets(signed, ["sig"])
     postings = prefix_postings(reps, list_lengths(reps), matches)
     top = F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")
     lists = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), top).where("n > 1").select("token", "n", (-F.col("top.minus")).alias("leader")), "lists")
     hot = hot_keys(lists.select("token", "n"), ["token"], lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     shared = written(spread_join(postings.select("token", "id", "score"), lists.select("token", "leader"), "token", "id", hot), "postings")
     shared = written(shared.join(shared.groupBy("id").count().where(F.col("count") >= COMMON).select("id"), "id", "left_semi"), "shared")
-    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "h1")
+    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), "doc", "h1")
     sets = shingle_sets(docs, wanted, size, id_col, text_col)
-    sets = written(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
+    sets = written(sets if same is None else sets.dropDuplicates(["id"]), "sets")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return confirmed(written(colliding(pairs, reps, matches), "tested"), sets, percent)
+
     votes = shared.where("leader != id").groupBy("id", "leader").count()
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", "leader")).alias("best")).select(F.col("best.leader").alias("a"), "b")
-    links = written(confirmed(written(colliding(written(best, "best"), reps, matches), "tested"), sets, percent), "confirmed")
+    links = test(written(best, "best"))
+    links = written(links if same is None else links.unionByName(same), "confirmed")
     lists = shared.select(F.col("token").alias("key"), "id", (-F.col("score")).alias("weight"), F.lit(ANY).alias("rest"))
-    labels = across_components(lists, links, components(links), reps, sets, matches, percent)
-    groups = folded.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = spread_join(named.select("id", *key), groups, key, "id", hot_keys(folded, key, signed.count()))
-    out = out.select("id", "n_shingles", "component_id").unionByName(alone)
+    labels = across_components(lists, components(links), sets, percent, test, COMMON, SHORT)
+    out = by_row(signed, reps, labels)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, exact_dedup, language, mixing, near_dedup, quality, secret_scan, substring_dedup, token_count, turn_repair
+from . import chat_format, decontaminate, divergence, exact_dedup, language, mixing, near_dedup, ngram_join, quality, secret_scan, substring_dedup, token_count, turn_repair
 from .shared import in_order, table
 from .targets import EPOCHS, SEED, WEIGHTS, domain, total_tokens, words
 
@@ -82,6 +82,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -97,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup, op12_source_divergence, op13_repair_turns, pipeline)}
+    return {f.__name__: f for f in (op1_chat_format, op2_count_tokens, op3_quality, op4_mix_sources, op5_decontaminate, op6_remove_repeats, op7_scan_secrets, op8_near_dedup, op9_language, op10_exact_dedup, op11_ngram_join, op12_source_divergence, op13_repair_turns, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -105,6 +109,6 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_chat_format": sql.CHAT, "op4_mix_sources": sql.MIX, "op5_decontaminate": sql.LEAKS,
-        "op6_remove_repeats": sql.REPEATS, "op8_near_dedup": sql.NEAR, "op10_exact_dedup": sql.EXACT, "op12_source_divergence": sql.DIVERGENCE,
+        "op6_remove_repeats": sql.REPEATS, "op8_near_dedup": sql.NEAR, "op10_exact_dedup": sql.EXACT, "op11_ngram_join": sql.JOIN, "op12_source_divergence": sql.DIVERGENCE,
         "op13_repair_turns": sql.REPAIR,
     }

@@ -67,23 +67,28 @@ def in_order(df: DataFrame, deal: list, order: list, name: str) -> tuple[DataFra
     return written(dealt.withColumn(at, F.monotonically_increasing_id()), name), at
 
 
-def hot_keys(counts: DataFrame, key: list[str], total: int) -> DataFrame:
+def hot_keys(counts: DataFrame, key: list[str], total: int) -> DataFrame | None:
     """(key, copies) from (key, n), for broadcasting: the keys with more rows than ROWS_PER_COPY and than one in
-    HOT_KEYS of all `total` rows, of which there can be no more than HOT_KEYS."""
+    HOT_KEYS of all `total` rows, of which there can be no more than HOT_KEYS; None if there are none."""
     limit = max(ROWS_PER_COPY, total // HOT_KEYS)
+    if total <= limit:
+        return None
     hot = counts.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).cast("int").alias("copies"))
-    return F.broadcast(written(hot, "hot"))
+    found = hot.collect()  # HOT_KEYS at most
+    return F.broadcast(counts.sparkSession.createDataFrame(found, hot.schema)) if found else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, hot: DataFrame | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, hot: DataFrame | None | str = "") -> DataFrame:
     """Inner join of `many`, in which one key may have a third of the rows, with `one`, which has few rows a key.
 
     The rows of a hot key in `many` are dealt by a hash of the column `by` over as many copies of its rows in `one`.
     `many` has to be a written table where `hot` is not given. Keys are not null; no other column is in both.
     """
     key = [key] if isinstance(key, str) else key
-    if hot is None:
+    if isinstance(hot, str):
         hot = hot_keys(many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key, many.count())
+    if hot is None:
+        return many.join(one, key)
     dealt = many.join(hot, key, "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64(by), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
     each = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy")
     copied = one.join(hot, key, "left").select(*one.columns, each)

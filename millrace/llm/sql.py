@@ -77,11 +77,12 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 #: All pairs that share a shingle, then the smallest document reachable. A label only has to pass documents above
 #: it, as the smallest of a component does everywhere.
-NEAR = rf"""
+def _linked(size: int, columns: str) -> str:
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 shingle AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+{size - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS MATERIALIZED (
@@ -90,10 +91,14 @@ both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
 reach AS (
   SELECT doc_id AS node, doc_id AS low FROM documents
   UNION SELECT l.b, r.low FROM reach r JOIN both_ways l ON l.a = r.node WHERE r.low < l.b)
-SELECT node AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(low) AS component_id, node = min(low) AS kept
+SELECT node AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(low) AS component_id{columns}
 FROM reach LEFT JOIN size ON doc_id = node GROUP BY node
 """
 
+
+NEAR = _linked(4, ", node = min(low) AS kept")
+JOIN = _linked(5, "")
+
 #: Every window of 50 bytes with the smallest document that has it; overlapping and touching spans are one run.
 REPEATS = """
 WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
