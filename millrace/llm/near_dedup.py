@@ -156,18 +156,21 @@ def _shingle_rows(column: pa.Array) -> np.ndarray:
     return string_bytes(column)[0].view(U64)
 
 
-def histogram(rows: DataFrame, buckets, size: int = BUCKETS) -> np.ndarray:
-    """How many values of the one column fall into each of `size` counters: as many numbers, whatever the corpus."""
+def histogram(rows: DataFrame, buckets, size: int = BUCKETS, above: int = 0) -> np.ndarray:
+    """How many values of the one column fall into each of `size` counters: as many numbers, whatever the corpus.
+
+    A task tells counters that exceed `above` times its mean, so that many small ones need not be told.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in it:
             for part in buckets(batch.column(0)):
                 total += np.bincount(part, minlength=size)
-        used = np.flatnonzero(total)
+        used = np.flatnonzero(total > above * total.mean())
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
-    found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     lengths = np.zeros(size, np.int64)
     lengths[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return lengths

@@ -32,8 +32,9 @@ from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
 from .near_dedup import SHORT_APART, across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
 from .shared import hot_keys, spread_join, written
 
-#: Counters of occurrences: a consistent order is all they give, so shingles may share one.
-COUNTERS = 1 << 20
+#: Counters of occurrences, of which a task tells those over so many times its mean: a consistent order is all they
+#: give, so shingles may share one.
+COUNTERS, LOUD = 1 << 20, 4
 _ALSO = np.random.default_rng(1_117).integers(0, 1 << 64, 2, dtype=U64)
 #: Bits of the least bitmap; each band's is a power of two above.
 LEAST_BITS = 64
@@ -82,7 +83,7 @@ def occurrences(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
             words, _, _, counts = word_hashes(data, offsets)
             yield (shingle_hashes(words, counts, size)[0] % U64(COUNTERS)).astype(np.int64)
 
-    return histogram(docs.select(F.col(text_col).cast("string")), buckets, COUNTERS)
+    return histogram(docs.select(F.col(text_col).cast("string")), buckets, COUNTERS, LOUD)
 
 
 def measured(docs: DataFrame, counts: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
