@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from millrace.llm import chat_format, decontaminate, exact_dedup, graph, kernels, language, mixing, near_dedup, quality, queries, secret_scan, shared, substring_dedup, token_count
+from millrace.llm import chat_format, decontaminate, divergence, exact_dedup, graph, kernels, language, mixing, near_dedup, ngram_join, quality, queries, secret_scan, shared, substring_dedup, token_count, turn_repair
 
 from ..conftest import SF, rows
 
@@ -43,6 +43,15 @@ def documents(spark):
     return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+def on_table(df, name, sql):
+    """What DuckDB says of `sql` where the table `name` is df."""
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.register(name, df.toArrow())
+    return connection.sql(sql).df()
+
+
 def clashing(df):
     """Columns named like those that operators make."""
     names = ["_row", "copy", "copies", "key", "n_shingles", "component_id", "_kept_id", "_near_id", "_leak_id", "id", "digest", "at", "keep", "n", "row", "token", "component", "kept", "tag", "doc", "spans", "text_sha256", "window", "size", "start", "tokens", "domain", "epoch", "budget", "score", "norm", "share"]
@@ -55,9 +64,9 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-def test_entry_lists_all_eleven():
+def test_entry_lists_every_operator_and_the_pipeline():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11 and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "mixing"]
+    assert len(names) == 14 and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "mixing"]
 
 
 # 1 chat formatting
@@ -112,6 +121,18 @@ def test_turns_survive_their_log(spark):
     assert len(got) == 3 and {(r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in got} == {(6, want, len(text) + 1)}
 
 
+def test_tied_repeated_and_turnless_rows_stay_apart(spark, duck):
+    turns = [
+        (1, 0, "user", "hello world"), (1, 0, "user", "hello world"), (1, 1, "assistant", "yes it is"), (1, 1, "assistant", "yes it is"),
+        (2, 0, "system", "prompt"), (2, 0, "user", "question"), (2, 1, "assistant", "a"), (2, 1, "assistant", ""), (2, 1, None, None),
+        (3, None, "user", "hello world"), (3, None, "assistant", "answer!!"), (3, None, "user", None), (3, 4, "user", "last"), (3, 1, "assistant", "x" * 5_000),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat_format.digest(chat_format.format_conversations(queries.turn_log(clashing(df)))).toPandas()
+    want = on_table(df, "conversations", queries.oracle_sql()["op1_chat_format"]).query("conv_id >= 0")
+    assert rows(got) == rows(want)
+
+
 def test_conversation_nulls_and_ties(spark):
     rows_ = [(None, 0, 0, "open", None, None), (1, None, None, "open", "user", "b"), (1, None, None, "open", "user", "a"), (1, None, None, "open", "user", "a")]
     text, _ = formatted(spark, rows_)
@@ -763,3 +784,254 @@ def test_stages_follow_each_other(spark):
     assert ids[4] == ids[3] - {d for d, _ in contaminated([(i, texts[i]) for i in ids[3]], items)}
     mixed = corpus_pipeline.run(spark, SF).toPandas()
     assert set(mixed["doc_id"]) <= ids[4] and list(mixed.columns) == ["doc_id", "domain", "lang", "source", "tokens", "epoch", "budget"]
+
+
+# 11 n-gram join
+
+
+def link_groups(texts, size, percent):
+    """(set size, least reachable) of each text, by comparing all pairs of shingle sets."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= percent * len(x | y):
+                    low[i] = low[j] = min(low[i], low[j])
+    return [(len(x), low[i]) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_joined_groups_equal_brute_force(spark, percent):
+    rng = np.random.default_rng(percent)
+    texts = []
+    for _ in range(14):
+        base = [f"w{k}" for k in rng.integers(0, 60, rng.integers(1, 90))]
+        for _ in range(int(rng.integers(1, 7))):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 4)):
+                words[at] = f"x{rng.integers(0, 9)}"
+            texts.append(" ".join(words[: len(words) - int(rng.integers(0, 3))]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_groups(docs_of(spark, texts), 3, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == link_groups(texts, 3, percent)
+
+
+def test_links_at_exactly_the_threshold_are_found(spark):
+    """Sets of 9 and 9 elements that share 8 are at 8 / 10; those that share 7 are not linked."""
+    words = [f"w{i}" for i in range(13)]
+    texts = [" ".join(words), " ".join([*words[:12], "other"]), " ".join([*words[:11], "else", "where"])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_groups(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2} == dict(enumerate(low for _, low in link_groups(texts, 5, 80)))
+
+
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 20, 200, 3_000):
+        for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+            own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            other = np.unique(np.concatenate([own[: int(len(own) * share)], rng.integers(0, 1 << 63, int(n * 1.2 * (1 - share)) + 1).astype(np.uint64)]))
+            common = len(np.intersect1d(own, other))
+            differ = ngram_join.apart(*(ngram_join.bitmap(x, ngram_join.bits(len(x))).tobytes() for x in (own, other)))
+            assert (len(own) + len(other) - differ) // 2 >= common
+    assert (ngram_join.band(np.array([80, 100]), 80)[::-1] - ngram_join.band(np.array([80, 100]), 80)).max() <= 1
+
+
+def test_a_large_family_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.integers(0, 200, 2):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    tested, tell = [], ngram_join.bounded
+    monkeypatch.setattr(ngram_join, "bounded", lambda pairs, *a: (tested.append(pairs.count()), tell(pairs, *a))[1])
+    out = ngram_join.join_groups(docs_of(spark, texts)).collect()
+    assert {r["component_id"] for r in out} == {0} and sum(tested) < 4_000
+
+
+@pytest.mark.parametrize("groups", [lambda d: ngram_join.join_groups(d), lambda d: near_dedup.near_groups(d, 5)])
+def test_an_id_with_several_texts_keeps_all_links(spark, groups):
+    a, b = LONG, " ".join(f"v{i}" for i in range(40))
+    rows_ = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone here"), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows_], DOCS)
+    got = sorted((r["doc_id"] or -1, r["component_id"]) for r in groups(df).collect())
+    assert got == [(-1, None), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_joined_groups_of_awkward_texts(spark, awkward, none):
+    out = ngram_join.join_groups(clashing(awkward)).collect()
+    assert len(out) == awkward.count()
+    got = {r["doc_id"]: r["component_id"] for r in out if r["doc_id"] is not None}
+    assert got[0] == 0 and got[1] == 1 and got[2] == 2 and got[4] == got[3] == got[5] == 3 and got[9] == got[8] == 8 and got[10] == 10
+    assert ngram_join.join_groups(none).count() == 0
+
+
+# 12 source divergence
+
+
+def audited(texts, least=10):
+    """The audit by plain counting."""
+    terms = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    rows_ = [(terms(t), lang or "", source or "") for t, lang, source in texts]
+    out = []
+    for lang in {r[1] for r in rows_}:
+        own = [r for r in rows_ if r[1] == lang]
+        seen = Counter(w for t, _, _ in own for w in set(t))
+        kept = [w for w in seen if seen[w] >= least]
+        count = defaultdict(Counter)
+        for t, _, source in own:
+            count[source].update(w for w in t if w in kept)
+        whole = sum(count.values(), Counter())
+        share = lambda c: {w: 1 + 1_000_000_000 * (c[w] + 2) // (sum(c.values()) + 2 * len(kept)) for w in kept}  # noqa: B023, E731
+        p, q = {s: share(c) for s, c in count.items()}, share(whole)
+        f = lambda x, y: (x - y) ** 2 // (x + y)
+        for s in count:
+            pairs = [(-sum(f(p[s][w], p[o][w]) for w in kept), o.encode()) for o in count if o != s]
+            found = [(-f(p[s][w], q[w]), w.encode()) for w in kept if count[s][w] and p[s][w] > q[w]]
+            for part, ranked in (("pair", sorted(pairs)), ("term", sorted(found)[:10])):
+                out += [(lang, s, part, item.decode(), -value, k + 1) for k, (value, item) in enumerate(ranked)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("chunk", "sources", "rows_most"), [(4_096, 64, 1 << 20), (3, 2, 5)])
+def test_divergence_equals_plain_counting(spark, monkeypatch, chunk, sources, rows_most):
+    for name, value in (("CHUNK", chunk), ("SOURCES", sources), ("ROWS", rows_most)):
+        monkeypatch.setattr(divergence, name, value)
+    rng = np.random.default_rng(9)
+    vocabulary = ["The", "the", "Éa", "éa", "ß", "日本", "x", "zz", "aB", "ab9c", "z-z", "🎉", "a" * 3_000]
+    texts = [(" ".join(rng.choice(vocabulary, rng.integers(0, 9), p=None)), ["en", "de", None][int(rng.integers(3))], ["a", "b", "é", "", None][int(rng.integers(5))]) for _ in range(220)]
+    texts += [("rare words only", "xx", "a"), (None, "xx", "b"), ("", "yy", "a"), ("x" * 200_000, "en", "a")]
+    df = clashing(spark.createDataFrame([(i, *t, 0) for i, t in enumerate(texts)], DOCS))
+    got = sorted(tuple(r) for r in divergence.audit(df).select("lang", "source", "part", "item", "value", "rank").collect())
+    assert got == audited(texts) and {r[2] for r in got} == {"pair", "term"} and ("xx", "a", "pair", "b", 0, 1) in got
+
+
+def test_divergence_of_awkward_texts(spark, awkward, none):
+    got = sorted(tuple(r) for r in divergence.audit(clashing(awkward)).select("lang", "source", "part", "item", "value", "rank").collect())
+    assert got == audited([(r["text"], r["lang"], r["source"]) for r in awkward.collect()]) and divergence.audit(none).count() == 0
+
+
+def test_shares_are_exact():
+    for count, total, kept in [(0, 0, 1), (5, 7, 3), (10**12, 10**12, 10**6), (10**15 - 1, 3 * 10**15, 10**7)]:
+        assert divergence.shares(np.array([count]), total, kept)[0] == 1 + 10**9 * (count + 2) // (total + 2 * kept)
+
+
+# 13 conversation repair
+
+
+def cheapest(turns):
+    """(cost, audit) of turns (initial, must go, truncated): every path, as whole strings."""
+    ways = {"": (0, "")}
+    for initial, must_go, cut in turns:
+        found = defaultdict(list)
+        for state, (cost, audit) in ways.items():
+            found[state].append((cost + 3, audit + "D"))
+            if must_go:
+                continue
+            if not state and initial == "s":
+                found["s"].append((cost + cut, audit + "K"))
+            for role in "ua":
+                insert = "I" if state == role or role == "a" and state in ("", "s") else ""
+                found[role].append((cost + 2 * len(insert) + cut + 2 * (initial != role), audit + insert + ("K" if initial == role else "R")))
+        ways = {k: min(v) for k, v in found.items()}
+    last = {"": "", "a": "", "u": "I", "s": "II"}
+    return min((cost + 2 * len(last[k]), audit + last[k]) for k, (cost, audit) in ways.items())
+
+
+def every_edit(turns):
+    """(cost, audit) by trying every sequence of edits; only for a few turns."""
+    best = None
+    inserts = ["", "u", "a", "ua", "au"]
+
+    def go(k, cost, audit, roles):
+        nonlocal best
+        for extra in inserts:
+            c, a, r = cost + 2 * len(extra), audit + "I" * len(extra), roles + extra
+            if k == len(turns):
+                if re.fullmatch(r"(s?(ua)+)?", r) and (best is None or (c, a) < best):
+                    best = (c, a)
+                continue
+            initial, must_go, cut = turns[k]
+            go(k + 1, c + 3, a + "D", r)
+            if not must_go:
+                go(k + 1, c + cut, a + "K", r + initial)
+                for role in "ua":
+                    go(k + 1, c + 2 + cut, a + "R", r + role)
+
+    go(0, 0, "", "")
+    return best
+
+
+def test_paths_equal_every_sequence_of_edits():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 2, 3, 3, 3):
+        turns = [("suax"[int(rng.integers(4))], bool(rng.random() < 0.2), bool(rng.random() < 0.3)) for _ in range(n)]
+        assert cheapest(turns) == every_edit(turns)
+
+
+def plain_repair(rows_):
+    """The contract of `repair`, turn by turn, for rows (turn, role, text) of one conversation."""
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode())
+    rows_ = sorted([(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows_], key=key)
+    seen, faults = set(), []
+    for _, role, text in rows_:
+        end = text.rstrip("\x20\x09\x0a\x0b\x0c\x0d")
+        faults.append(1 if not end else 2 if (role, text) in seen else 3 if end[-1] not in ".!?" else 0)
+        seen.add((role, text))
+    cost, audit = cheapest([(role[:1], f in (1, 2), f == 3) for (_, role, _), f in zip(rows_, faults, strict=True)])
+    lines, k, system = [], 0, 0
+    for op in audit:
+        name = ["user", "assistant"][(len(lines) - system) % 2]
+        if op == "I":
+            lines.append(f"{name}:")
+            continue
+        role, text = rows_[k][1:]
+        k += 1
+        if op == "K":
+            system |= not lines and role[:1] == "s"
+            lines.append(f"{role}:{text}")
+        elif op == "R":
+            lines.append(f"{name}:{text}")
+    turns = [t for t, _, _ in rows_ if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows_, rows_[1:], strict=False))
+    return (gaps, *(faults.count(f) for f in (1, 2, 3)), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+REPAIRED = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+@pytest.mark.parametrize(("segment", "piece"), [(4_096, 1 << 20), (3, 20)])
+def test_repair_equals_a_plain_reading(spark, monkeypatch, segment, piece):
+    monkeypatch.setattr(turn_repair, "SEGMENT", segment)
+    monkeypatch.setattr(turn_repair, "PIECE", piece)
+    rng = np.random.default_rng(segment)
+    roles, texts = ["system", "user", "assistant", "tool", "", None, "amber"], ["Yes.", "No", "  ", "", None, "Why?  ", "é!", "a\nb.", "Cut off", "x" * 400 + "."]
+    turns = []
+    for conv in [*range(40), None]:
+        n = int(rng.integers(1, 12)) if conv != 7 else 200
+        turns += [(conv, None if rng.random() < 0.1 else int(rng.integers(0, n)), roles[int(rng.choice(7, p=[0.1, 0.35, 0.35, 0.05, 0.05, 0.05, 0.05]))], texts[int(rng.integers(len(texts)))]) for _ in range(n)]
+    df = clashing(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: tuple(r[c] for c in REPAIRED) for r in turn_repair.repair(df).collect()}
+    assert got == {c: plain_repair([t[1:] for t in turns if t[0] == c]) for c in {t[0] for t in turns}}
+
+
+def test_damaged_conversations_equal_sql_and_a_plain_reading(spark):
+    turns = [(c, t, ["user", "assistant"][t % 2], f"Turn {t} of {c}. Well?") for c in range(30) for t in range(5)]
+    turns += [(50, t, "user", "Same.") for t in range(40)] + [(51, None, None, None), (None, 1, "user", "Lost?"), (52, 3, "system", "S.")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = turn_repair.repair_damaged(clashing(df))
+    want = on_table(df, "conversations", queries.oracle_sql()["op13_repair_turns"])
+    assert rows(got.toPandas().convert_dtypes()) == rows(want.convert_dtypes())  # a null conv_id makes floats of the others
+    damaged = defaultdict(list)
+    for conv, turn, role, text in turns:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text or " ") if kind == 2 else text or " "
+        damaged[conv] += [(turn, "user" if kind == 4 else role or " ", text)] * [0, 1, 1, 2, 1][kind] if kind < 5 else [(turn, role or " ", text)]
+    assert {r["conv_id"]: tuple(r[c] for c in REPAIRED) for r in got.collect()} == {c: plain_repair(v) for c, v in damaged.items()}
+    assert turn_repair.repair_damaged(df.limit(0)).count() == 0
