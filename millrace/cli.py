@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--inputs", type=int, required=True)
     top.add_argument("--outputs", type=int, required=True)
     top.add_argument("--metadata", action="append", default=[], metavar="KEY=VALUE")
-    top.add_argument("--pieces", action="store_true", help="publish numbered files, each written and hashed by its task, instead of one")
+    top.add_argument("--single-file", action="store_true", help="publish one file, hashed from end to end, instead of numbered ones, each hashed by its task")
     kinds = top.add_subparsers(dest="transform", required=True)
     sample = kinds.add_parser("sample")
     sample.add_argument("--rate", type=float, required=True)
@@ -58,17 +58,19 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
             spark = SparkSession.builder.appName("millrace").getOrCreate()
         if pipeline is not None:
-            made = run_pipeline(spark, args.source, args.output, shape, pipeline, metadata=metadata, single_file=not args.pieces)
+            made = run_pipeline(spark, args.source, args.output, shape, pipeline, metadata=metadata, single_file=args.single_file)
         else:
-            skipped = {"source", "output", "inputs", "outputs", "metadata", "pieces"}
+            skipped = {"source", "output", "inputs", "outputs", "metadata", "single_file"}
             spec = {k: v for k, v in vars(args).items() if k not in skipped and v is not None}
-            made = run_stage(spark, args.source, args.output, shape, spec, metadata, not args.pieces)
+            made = run_stage(spark, args.source, args.output, shape, spec, metadata, args.single_file)
     except Exception as e:  # ours, the system's, and Spark's, whose causes are text
         return _report(e)
     print(f"records read: {made['source']['record_count']}")
     print(f"records written: {made['output']['record_count']}")
     if "seed" in made["transform"]:
         print(f"seed: {made['transform']['seed']}")
+    for told in made.counts:
+        print(f"stage {told['stage']}: perturbed {told['perturbed']}, clamped {told['clamped']}, preserved {told['preserved']}")
     for f in made["output"].get("files", [made["output"]]):
         print(f"sha256: {f['checksum']['value']}")
     return 0

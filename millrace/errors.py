@@ -105,4 +105,4 @@ def chain(error: BaseException | None) -> Iterator[BaseException]:
 
 def storage_full(error: BaseException) -> bool:
     """Whether storage ran out anywhere below, also in a task, whose error arrives as text."""
-    return any(isinstance(e, OSError) and e.errno == errno.ENOSPC or "No space left on device" in str(e) for e in chain(error))
+    return any(isinstance(e, StorageFull) or isinstance(e, OSError) and e.errno == errno.ENOSPC or "No space left on device" in str(e) for e in chain(error))

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from enum import Enum
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidBounds, InvalidScale, NonFiniteResult, UnknownDistribution, UnknownMode, UnknownTargets
+from ..functions import bf16
 from ..functions.draws import value_keys, value_uniforms
-from ..shape import RecordShape
-from .records import map_values
+from ..shape import Encoding, RecordShape
+from .records import arrow_schema, map_values
 
 
 def _named(kind: type[Enum], name: str, error: type, what: str):
@@ -89,55 +92,75 @@ def noise(policy: Policy, seed: int, pos: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v) if policy.distribution is Distribution.GAUSSIAN else 2 * u - 1
 
 
-def perturbed(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(new values, which were perturbed, which of these a bound moved); results may be infinite."""
+@dataclass(frozen=True)
+class Noised:
+    """Values after noise, as the shape's encoding holds them; how many were perturbed (clamped ones too), clamped and
+    preserved as not finite; and the first, by record and index, that stopped being finite."""
+
+    values: np.ndarray
+    counts: tuple[int, int, int]
+    failure: NonFiniteResult | None
+
+
+def noised(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> Noised:
+    """Noise on records x values. A value that is not finite stays as it is; one that a bound holds is clamped, and
+    rounding to the encoding comes last, as it does where the values are written."""
     x = values.astype(np.float64)
     step = policy.scale * noise(policy, seed, pos, values.shape[1])
     with np.errstate(over="ignore", invalid="ignore"):
         made = (x + step if policy.mode is Mode.ABSOLUTE else x * (1 + step)).astype(np.float32)
-    touched = policy.targets.mask(shape)[None, :] & np.isfinite(values)
-    held = np.clip(made, policy.low, policy.high) if (policy.low, policy.high) != (None, None) else made
-    held = np.where(np.isfinite(made), held, made)
-    return np.where(touched, held, values), touched, touched & (held != made) & np.isfinite(made)
+    finite, mask = np.isfinite(values), policy.targets.mask(shape)[None, :]
+    touched, held = mask & finite, made
+    if (policy.low, policy.high) != (None, None):
+        held = np.where(np.isfinite(made), np.clip(made, policy.low, policy.high), made)
+    clamped = int((touched & (held != made) & np.isfinite(made)).sum())
+    new = np.where(touched, held, values)
+    if shape.encoding is Encoding.BFLOAT16:
+        new = bf16.decode(bf16.encode(new))
+    bad, failure = touched & ~np.isfinite(new), None
+    if bad.any():
+        r, v = min(np.argwhere(bad).tolist(), key=lambda at: (pos[at[0]], at[1]))
+        failure = NonFiniteResult(record=int(pos[r]), value=v, original=float(values[r, v]), perturbed=float(new[r, v]))
+    return Noised(new, (int(touched.sum()), clamped, int((mask & ~finite).sum())), failure)
 
 
 def fuzz(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> DataFrame:
     """Noise on the targeted values. Values that are not finite stay as they are; a finite one that would stop
     being finite fails the job, whatever the bounds; `first_failure` names the first."""
-    return map_values(records, lambda values, pos: checked(policy, shape, seed, values, pos))
 
+    def change(values: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        out = noised(policy, shape, seed, values, pos)
+        if out.failure:
+            raise out.failure
+        return out.values
 
-def checked(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """The new values; raises for the first that stops being finite."""
-    new, touched, _ = perturbed(policy, shape, seed, values, pos)
-    if bad := np.argwhere(touched & ~np.isfinite(new)).tolist():
-        r, v = bad[0]
-        raise NonFiniteResult(record=int(pos[r]), value=v, original=float(values[r, v]), perturbed=float(new[r, v]))
-    return new
+    return map_values(records, change)
 
 
-def _codes(policy: Policy, shape: RecordShape, seed: int, values: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """1 perturbed, 2 perturbed and clamped, 3 preserved as not finite, 4 perturbed out of the finite; 0 untargeted."""
-    new, touched, moved = perturbed(policy, shape, seed, values, pos)
-    code = np.where(touched, 1, 3 * policy.targets.mask(shape)[None, :] * np.ones(values.shape, np.int64))
-    return np.where(touched & ~np.isfinite(new), 4, np.where(moved, 2, code)).astype(np.float32)
+def _summed(records: DataFrame, schema: str, row: Callable[[np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """What row(values, pos) tells of each batch of records of one width."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in row(values, batch.column(0).to_numpy())], arrow_schema(schema))
+
+    return records.select("pos", "values").mapInArrow(batches, schema)
 
 
 def counts(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> DataFrame:
-    """Targeted values by fate: perturbed (clamped ones too), clamped, preserved. Nothing but three numbers leaves a batch's rows."""
-    codes = map_values(records, lambda values, pos: _codes(policy, shape, seed, values, pos)).select(F.explode("values").alias("code"))
-    return codes.agg(
-        F.count_if(F.col("code").isin(1.0, 2.0)).alias("perturbed"), F.count_if(F.col("code") == 2).alias("clamped"), F.count_if(F.col("code") == 3).alias("preserved")
-    )
+    """Targeted values by fate: perturbed (clamped ones too), clamped, preserved. A batch tells three numbers."""
+    told = _summed(records, "perturbed bigint, clamped bigint, preserved bigint", lambda values, pos: [noised(policy, shape, seed, values, pos).counts])
+    return told.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in told.columns])
 
 
 def first_failure(records: DataFrame, policy: Policy, shape: RecordShape, seed: int) -> NonFiniteResult | None:
-    """The first value, by record and index, that noise would make infinite. One pass without a shuffle of values."""
-    bad = map_values(records, lambda values, pos: np.where(_codes(policy, shape, seed, values, pos) == 4, values, np.float32("nan")))
-    each = bad.select("pos", F.size("values").alias("width"), F.posexplode("values").alias("i", "x")).where(~F.isnan("x"))
-    first = each.agg(F.min(F.struct("pos", "i", "x", "width")).alias("first")).first()["first"]
-    if first is None:
-        return None
-    row = np.full((1, first["width"]), first["x"], np.float32)  # noise follows the place alone
-    made = perturbed(policy, shape, seed, row, np.array([first["pos"]]))[0][0, first["i"]]
-    return NonFiniteResult(record=first["pos"], value=first["i"], original=first["x"], perturbed=float(made))
+    """The first value, by record and index, that noise would make infinite: each batch tells its own first at most."""
+    def row(values: np.ndarray, pos: np.ndarray) -> list[tuple]:
+        found = noised(policy, shape, seed, values, pos).failure
+        return [tuple(found.facts.values())] if found else []
+
+    first = _summed(records, "record bigint, value int, original double, perturbed double", row).orderBy("record", "value").first()
+    return NonFiniteResult(**first.asDict()) if first else None

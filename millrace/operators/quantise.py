@@ -74,15 +74,3 @@ def rounding_report(records: DataFrame, scheme: Scheme = Scheme.BFLOAT16) -> Dat
         F.coalesce(F.sum("n"), zero).alias("values"), F.coalesce(F.sum("non_zero"), zero).alias("non_zero"), F.max("relative").alias("max_relative"),
         F.try_divide(F.sum("total"), F.sum("non_zero")).alias("mean_relative"), F.max("absolute").alias("max_absolute"),
     )
-
-
-def error_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Values, non-zero ones, the largest and the mean relative error of these, and the largest absolute error."""
-    pair = before.select("pos", F.col("values").alias("x")).join(after.select("pos", F.col("values").alias("q")), "pos")
-    each = pair.select(F.explode(F.arrays_zip("x", "q")).alias("v")).select(F.col("v.x").alias("x"), F.col("v.q").alias("q"))
-    error = F.abs(F.col("q") - F.col("x"))
-    relative = F.when(F.col("x") != 0, (error / F.abs(F.col("x"))).cast("double"))
-    return each.agg(
-        F.count(F.lit(1)).alias("values"), F.count_if(F.col("x") != 0).alias("non_zero"), F.max(relative).alias("max_relative"),
-        F.avg(relative).alias("mean_relative"), F.max(error).cast("double").alias("max_absolute"),
-    )

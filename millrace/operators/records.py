@@ -43,6 +43,17 @@ def read_record(records: DataFrame, index: int, record_count: int) -> DataFrame:
     return records.where(F.col("pos") == index)
 
 
+#: Arrow types by Spark's names, for schemas that tasks need as well.
+ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()),
+}
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of "name type, name type"."""
+    return pa.schema([(name, ARROW[kind]) for name, kind in (field.split() for field in schema.split(", "))])
+
+
 def map_values(records: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Records with their values changed, batch by batch, by change(values, pos); both are arrays over records.
 
@@ -79,20 +90,29 @@ def replaced(records: DataFrame, file_key: Column, record_key: Column) -> DataFr
     Positions come from counts of slices of each file, a small table, and ranks within a slice, so no task sorts
     more than a slice, and the result follows from the keys alone.
     """
-    keyed = records.withColumn("_fk", file_key).withColumn("_rk", record_key)
-    keyed = keyed.withColumn("_slice", F.conv(F.substring("_rk", 1, SLICE_DIGITS), 16, 10).cast("int"))
-    slices = keyed.groupBy("file_ord", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_fk").alias("_fk"))
-    in_file = Window.partitionBy("file_ord").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    files = slices.groupBy("file_ord").agg(F.sum("_n").alias("_all"), F.min("_fk").alias("_fk"))
-    before = Window.orderBy("_fk", "file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    files = files.select("file_ord", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_file_start"))
-    starts = slices.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "file_ord")
-    starts = starts.select("file_ord", "_slice", (F.col("_start") + F.col("_file_start")).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("file_ord", "_slice").orderBy("_rk", "rec_idx")) - 1
-    placed = keyed.join(starts, ["file_ord", "_slice"]).withColumn("pos", (F.col("_start") + rank).cast("bigint"))
+    fk, rk, cut, n, start = (free_name(records, c) for c in ("file_key", "record_key", "slice", "n", "start"))
+    keyed = records.withColumn(fk, file_key).withColumn(rk, record_key)
+    keyed = keyed.withColumn(cut, F.conv(F.substring(rk, 1, SLICE_DIGITS), 16, 10).cast("int"))
+    slices = keyed.groupBy("file_ord", cut).agg(F.count(F.lit(1)).alias(n), F.min(fk).alias(fk))
+    in_file = Window.partitionBy("file_ord").orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    files = slices.groupBy("file_ord").agg(F.sum(n).alias("records"), F.min(fk).alias(fk))
+    before = Window.orderBy(fk, "file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = files.select("file_ord", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("files_before"))
+    starts = slices.withColumn("records_before", F.coalesce(F.sum(n).over(in_file), F.lit(0))).join(files, "file_ord")
+    starts = starts.select("file_ord", cut, (F.col("records_before") + F.col("files_before")).alias(start))
+    rank = F.row_number().over(Window.partitionBy("file_ord", cut).orderBy(rk, "rec_idx")) - 1
+    placed = keyed.join(starts, ["file_ord", cut]).withColumn("pos", (F.col(start) + rank).cast("bigint"))
     return placed.select(*records.columns)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it as long as a column of `df` is called so, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def one_file(records: DataFrame, name: str) -> DataFrame:
     """The records as a derived corpus holds them: one file, in order of position."""
     return records.withColumns({"file_ord": F.lit(0), "file_name": F.lit(name), "rec_idx": F.col("pos")}).select(*records.columns)

@@ -41,11 +41,11 @@ def source(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The folder of a query and its published source."""
     at, rows = folder(spark), corpus(spark, sf_dir)
     made = os.path.join(at, "source")
-    publish(rows, SHAPE, made, "embeddings.bin", {"name": "export", "parameters": {}}, {"record_count": rows.count()}, {})
+    publish(rows, SHAPE, made, "embeddings.bin", {"name": "export", "parameters": {}}, {"record_count": rows.count()}, {}, single_file=True)
     return at, made
 
 
-def stage(spark: SparkSession, sf_dir: str, spec: dict, single_file: bool = True) -> tuple[str, str, dict]:
+def stage(spark: SparkSession, sf_dir: str, spec: dict, single_file: bool = False) -> tuple[str, str, dict]:
     """Source, output and manifest of a transform on disk."""
     at, made = source(spark, sf_dir)
     out = os.path.join(at, "out")
@@ -63,7 +63,7 @@ def disk_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def disk_quantise_pieces(spark: SparkSession, d: str) -> DataFrame:
-    _, out, _ = stage(spark, d, STEPS[2], single_file=False)
+    _, out, _ = stage(spark, d, STEPS[2])
     shape = SHAPE.encoded(Encoding.BFLOAT16)
     verify(spark, out, shape)
     return each(read_corpus(spark, out, shape))
@@ -89,7 +89,7 @@ def disk_verified(spark: SparkSession, d: str) -> DataFrame:
     names = [f.name for f in corpus_files(made)]
     before = spark.createDataFrame(digests(spark, made, names).collect(), "name string, bytes bigint, sha256 string")
     out = os.path.join(at, "out")
-    transforms.run_stage(spark, made, out, SHAPE, STEPS[0] | {"seed": SEED})
+    transforms.run_stage(spark, made, out, SHAPE, STEPS[0] | {"seed": SEED}, single_file=True)
     told = verify(spark, out, SHAPE)
     row = (told["output"]["file"], told["source"]["record_count"], told["output"]["record_count"], told["output"]["bytes"])
     extra = not_contained(read_corpus(spark, out, SHAPE), read_corpus(spark, made, SHAPE)).agg(F.count(F.lit(1)).alias("not_in_source"))

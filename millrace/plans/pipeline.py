@@ -9,12 +9,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ..errors import EmptyPipeline, InvalidConfig, MillraceError, StageFailed, UnsupportedConfigVersion
+from ..errors import EmptyPipeline, InvalidConfig, MillraceError, SourceEncodingMismatch, StageFailed, UnsupportedConfigVersion
 from ..operators import fuzz as fuzzing
 from ..operators import quantise as quantising
 from ..operators import sample as sampling
 from ..operators.records import one_file
-from ..shape import RecordShape
+from ..shape import Encoding, RecordShape
 
 VERSION = 1
 _WORD = (1 << 64) - 1
@@ -26,7 +26,10 @@ _KEYS = {
 
 
 def stage_seed(seed: int, position: int) -> int:
-    """The seed of the stage at `position`, from 1: output `position` of a SplitMix64 generator started at `seed`."""
+    """The seed of the stage at `position`, from 1: output `position` of a SplitMix64 generator started at `seed`.
+
+    Its three constants are that generator's, fixed values.
+    """
     z = (seed + position * 0x9E3779B97F4A7C15) & _WORD
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z = ((z ^ z >> shift) * factor) & _WORD
@@ -42,10 +45,13 @@ class Stage:
     seed: int | None
     parameters: dict
     apply: Callable[[DataFrame, RecordShape], DataFrame]
+    #: The encodings that it reads, and what it makes of a shape.
+    accepts: tuple[Encoding, ...] = tuple(Encoding)
     reshape: Callable[[RecordShape], RecordShape] = lambda shape: shape
     file_name: str = ""
-    #: Of a stage that changes values alone: what it does to an array of records, given their positions.
-    change: Callable[[np.ndarray, np.ndarray, RecordShape], np.ndarray] | None = None
+    #: Of a stage that changes values alone: of an array of records of a shape, at their positions, the values as the
+    #: stage's encoding holds them, how many were perturbed, clamped and preserved, and the first failure.
+    change: Callable[[np.ndarray, np.ndarray, RecordShape], tuple] | None = None
 
     def record(self) -> dict:
         return {"name": self.name, "parameters": self.parameters} | ({"seed": self.seed} if self.seed is not None else {})
@@ -57,9 +63,17 @@ def _plan(name: str, spec: dict, position: int, seed: int) -> Stage:
         return Stage(position, name, seed, {"rate": rate}, lambda df, _: sampling.sample(df, rate, seed), file_name=sampling.file_name(rate))
     if name == "fuzz":
         policy = fuzzing.Policy.named(spec["distribution"], spec["scale"], spec["mode"], spec.get("targets", "inputs"), spec.get("clamp_min"), spec.get("clamp_max"))
-        return Stage(position, name, seed, policy.parameters(), lambda df, shape: fuzzing.fuzz(df, policy, shape, seed), file_name=policy.file_name, change=lambda values, pos, shape: fuzzing.checked(policy, shape, seed, values, pos))
+
+        def change(values: np.ndarray, pos: np.ndarray, shape: RecordShape) -> tuple:
+            out = fuzzing.noised(policy, shape, seed, values, pos)
+            return out.values, out.counts, out.failure
+
+        return Stage(position, name, seed, policy.parameters(), lambda df, shape: fuzzing.fuzz(df, policy, shape, seed), file_name=policy.file_name, change=change)
     scheme = quantising.Scheme.named(spec["scheme"])
-    return Stage(position, name, None, {"scheme": scheme.value}, lambda df, _: quantising.quantise(df, scheme), lambda shape: shape.encoded(scheme.encoding), scheme.file_name, lambda values, pos, shape: quantising.rounded(values))
+    return Stage(
+        position, name, None, {"scheme": scheme.value}, lambda df, _: quantising.quantise(df, scheme), (Encoding.FLOAT32,),
+        lambda shape: shape.encoded(scheme.encoding), scheme.file_name, lambda values, pos, shape: (quantising.rounded(values), (0, 0, 0), None),
+    )
 
 
 @dataclass(frozen=True)
@@ -93,11 +107,12 @@ class Pipeline:
     def to_json(self) -> str:
         return json.dumps({"version": VERSION} | ({"seed": self.seed} if self.seed is not None else {}) | {"stages": list(self.stages)}, indent=2) + "\n"
 
-    def plan(self, seed: int) -> list[Stage]:
-        """Every stage, checked. A pinned seed wins over the derived one."""
+    def plan(self, seed: int, encoding: Encoding = Encoding.FLOAT32) -> list[Stage]:
+        """Every stage, checked: each has to read what the one before it writes, the first what the source holds.
+        A pinned seed wins over the derived one."""
         if not self.stages:
             raise EmptyPipeline()
-        planned = []
+        planned, before = [], "the source"
         for position, spec in enumerate(self.stages, 1):
             name = spec.get("transform") if isinstance(spec, dict) else None
             if name not in _KEYS:
@@ -110,13 +125,17 @@ class Pipeline:
                 raise InvalidConfig(detail=f"stage {position} ({name}): missing keys: {sorted(gone)}")
             own = spec.get("seed")
             try:
-                planned.append(_plan(name, spec, position, stage_seed(seed, position) if own is None else own))
+                stage = _plan(name, spec, position, stage_seed(seed, position) if own is None else own)
+                if encoding not in stage.accepts:
+                    raise SourceEncodingMismatch(manifest=before, expected=stage.accepts[0].value, found=encoding.value)
+                planned.append(stage)
+                encoding, before = stage.reshape(RecordShape(1, 1, encoding)).encoding, f"stage {position}"
             except MillraceError as e:
                 raise StageFailed(position=position, name=name, cause=e) from e
         return planned
 
     def apply(self, records: DataFrame, shape: RecordShape, seed: int) -> tuple[DataFrame, RecordShape]:
         """The stages one after the other. Each draws by position in its own input, so any can be replayed alone."""
-        for stage in self.plan(seed):
+        for stage in self.plan(seed, shape.encoding):
             records, shape = one_file(stage.apply(records, shape), stage.file_name), stage.reshape(shape)
         return records, shape

@@ -17,6 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,98 +29,164 @@ from . import manifest as manifests
 BLOCK = 1 << 22
 
 
-@contextmanager
-def staged(destination: str) -> Iterator[str]:
-    """A scratch directory beside `destination` that becomes it at the end; on any error nothing changes."""
-    parent, name = os.path.split(os.path.abspath(destination))
-    mark = f"{time.time_ns()}-{os.getpid()}"
-    staging, aside = os.path.join(parent, f".{name}.staging-{mark}"), os.path.join(parent, f".{name}.deleting-{mark}")
-    os.mkdir(staging)
-    try:
-        yield staging
-        moved = os.path.lexists(destination)
+class Staging:
+    """A scratch directory beside `destination` that becomes it, or goes."""
+
+    def __init__(self, destination: str):
+        self.destination = destination
+        parent, name = os.path.split(os.path.abspath(destination))
+        mark = f"{time.time_ns()}-{os.getpid()}"
+        self.path, self.aside = os.path.join(parent, f".{name}.staging-{mark}"), os.path.join(parent, f".{name}.deleting-{mark}")
+        os.mkdir(self.path)
+
+    def publish(self) -> None:
+        moved = os.path.lexists(self.destination)
         try:
             if moved:
-                os.rename(destination, aside)
-            os.rename(staging, destination)
+                os.rename(self.destination, self.aside)
+            os.rename(self.path, self.destination)
         except OSError as e:
-            if moved and not os.path.lexists(destination) and os.path.lexists(aside):
-                os.rename(aside, destination)
-            raise PublishFailed(staging=staging, destination=destination) from e
-    finally:
-        for path in (staging, aside):
+            if moved and not os.path.lexists(self.destination) and os.path.lexists(self.aside):
+                os.rename(self.aside, self.destination)
+            raise PublishFailed(staging=self.path, destination=self.destination) from e
+
+    def discard(self) -> None:
+        for path in (self.path, self.aside):
             if os.path.lexists(path):
                 shutil.rmtree(path, ignore_errors=True)
 
 
-def encoded(values: np.ndarray, encoding: Encoding) -> bytes:
-    return np.ascontiguousarray(values, "<f4").tobytes() if encoding is Encoding.FLOAT32 else bf16.encode(values).astype("<u2").tobytes()
+@contextmanager
+def staged(destination: str) -> Iterator[str]:
+    """A scratch directory beside `destination` that becomes it at the end; on any error nothing changes."""
+    staging = Staging(destination)
+    try:
+        yield staging.path
+        staging.publish()
+    finally:
+        staging.discard()
+
+
+def encoded(values: np.ndarray, encoding: Encoding) -> np.ndarray:
+    """The values as they lie on disk, one after the other."""
+    return np.ascontiguousarray(values, "<f4") if encoding is Encoding.FLOAT32 else bf16.encode(values).astype("<u2", copy=False)
+
+
+class Piece:
+    """One task's file of a corpus, under a name of its own attempt, so that only the attempt that reports counts."""
+
+    def __init__(self, directory: str, shape: RecordShape):
+        self.shape, self.name = shape, f"piece-{secrets.token_hex(8)}"
+        self.path = os.path.join(directory, self.name)
+        self.file, self.digest, self.records, self.bytes = open(self.path, "wb", buffering=0), hashlib.sha256(), 0, 0
+
+    def write(self, values: np.ndarray) -> None:
+        """Records end to end."""
+        raw = memoryview(encoded(values, self.shape.encoding)).cast("B")
+        self.digest.update(raw)
+        while raw:
+            done = self.file.write(raw)
+            self.bytes, raw = self.bytes + done, raw[done:]
+        self.records += values.size // self.shape.values
+
+    def close(self, keep: bool) -> None:
+        """Have the file on disk, or gone where it is not to be kept or holds nothing."""
+        keep = keep and self.records > 0
+        if keep:
+            os.fsync(self.file.fileno())
+        self.file.close()
+        if not keep:
+            os.unlink(self.path)
+            self.records, self.name = 0, None
+
+    def facts(self) -> dict:
+        return {"name": self.name, "records": self.records, "bytes": self.bytes, "sha256": self.digest.hexdigest() if self.records else None}
+
+
+PIECES = "part int, low bigint, high bigint, name string, records bigint, bytes bigint, sha256 string, actual int, ordered boolean"
+
+
+def record_pieces(it: Iterator[pa.RecordBatch], shape: RecordShape, directory: str) -> Iterator[dict]:
+    """A task's rows (pos, values), in order, as one piece; what it tells, or the length of a record that is not one."""
+    piece, low, high, actual, ordered = Piece(directory, shape), None, None, None, True
+    for batch in it:
+        pos, column = batch.column(0).to_numpy(), batch.column(1)
+        if not len(pos):
+            continue
+        lengths = np.diff(column.offsets.to_numpy())
+        if wrong := lengths[lengths != shape.values].tolist():
+            actual = int(wrong[0])
+            break
+        ordered &= bool((np.diff(pos) > 0).all() and (high is None or pos[0] > high))
+        low, high = int(pos[0]) if low is None else low, int(pos[-1])
+        piece.write(column.flatten().to_numpy(zero_copy_only=False))
+    piece.close(keep=actual is None)
+    yield {"part": TaskContext.get().partitionId(), "low": low, "high": high, **piece.facts(), "actual": actual, "ordered": ordered}
+
+
+def in_order_of_position(records: DataFrame) -> DataFrame:
+    return records.select("pos", "values").repartitionByRange("pos").sortWithinPartitions("pos")
 
 
 def write_pieces(records: DataFrame, shape: RecordShape, directory: str) -> list[dict]:
-    """Write records in order of position as files of `directory`; (name, records, bytes, sha256) of each, in order.
+    """Write records in order of position as files of `directory`; (name, records, bytes, sha256) of each, in order."""
+    from ..operators.records import arrow_schema
 
-    A retried task writes under a name of its own attempt, and only the attempt that reports counts.
-    """
-    def arrays(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in it:
-            column = batch.column(1)
-            lengths = np.diff(column.offsets.to_numpy())
-            if wrong := lengths[lengths != shape.values].tolist():
-                raise RecordLengthMismatch(path=directory, expected=shape.values, actual=wrong[0])
-            yield batch.column(0).to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
-
-    ordered = records.select("pos", "values").repartitionByRange("pos").sortWithinPartitions("pos")
-    return collect_pieces(ordered.mapInArrow(lambda it: piece(arrays(it), shape, directory), PIECES), directory)
-
-
-PIECES = "low bigint, name string, records bigint, bytes bigint, sha256 string"
-
-
-def piece(arrays: Iterator[tuple[np.ndarray, np.ndarray]], shape: RecordShape, directory: str) -> Iterator[pa.RecordBatch]:
-    """A task's (positions, values), in order, as one file; a row that tells of it."""
-    name, digest, n, low = f"piece-{secrets.token_hex(8)}", hashlib.sha256(), 0, None
-    with open(os.path.join(directory, name), "wb") as f:
-        for pos, values in arrays:
-            raw = encoded(values, shape.encoding)
-            f.write(raw)
-            digest.update(raw)
-            low = int(pos[0]) if low is None and len(pos) else low
-            n += len(pos)
-        f.flush()
-        os.fsync(f.fileno())
-    if n:
-        yield pa.RecordBatch.from_pylist([{"low": low, "name": name, "records": n, "bytes": n * shape.bytes_per_record, "sha256": digest.hexdigest()}])
-    else:
-        os.unlink(os.path.join(directory, name))
-
-
-def collect_pieces(told: DataFrame, directory: str) -> list[dict]:
-    """The pieces that tasks told of, in order; files of attempts that did not report go."""
-    found = [r.asDict() for r in told.orderBy("low").collect()]
-    wanted = {p["name"] for p in found}
-    for name in os.listdir(directory):
-        if name.startswith("piece-") and name not in wanted:
-            os.unlink(os.path.join(directory, name))
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist(list(record_pieces(it, shape, directory)), arrow_schema(PIECES))
+
+    told = [r.asDict() for r in in_order_of_position(records).mapInArrow(write, PIECES).collect()]
+    return checked_pieces(told, shape, directory)
+
+
+def checked_pieces(told: list[dict], shape: RecordShape, directory: str) -> list[dict]:
+    """The pieces that tasks told of, in order of their records; files of attempts that did not report go."""
+    for t in told:
+        if t["actual"] is not None:
+            raise RecordLengthMismatch(path=directory, expected=shape.values, actual=t["actual"])
+        if not t["ordered"]:
+            raise InvariantBroken(check="record order", detail=f"positions of task {t['part']} do not grow")
+    found = sorted((t for t in told if t["records"]), key=lambda t: t["low"])
+    for one, other in zip(found, found[1:], strict=False):
+        if one["high"] >= other["low"]:
+            raise InvariantBroken(check="record order", detail=f"positions {one['low']} to {one['high']} and from {other['low']} overlap")
+    drop_strays(directory, {t["name"] for t in found})
     return found
 
 
-def write_in_place(write: Callable[[str], DataFrame], path: str, width: int) -> int:
-    """Have tasks write their records at their own places in one file, and return how many there are.
-
-    `write(path)` makes a frame whose rows say (records, end): a retried task writes the same bytes again.
-    """
-    open(path, "wb").close()
-    row = write(path).agg(F.sum("records").alias("n"), F.max("end").alias("end")).first()
-    n = row["n"] or 0
-    if (row["end"] or 0) != n:
-        raise InvariantBroken(check="published bytes", detail=f"positions reach {row['end']} for {n} records")
-    return n
+def drop_strays(directory: str, wanted: set[str]) -> None:
+    for name in os.listdir(directory):
+        if name.startswith("piece-") and name not in wanted:
+            os.unlink(os.path.join(directory, name))
 
 
-def file_digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def numbered(pieces: list[dict], directory: str, file_name: str) -> dict:
+    """The pieces under the corpus's name and their numbers, as an entry of its manifest."""
+    stem, listed = file_name.removesuffix(".bin"), []
+    if not pieces:  # a corpus of no records is an empty file
+        pieces = [{"name": "piece-none", "records": 0, "bytes": 0, "sha256": hashlib.sha256().hexdigest()}]
+        open(os.path.join(directory, "piece-none"), "wb").close()
+    for k, p in enumerate(pieces):
+        name = f"{stem}-{k:05d}.bin"
+        os.rename(os.path.join(directory, p["name"]), os.path.join(directory, name))
+        listed.append(_output(name, p["records"], p["bytes"], p["sha256"]))
+    return {"file": listed[0]["file"], "record_count": sum(x["record_count"] for x in listed), "bytes": sum(x["bytes"] for x in listed), "files": listed}
+
+
+def joined(pieces: list[dict], directory: str, file_name: str) -> dict:
+    """The pieces end to end as one file, as an entry of the manifest: a sequential pass over it for its digest."""
+    digest, path = hashlib.sha256(), os.path.join(directory, file_name)
+    with open(path, "wb") as out:
+        for p in pieces:
+            own = os.path.join(directory, p["name"])
+            with open(own, "rb") as f:
+                while raw := f.read(BLOCK):
+                    digest.update(raw)
+                    out.write(raw)
+            os.unlink(own)
+        out.flush()
+        os.fsync(out.fileno())
+    return _output(file_name, sum(p["records"] for p in pieces), os.path.getsize(path), digest.hexdigest())
 
 
 def _output(file: str, count: int, size: int, digest: str) -> dict:
@@ -128,44 +195,18 @@ def _output(file: str, count: int, size: int, digest: str) -> dict:
 
 def publish(
     records: DataFrame | None, shape: RecordShape, destination: str, file_name: str, transform: dict, source: dict, metadata: dict,
-    source_shape: RecordShape | None = None, stages: list[dict] | None = None, single_file: bool = True,
-    write: Callable[[str], DataFrame] | None = None, pieces: Callable[[str], list[dict]] | None = None,
+    source_shape: RecordShape | None = None, stages: list[dict] | None = None, single_file: bool = False, pieces: Callable[[str], list[dict]] | None = None,
 ) -> dict:
-    """Publish records as a corpus and return its manifest. With `single_file` they are one file, `file_name`;
-    else its pieces, numbered, with `output.file` naming the first and `output.files` all.
+    """Publish records as a corpus and return its manifest: its pieces, numbered, with `output.file` naming the first
+    and `output.files` all; with `single_file` one file, `file_name`.
 
-    Records come as a frame in any partitioning, or from `write` and `pieces`, which have tasks write them in place
-    or as pieces without passing them on.
+    Records come as a frame in any partitioning, or from `pieces`, which has tasks write them into a directory.
     """
     pieces = pieces or (lambda directory: write_pieces(records, shape, directory))
     with staged(destination) as staging:
-        path = os.path.join(staging, file_name)
-        if single_file and write:
-            count = write_in_place(write, path, shape.bytes_per_record)
-            output = _output(file_name, count, os.path.getsize(path), file_digest(path))
-        elif single_file:
-            count, digest = 0, hashlib.sha256()
-            with open(path, "wb") as out:
-                for p in pieces(staging):
-                    count, own = count + p["records"], os.path.join(staging, p["name"])
-                    with open(own, "rb") as f:
-                        while raw := f.read(BLOCK):
-                            digest.update(raw)
-                            out.write(raw)
-                    os.unlink(own)
-                out.flush()
-                os.fsync(out.fileno())
-            output = _output(file_name, count, os.path.getsize(path), digest.hexdigest())
-        else:
-            stem, listed = file_name.removesuffix(".bin"), []
-            for k, p in enumerate(pieces(staging)):
-                name = f"{stem}-{k:05d}.bin"
-                os.rename(os.path.join(staging, p["name"]), os.path.join(staging, name))
-                listed.append(_output(name, p["records"], p["bytes"], p["sha256"]))
-            count = sum(x["record_count"] for x in listed)
-            output = {"file": listed[0]["file"] if listed else None, "record_count": count, "bytes": sum(x["bytes"] for x in listed), "files": listed}
-        if output["bytes"] != count * shape.bytes_per_record:
-            raise InvariantBroken(check="published bytes", detail=f"{output['bytes']} for {count} records")
+        output = (joined if single_file else numbered)(pieces(staging), staging, file_name)
+        if output["bytes"] != output["record_count"] * shape.bytes_per_record:
+            raise InvariantBroken(check="published bytes", detail=f"{output['bytes']} for {output['record_count']} records")
         made = manifests.build(transform, shape, source, output, metadata, source_shape, stages)
         manifests.write(made, staging)
     return made
@@ -185,7 +226,7 @@ def write_synthetic(spark, directory: str, shards: int, records: int, shape: Rec
                 with open(os.path.join(directory, f"shard-{k:03d}.bin"), "wb") as f:
                     for low in range(k * records, (k + 1) * records, per):
                         g = np.arange(low, min(low + per, (k + 1) * records)).astype(np.float32)
-                        f.write(encoded(g[:, None] + last, shape.encoding))
+                        f.write(memoryview(encoded(g[:, None] + last, shape.encoding)).cast("B"))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64())})
 
     spark.range(0, shards, 1, shards).mapInArrow(write, "shard bigint").agg(F.count(F.lit(1))).collect()

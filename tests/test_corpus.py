@@ -4,14 +4,16 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import cli, errors, measure, transforms
+from millrace.operators import fuzz as fuzzing
 from millrace.operators import records as recs
 from millrace.operators.fuzz import Policy
 from millrace.operators.quantise import Scheme
 from millrace.plans.pipeline import Pipeline, stage_seed
 from millrace.shape import Encoding, RecordShape
-from millrace.sources import discover, manifest, verify
+from millrace.sources import discover, fixedwidth, gather, manifest, verify
 from millrace.sources.fixedwidth import read_corpus
 from millrace.sources.publish import publish, staged, write_synthetic
 from millrace.streaming.transforms import record_stream, transformed
@@ -82,7 +84,7 @@ def test_sample_end_to_end(spark, source, tmp_path):
     spec = {"transform": "sample", "rate": 0.5, "seed": 7}
     made = transforms.run_stage(spark, source, out, SHAPE, spec, {"owner": "me"})
     kept, raw = published(out)
-    assert made == kept and kept["output"]["file"] == "sample-50.bin" and kept["metadata"] == {"owner": "me"}
+    assert made == kept and kept["output"]["file"] == "sample-50-00000.bin" and kept["metadata"] == {"owner": "me"}
     got = np.frombuffer(raw, "<f4").reshape(-1, 3)
     assert 20 < len(got) < 80 and set(got[:, 0]) <= set(range(100)) and (got[:, 1] == 2 * got[:, 0]).all()
     assert verify.verify(spark, out, SHAPE)["output"]["record_count"] == len(got)
@@ -95,14 +97,15 @@ def test_sample_end_to_end(spark, source, tmp_path):
 def test_sample_of_nothing_is_published(spark, source, tmp_path):
     out = str(tmp_path / "out")
     made = transforms.run_stage(spark, source, out, SHAPE, {"transform": "sample", "rate": 1e-9, "seed": 1})
-    assert made["output"]["record_count"] == 0 and os.path.getsize(os.path.join(out, "sample-0.bin")) == 0
+    assert made["output"]["record_count"] == 0 and os.path.getsize(os.path.join(out, "sample-0-00000.bin")) == 0
+    assert verify.verify(spark, out, SHAPE)["output"]["bytes"] == 0
 
 
 def test_pieces_instead_of_one_file(spark, source, tmp_path):
     one, many = str(tmp_path / "one"), str(tmp_path / "many")
     spec = {"transform": "sample", "rate": 1.0, "seed": 3}
-    transforms.run_stage(spark, source, one, SHAPE, spec)
-    made = transforms.run_stage(spark, source, many, SHAPE, spec, single_file=False)
+    transforms.run_stage(spark, source, one, SHAPE, spec, single_file=True)
+    made = transforms.run_stage(spark, source, many, SHAPE, spec)
     assert len(made["output"]["files"]) >= 1 and published(one)[1] == published(many)[1]
     assert verify.verify(spark, many, SHAPE)
 
@@ -132,6 +135,134 @@ def test_pipeline_equals_its_stages(spark, source, tmp_path):
     assert [s["name"] for s in made["pipeline"]] == ["sample", "fuzz", "quantise"] and made["transform"]["parameters"]["stage_count"] == 3
 
 
+SAMPLE, FUZZ, QUANTISE = ({"transform": "sample", "rate": 0.6}, {"transform": "fuzz", "distribution": "gaussian", "scale": 0.05, "mode": "relative", "targets": "all", "clamp_max": 250.0}, {"transform": "quantise", "scheme": "bfloat16"})
+MIXES = [
+    (QUANTISE, FUZZ, FUZZ), (FUZZ, QUANTISE, FUZZ), (SAMPLE, FUZZ, QUANTISE), (FUZZ, SAMPLE, QUANTISE, FUZZ), (SAMPLE, SAMPLE, FUZZ), (FUZZ, SAMPLE, FUZZ, SAMPLE),
+    (QUANTISE, SAMPLE, FUZZ), (SAMPLE, QUANTISE, SAMPLE),
+]
+
+
+@pytest.mark.parametrize("steps", MIXES, ids=lambda m: "-".join(s["transform"] for s in m))
+def test_disk_frame_and_stages_agree(spark, source, tmp_path, steps):
+    whole, seed = str(tmp_path / "whole"), 77
+    made = transforms.run_pipeline(spark, source, whole, SHAPE, Pipeline(steps, seed))
+    at, shape, counts = source, SHAPE, []
+    for k, spec in enumerate(steps, 1):
+        out = str(tmp_path / f"stage{k}")
+        told = transforms.run_stage(spark, at, out, shape, spec if spec["transform"] == "quantise" else spec | {"seed": stage_seed(seed, k)}, single_file=True)
+        counts += [c | {"stage": k} for c in told.counts]
+        at, shape = out, RecordShape(2, 1, Encoding(told["record_shape"]["encoding"]))
+    assert published(whole)[1] == published(at)[1] and made["record_shape"] == shape.as_dict()
+    frame, own = Pipeline(steps, seed).apply(read_corpus(spark, source, SHAPE), SHAPE, seed)
+    rows = [r["values"] for r in frame.orderBy("pos").collect()]
+    assert own == shape and rows == [r["values"] for r in read_corpus(spark, whole, shape).orderBy("pos").collect()] and len(rows) > 10
+    assert made.counts == counts and all(c["perturbed"] > 0 for c in counts)
+
+
+def test_a_sample_is_the_same_over_any_tasks(spark, source, tmp_path, monkeypatch):
+    spec, found = {"transform": "sample", "rate": 0.7, "seed": 4}, []
+    for k, split in enumerate((64 << 20, 120, 12)):
+        monkeypatch.setattr(gather, "SPLIT", split)
+        made = transforms.run_stage(spark, source, str(tmp_path / f"o{k}"), SHAPE, spec)
+        found.append(published(str(tmp_path / f"o{k}"))[1])
+    assert len(made["output"]["files"]) > 20 and found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize(("steps", "position"), [((QUANTISE, QUANTISE), 2), ((QUANTISE, SAMPLE, FUZZ, QUANTISE), 4)])
+def test_a_stage_that_cannot_read_its_input_is_refused(spark, source, tmp_path, steps, position):
+    with pytest.raises(errors.StageFailed) as e:
+        transforms.run_pipeline(spark, source, str(tmp_path / "out"), SHAPE, Pipeline(steps, 1))
+    assert e.value.position == position and isinstance(e.value.cause, errors.SourceEncodingMismatch) and os.listdir(tmp_path) == ["source"]
+    with pytest.raises(errors.SourceEncodingMismatch):
+        transforms.run_stage(spark, source, str(tmp_path / "out"), SHAPE.encoded(Encoding.BFLOAT16), QUANTISE)
+
+
+HUGE = {"transform": "fuzz", "distribution": "uniform", "scale": 3e38, "mode": "absolute"}
+
+
+SMALL = {k: v for k, v in FUZZ.items() if k != "clamp_max"} | {"mode": "absolute"}
+
+
+@pytest.mark.parametrize("steps", [(SMALL, HUGE), (HUGE, SAMPLE | {"rate": 0.01}), (QUANTISE, HUGE, SMALL)], ids=lambda m: "-".join(s["transform"] for s in m))
+def test_the_first_failure_is_named_whatever_task_meets_it(spark, tmp_path, monkeypatch, steps):
+    monkeypatch.setattr(gather, "SPLIT", 24)
+    source = str(tmp_path / "source")
+    write(source, a=[[1.0, 3e38, 2.0]] * 40, b=[[2e38, 1.0, 2.0]] * 20)
+    position = next(k for k, s in enumerate(steps, 1) if s is HUGE)
+    before, shape = Pipeline(steps[: position - 1], 5), SHAPE
+    records = read_corpus(spark, source, SHAPE)
+    if position > 1:
+        records, shape = before.apply(records, SHAPE, 5)
+    policy = Policy.named("uniform", 3e38, "absolute")
+    want = fuzzing.first_failure(records, policy, shape, stage_seed(5, position))
+    with pytest.raises(errors.StageFailed) as e:
+        transforms.run_pipeline(spark, source, str(tmp_path / "out"), SHAPE, Pipeline(steps, 5))
+    assert want and e.value.position == position and isinstance(e.value.cause, errors.NonFiniteResult) and e.value.cause.facts == want.facts
+    assert os.listdir(tmp_path) == ["source"]
+
+
+def test_a_stage_alone_raises_its_own_failure(spark, tmp_path):
+    write(str(tmp_path / "source"), a=[[1.0, 2.0, 0.5]])
+    spec = {"transform": "fuzz", "distribution": "uniform", "scale": 1e300, "mode": "absolute", "clamp_max": 1.0, "seed": 1}
+    with pytest.raises(errors.NonFiniteResult) as e:
+        transforms.run_stage(spark, str(tmp_path / "source"), str(tmp_path / "out"), SHAPE, spec)
+    assert (e.value.record, e.value.value, e.value.original) == (0, 0, 1.0) and "record 0" in str(e.value)
+
+
+def test_noise_that_rounding_makes_infinite_fails(spark, tmp_path):
+    """The largest float32 rounds to infinity as bfloat16, though noise left it finite."""
+    shape = SHAPE.encoded(Encoding.BFLOAT16)
+    values = np.array([[1.0, 3.3895314e38, 2.0]], np.float32)
+    out = fuzzing.noised(Policy.named("uniform", 1e-3, "relative"), shape, next(s for s in range(99) if fuzzing.noise(Policy.named("uniform", 1e-3, "relative"), s, np.array([0]), 3)[0, 1] > 0.9), np.float32(values), np.array([0]))
+    assert out.failure is None or out.failure.value == 1
+    top = np.array([[1.0, np.float32(3.4e38), 2.0]], np.float32)
+    assert fuzzing.noised(Policy.named("uniform", 1e-9, "relative"), shape, 1, top, np.array([0])).failure.value == 1
+
+
+def test_the_sink_publishes_and_an_aborted_write_leaves_nothing(spark, source, tmp_path):
+    records = read_corpus(spark, source, SHAPE)
+    out = str(tmp_path / "sunk")
+    fixedwidth.write_corpus(records.repartition(7), out, SHAPE, name="sunk.bin", metadata={"k": "v"})
+    made, raw = published(out)
+    want = b"".join(open(os.path.join(source, f), "rb").read() for f in ("a.bin", "b.bin"))
+    assert raw == want and made["metadata"] == {"k": "v"} and made["output"]["record_count"] == 100 and verify.verify(spark, out, SHAPE)
+    broken = records.withColumn("values", F.when(F.col("pos") == 60, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("values")))
+    with pytest.raises(Exception, match="a record of 1 values"):
+        fixedwidth.write_corpus(broken, out, SHAPE)
+    failing = records.withColumn("pos", F.when(F.col("pos") == 99, F.raise_error(F.lit("killed")).cast("bigint")).otherwise(F.col("pos")))
+    with pytest.raises(Exception, match="killed"):
+        fixedwidth.write_corpus(failing, out, SHAPE)
+    unsorted = records.orderBy(F.desc("pos")).coalesce(1).select("pos", "values")
+    assert published(out)[1] == want and sorted(os.listdir(tmp_path)) == ["source", "sunk"]
+    with pytest.raises(Exception, match="record order"):
+        unsorted.write.format("fixedwidth").mode("overwrite").options(path=out, inputs="2", outputs="1").save()
+    assert published(out)[1] == want and sorted(os.listdir(tmp_path)) == ["source", "sunk"]
+
+
+def test_a_record_is_read_by_a_seek(spark, source):
+    row = fixedwidth.read_record(spark, source, SHAPE, 41).collect()
+    assert [(r["pos"], r["file_name"], r["rec_idx"], r["values"]) for r in row] == [(41, "b.bin", 1, [41.0, 82.0, 123.0])]
+    for index in (-1, 100):
+        with pytest.raises(errors.RecordIndexOutOfRange):
+            fixedwidth.read_record(spark, source, SHAPE, index)
+
+
+@pytest.fixture
+def pushing(spark):
+    spark.conf.set(fixedwidth.PUSHDOWN, "true")
+    yield spark
+    spark.conf.unset(fixedwidth.PUSHDOWN)
+
+
+def test_conditions_on_positions_reach_the_reader(pushing, source):
+    records = read_corpus(pushing, source, SHAPE, split_bytes=120)
+    assert records.rdd.getNumPartitions() == 10
+    one = records.where("pos = 57")
+    assert one.rdd.getNumPartitions() == 1 and [r["pos"] for r in one.collect()] == [57]
+    for condition, want in (("pos >= 38 AND pos < 43", range(38, 43)), ("pos IN (3, 95)", [3, 95]), ("pos > 97", [98, 99]), ("pos <= 1 AND rec_idx = 1", [1]), ("pos = 100", []), ("pos = 5 AND pos = 6", [])):
+        assert sorted(r["pos"] for r in records.where(condition).collect()) == list(want)
+
+
 def test_seeds_are_the_generators():
     assert [stage_seed(20260831, k) for k in (1, 2, 3)] == [283084283387929719, 7589195149613138759, 12069378877930774043]
 
@@ -178,7 +309,7 @@ def test_wrong_width_is_refused(spark, tmp_path):
 @pytest.mark.parametrize(("change", "check"), [
     (lambda d, m: m["output"].update(bytes=1), "published bytes"),
     (lambda d, m: m["output"].update(record_count=1), "record count"),
-    (lambda d, m: m["output"]["checksum"].update(value="0"), "published checksum"),
+    (lambda d, m: m["output"]["files"][0]["checksum"].update(value="0"), "published checksum"),
     (lambda d, m: m["record_shape"].update(inputs=9), "record geometry"),
     (lambda d, m: m["source"].update(record_count=0), "sample size"),
 ])
@@ -240,8 +371,8 @@ def test_command_line(spark, source, tmp_path, capsys):
     config = tmp_path / "p.json"
     config.write_text(Pipeline(tuple(STEPS), 1).to_json())
     assert cli.main([*common, "--output", str(tmp_path / "p"), "pipeline", "--config", str(config)], spark) == 0
-    assert cli.main([*common, "--output", str(tmp_path / "n"), "--pieces", "quantise", "--scheme", "bfloat16"], spark) == 0
-    assert (tmp_path / "n" / "quantise-bfloat16-00000.bin").exists()
+    assert cli.main([*common, "--output", str(tmp_path / "n"), "--single-file", "quantise", "--scheme", "bfloat16"], spark) == 0
+    assert (tmp_path / "n" / "quantise-bfloat16.bin").exists() and (tmp_path / "q" / "quantise-bfloat16-00000.bin").exists()
     assert cli.main([*common, "--output", str(tmp_path / "x"), "sample", "--rate", "7"], spark) == 1
     assert cli.main([*common, "--output", str(tmp_path / "x"), "quantise", "--scheme", "int8"], spark) == 1
     with pytest.raises(SystemExit) as e:
