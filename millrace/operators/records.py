@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RecordIndexOutOfRange
-from ..shape import RecordShape
+from ..shape import RECORDS, RecordShape
 
 #: Hex digits of a sort key that name a slice of a file; places are counted by slice and ranked only within one.
 SLICE_DIGITS = 3
+#: Values that a batch of probe records has.
+PROBED = 1 << 20
 
 
 def from_table(df: DataFrame, key: str, values: Column, shards: int = 8) -> DataFrame:
@@ -37,6 +39,27 @@ def synthetic(spark: SparkSession, shards: int, records: int, shape: RecordShape
     )
 
 
+def error_probe(places: DataFrame, place: str, shape: RecordShape) -> DataFrame:
+    """Records whose values spread over many exponents, to probe rounding with: value v of global record g is
+    (0.017 + 0.001 g) * sqrt(1 + v), negative where v is a multiple of three, every step in float32.
+
+    `places` has the dense 0-based g in the column `place`; values are made in the tasks that read them.
+    """
+    name, wide = "probe.bin", shape.values
+    root = np.sqrt(np.float32(1) + np.arange(wide, dtype=np.float32))
+    root[::3] *= -1
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, batch.num_rows, per := max(1, PROBED // wide)):
+                g = batch.column(0).to_numpy()[i : i + per]
+                flat = ((np.float32(0.017) + g.astype(np.float32) * np.float32(1e-3))[:, None] * root).ravel()
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, wide, dtype=np.int32)), pa.array(flat, pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(g), np.int32)), pa.array([name] * len(g)), pa.array(g), pa.array(g), values], names=RECORDS.names)
+
+    return places.select(F.col(place).cast("bigint")).mapInArrow(batches, RECORDS)
+
+
 def read_record(records: DataFrame, index: int, record_count: int) -> DataFrame:
     if not 0 <= index < record_count:
         raise RecordIndexOutOfRange(index=index, record_count=record_count)

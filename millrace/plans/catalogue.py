@@ -112,6 +112,13 @@ def quantise_error(spark, d):
     return out.select("values", "non_zero", F.round("max_relative", 9).alias("max_relative"), F.round("mean_relative", 9).alias("mean_relative"), F.round("max_absolute", 9).alias("max_absolute"))
 
 
+def error_probe_report(spark, d):
+    """Rounding errors of probe records, one for each embedding."""
+    probe = recs.error_probe(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", RecordShape(250, 6))
+    out = quantising.rounding_report(probe)
+    return out.select("values", "non_zero", F.round("max_relative", 9).alias("max_relative"), F.round("mean_relative", 9).alias("mean_relative"), F.round("max_absolute", 9).alias("max_absolute"))
+
+
 def fuzz_query(policy: Policy):
     return lambda spark, d: each(fuzz(corpus(spark, d), policy, SHAPE, SEED))
 
@@ -186,7 +193,7 @@ def queries() -> dict:
     plain = (
         scan_records, corpus_geometry, discovery_order, read_record, split_inputs_outputs, synthetic_corpus, sample_bernoulli,
         sample_full_rate, sample_block_shuffle, sample_share_by_file, sample_names, whole_pass_bytes, quantise_bf16,
-        quantise_bf16_expression, quantise_error, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
+        quantise_bf16_expression, quantise_error, error_probe_report, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
         record_digests, sample_containment, baseline_compare, derived_metrics, metadata_valid, manifest_timestamp,
     )
     found = {f.__name__: f for f in plain} | {name: fuzz_query(p) for name, p in POLICIES.items()}

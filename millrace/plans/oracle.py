@@ -59,6 +59,9 @@ placed AS (SELECT file_ord, rec_idx, vals, row_number() OVER (ORDER BY md5('{see
 
 
 def all_sql() -> dict[str, str]:
+    errors = f"""q AS (SELECT x, {bf16('x')} AS q FROM v)
+SELECT count(*) AS values, count(*) FILTER (x <> 0) AS non_zero, round(max((abs(q - x) / abs(x))::DOUBLE) FILTER (x <> 0), 9) AS max_relative,
+       round(avg((abs(q - x) / abs(x))::DOUBLE) FILTER (x <> 0), 9) AS mean_relative, round(max(abs(q - x))::DOUBLE, 9) AS max_absolute FROM q"""
     final = "SELECT pos, i, ({})::DOUBLE AS value FROM {}"
     with_values = f"WITH {CORPUS},\nv AS ({VALUES.format('corpus')})"
     relative = POLICIES["fuzz_gaussian_relative"].__class__.named("gaussian", 0.01, "relative")
@@ -77,9 +80,8 @@ def all_sql() -> dict[str, str]:
         "whole_pass_bytes": f"WITH k AS (SELECT ceil(count(*) * {RATE})::BIGINT * 260 AS b FROM embeddings) SELECT b + ceil(b / 100)::BIGINT AS expected_bytes FROM k",
         "quantise_bf16": f"{with_values}\n{final.format(bf16('x'), 'v')}",
         "quantise_bf16_expression": f"WITH v AS (SELECT o_orderkey AS pos, o_totalprice::FLOAT AS x FROM orders) SELECT pos, ({bf16('x')})::DOUBLE AS value FROM v",
-        "quantise_error": f"""{with_values}, q AS (SELECT x, {bf16('x')} AS q FROM v)
-SELECT count(*) AS values, count(*) FILTER (x <> 0) AS non_zero, round(max((abs(q - x) / abs(x))::DOUBLE) FILTER (x <> 0), 9) AS max_relative,
-       round(avg((abs(q - x) / abs(x))::DOUBLE) FILTER (x <> 0), 9) AS mean_relative, round(max(abs(q - x))::DOUBLE, 9) AS max_absolute FROM q""",
+        "error_probe_report": f"""WITH v AS (SELECT (CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END)::FLOAT * ((0.017::FLOAT + (vec_id::FLOAT * 0.001::FLOAT)::FLOAT)::FLOAT * sqrt((1 + k)::FLOAT)::FLOAT)::FLOAT AS x FROM embeddings, range(0, 256) t(k)), {errors}""",
+        "quantise_error": f"{with_values}, {errors}",
         "storage_reduction": "SELECT 1 - (count(*) * 130)::DOUBLE / (count(*) * 260) AS reduction FROM embeddings",
         "fuzz_counts": f"""{with_values}, {noise('v', SEED, 'n')}, m AS (SELECT (x::DOUBLE + 1000.0 * (2 * u - 1))::FLOAT AS y FROM n WHERE i < 64)
 SELECT count(*) AS perturbed, count(*) FILTER (y < -1 OR y > 1) AS clamped, 0::BIGINT AS preserved FROM m""",
@@ -102,6 +104,6 @@ SELECT coalesce(a.label, b.label) AS label, CASE WHEN b.label IS NULL THEN 'regr
         f"WITH {CORPUS},\n{sampled(first)},\nv AS ({VALUES.format('placed')}),\n{noise('v', second, 'n')},\n"
         f"f AS (SELECT pos, i, {fuzzed(relative)} AS x FROM n)\nSELECT pos, i, ({bf16('x')})::DOUBLE AS value FROM f"
     )
-    out["pipeline_quantise_fuzz"] = f"WITH {CORPUS},\nw AS ({VALUES.format('corpus')}),\nv AS (SELECT pos, i, {bf16('x')} AS x FROM w),\n{noise('v', second, 'n')}\nSELECT pos, i, ({fuzzed(relative)})::DOUBLE AS value FROM n"
+    out["pipeline_quantise_fuzz"] = f"WITH {CORPUS},\nw AS ({VALUES.format('corpus')}),\nv AS (SELECT pos, i, {bf16('x')} AS x FROM w),\n{noise('v', second, 'n')},\nf AS (SELECT pos, i, {fuzzed(relative)} AS x FROM n)\nSELECT pos, i, ({bf16('x')})::DOUBLE AS value FROM f"
     out["pipeline_fuzz_quantise"] = f"{with_values},\n{noise('v', first, 'n')},\nf AS (SELECT pos, i, {fuzzed(relative)} AS x FROM n)\nSELECT pos, i, ({bf16('x')})::DOUBLE AS value FROM f"
     return out
