@@ -91,7 +91,7 @@ SELECT count(*) AS perturbed, count(*) FILTER (y < -1 OR y > 1) AS clamped, 0::B
         "sample_containment": f"WITH {CORPUS}, kept AS (SELECT * FROM corpus WHERE {uniform('keep', 'pos')} < {RATE}) SELECT count(*) AS not_in_source FROM (SELECT vals FROM kept EXCEPT ALL SELECT vals FROM corpus)",
         "baseline_compare": """WITH a AS (SELECT o_orderpriority AS label, count(*) AS n, max(o_custkey) AS rss, sum(o_orderkey) AS size FROM orders WHERE o_custkey % 2 = 0 AND o_orderpriority <> '1-URGENT' GROUP BY 1),
 b AS (SELECT o_orderpriority AS label, count(*) AS n, max(o_custkey) AS rss, sum(o_orderkey) AS size FROM orders WHERE o_custkey % 2 = 1 AND o_orderpriority <> '5-LOW' GROUP BY 1)
-SELECT coalesce(a.label, b.label) AS label, CASE WHEN b.label IS NULL THEN 'regression' WHEN a.label IS NULL THEN 'new'
+SELECT coalesce(a.label, b.label) AS label, round(b.n / a.n::DOUBLE, 6) AS speed, round(b.rss / a.rss::DOUBLE, 6) AS memory, round(b.size / a.size::DOUBLE, 6) AS size, CASE WHEN b.label IS NULL THEN 'regression' WHEN a.label IS NULL THEN 'new'
   WHEN b.n < a.n * 0.99::DOUBLE OR b.rss > a.rss * 1.01::DOUBLE OR b.size > a.size * 1.01::DOUBLE THEN 'regression' ELSE 'ok' END AS verdict FROM a FULL JOIN b ON a.label = b.label""",
         "derived_metrics": "SELECT o_orderpriority AS label, round(count(*) / 1.5::DOUBLE, 6) AS records_per_second, 0.5::DOUBLE AS output_ratio FROM orders GROUP BY 1",
         "metadata_valid": "SELECT p_partkey, regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END, '[A-Za-z0-9_.-]{1,64}') AS valid FROM part",

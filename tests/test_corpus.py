@@ -1,19 +1,21 @@
 import errno
 import json
 import os
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import cli, errors, measure, transforms
+from millrace import cli, errors, measure, soak, transforms
 from millrace.operators import fuzz as fuzzing
 from millrace.operators import records as recs
 from millrace.operators.fuzz import Policy
 from millrace.operators.quantise import Scheme
 from millrace.plans.pipeline import Pipeline, stage_seed
 from millrace.shape import Encoding, RecordShape
-from millrace.sources import discover, fixedwidth, gather, manifest, verify
+from millrace.sources import discover, fixedwidth, gather, manifest, provenance, verify
+from millrace.sources import publish as publishing
 from millrace.sources.fixedwidth import read_corpus
 from millrace.sources.publish import publish, staged, write_synthetic
 from millrace.streaming.transforms import record_stream, transformed
@@ -410,6 +412,78 @@ def test_baseline(spark):
     with pytest.raises(errors.Regression, match="b, c, gone"):
         measure.hold(base, now)
     assert "| a | 110 | 909 |" in measure.markdown(now)
+    told = {r["label"]: r for r in measure.compared(base, now).collect()}
+    assert (told["b"]["speed"], told["c"]["memory"], told["a"]["size"], told["gone"]["speed"], told["d"]["size"]) == (0.5, 1.3, 1.0, None, None)
+    with pytest.raises(errors.Incomparable, match="records of"):
+        measure.hold(now, now, shapes=(SHAPE, RecordShape(3, 1)))
+
+
+def test_a_child_is_measured_with_its_children(tmp_path):
+    big = "import time; x = bytearray(120 << 20); time.sleep(0.5)"
+    run = measure.child("c", [sys.executable, "-c", f"import subprocess, sys; print('said'); subprocess.run([sys.executable, '-c', {big!r}])"])
+    assert run["code"] == 0 and run["output"] == "said\n" and run["peak_rss_kib"] > 120 << 10 and run["elapsed_ms"] >= 500
+    assert measure.child("c", [sys.executable, "-c", "raise SystemExit(3)"])["code"] == 3
+
+
+def test_measured_children_must_end_well_and_agree(tmp_path):
+    made = iter([{"source": {"record_count": 4}, "output": {"record_count": 2, "bytes": n}} for n in (8, 8, 8, 9)])
+    command = [sys.executable, "-c", "pass"]
+    case_ = measure.measured_child("c", command, 2, lambda: next(made), 16)
+    assert (case_["records_read"], case_["records_written"], case_["output_bytes"], case_["input_bytes"]) == (4, 2, 8, 16) and case_["peak_rss_kib"] > 0
+    with pytest.raises(errors.Incomparable):
+        measure.measured_child("c", command, 2, lambda: next(made), 16)
+    with pytest.raises(errors.CommandFailed):
+        measure.measured_child("c", [sys.executable, "-c", "raise SystemExit(1)"], 1, lambda: {}, 0)
+
+
+def test_soak(spark, tmp_path):
+    report = soak.soak(spark, str(tmp_path), SHAPE, 2, 40, 3, 0.5)
+    assert len(report["rounds"]) == 3 and len({r["seed"] for r in report["rounds"]}) == 3 and all(5 < r["records_kept"] < 75 for r in report["rounds"])
+    assert [(f["fault"], f["error"]) for f in report["faults"]] == [("a file cut short", "PartialRecord"), ("noise out of range", "NonFiniteResult")]
+    assert report["source_unchanged"] and report["scratch_left_behind"] == 0 and json.loads(soak.as_json(report)) == report
+    assert "| noise out of range | NonFiniteResult | intact |" in soak.markdown(report) and sorted(os.listdir(tmp_path)) == ["sample", "source"]
+
+
+def test_a_soak_tells_of_a_fault_that_passes_and_of_a_changed_source(spark, tmp_path):
+    with pytest.raises(errors.InvariantBroken, match="fail loud"):
+        soak.soak(spark, str(tmp_path / "a"), SHAPE, 1, 20, 1, 0.5, {"none": lambda source, shape, spec: (spec, lambda: None)})
+
+    def spoils(source, shape, spec):
+        write(source, extra=[[1, 2, 3]])
+        return soak.cut_short(source, shape, spec)
+
+    with pytest.raises(errors.InvariantBroken, match="source immutability"):
+        soak.soak(spark, str(tmp_path / "b"), SHAPE, 1, 20, 1, 0.5, {"spoils": spoils})
+
+
+def test_lineage_follows_the_manifests(spark, source, tmp_path):
+    at, shape = source, SHAPE
+    for k, spec in enumerate((SAMPLE | {"seed": 2**64 - 1}, SMALL | {"seed": 1}, QUANTISE)):
+        out = str(tmp_path / f"step {k}+é")
+        transforms.run_stage(spark, at, out, shape, spec, {"owner": "me"})
+        at = out
+    found = provenance.lineage(spark, str(tmp_path), at).orderBy("step").collect()
+    assert [(r["step"], r["transform"], r["path"]) for r in found] == [(2 - k, n, str(tmp_path / f"step {k}+é")) for k, n in ((2, "quantise"), (1, "fuzz"), (0, "sample"))]
+    assert found[2]["seed"] == 2**64 - 1 and found[2]["source_path"] == os.path.realpath(source) and [r["encoding"] for r in found] == ["bfloat16", "float32", "float32"]
+    table = provenance.corpora(spark, str(tmp_path))
+    scale = table.where("transform = 'fuzz'").select(F.expr("variant_get(parameters, '$.scale', 'double')")).first()[0]
+    assert table.count() == 3 and scale == SMALL["scale"] and {r["metadata"]["owner"] for r in table.collect()} == {"me"}
+
+
+def test_what_a_full_disk_needs_is_never_less_than_was_written(spark, source, tmp_path, monkeypatch):
+    def full(self, values):
+        self.bytes += 10**6
+        raise OSError(errno.ENOSPC, os.strerror(errno.ENOSPC))
+
+    monkeypatch.setattr(publishing.Piece, "write", full)
+    layout = gather.Layout.of(discover.corpus_files(source), [40, 60], SHAPE)
+    told = gather.told(layout, [], SHAPE, 0, iter([[np.arange(10)]]), str(tmp_path))
+    assert told["is_full"] and told["bytes"] == 10**6 and sorted(os.listdir(tmp_path)) == ["source"]
+    monkeypatch.setattr(gather.Gather, "run", lambda self, directory: (_ for _ in ()).throw(errors.StorageFull(required_bytes=10**6)))
+    for spec, needed in ((SAMPLE, 10**6), (QUANTISE, 10**6)):
+        with pytest.raises(errors.StorageFull) as e:
+            transforms.run_stage(spark, source, str(tmp_path / "out"), SHAPE, spec)
+        assert e.value.required_bytes == needed and cli.exit_code(e.value) == 28 and os.listdir(tmp_path) == ["source"]
 
 
 def test_measured_runs_must_agree():
