@@ -6,7 +6,7 @@ import hashlib
 import math
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRate
@@ -29,6 +29,11 @@ def file_name(rate: float) -> str:
     return f"sample-{percent(rate)}.bin"
 
 
+def file_name_of(rate: str) -> Column:
+    """`file_name` of a column of rates."""
+    return F.concat(F.lit("sample-"), F.round(F.col(rate) * 100).cast("int").cast("string"), F.lit(".bin"))
+
+
 def expected_bytes(source_bytes: int, bytes_per_record: int, rate: float) -> int:
     """What a sample of a source needs: whole expected records, rounded up, and a hundredth more, rounded up."""
     records = source_bytes // bytes_per_record

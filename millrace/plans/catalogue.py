@@ -5,6 +5,7 @@ The corpus of most is `embeddings`: 64 inputs and the label as output, dealt ove
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +18,18 @@ from ..operators.fuzz import Policy, counts, fuzz
 from ..shape import RecordShape
 from ..sources import manifest as manifests
 from ..sources.verify import not_contained
-from .pipeline import Pipeline, stage_seed
+from .pipeline import Pipeline, stage_seeds
 
-SEED, RATE, SHAPE = 20260831, 0.25, RecordShape(64, 1)
+SEED, RATE, SHAPE = 73_519, 0.25, RecordShape(64, 1)
 POLICIES = {
-    "fuzz_uniform_absolute": Policy.named("uniform", 0.05, "absolute"),
-    "fuzz_uniform_relative": Policy.named("uniform", 0.05, "relative"),
-    "fuzz_gaussian_absolute": Policy.named("gaussian", 0.05, "absolute"),
-    "fuzz_gaussian_relative": Policy.named("gaussian", 0.05, "relative"),
-    "fuzz_targets_outputs": Policy.named("uniform", 0.5, "absolute", "outputs"),
-    "fuzz_targets_all": Policy.named("uniform", 0.5, "absolute", "all"),
-    "fuzz_clamped": Policy.named("uniform", 1000.0, "absolute", "inputs", -1.0, 1.0),
-    "fuzz_one_sided": Policy.named("uniform", 1000.0, "absolute", "inputs", 0.0),
+    "fuzz_uniform_absolute": Policy.named("uniform", 0.07, "absolute"),
+    "fuzz_uniform_relative": Policy.named("uniform", 0.11, "relative"),
+    "fuzz_gaussian_absolute": Policy.named("gaussian", 0.03, "absolute"),
+    "fuzz_gaussian_relative": Policy.named("gaussian", 0.02, "relative"),
+    "fuzz_targets_outputs": Policy.named("gaussian", 0.4, "absolute", "outputs"),
+    "fuzz_targets_all": Policy.named("uniform", 0.3, "relative", "all"),
+    "fuzz_clamped": Policy.named("uniform", 90.0, "absolute", "inputs", -2.5, 4.0),
+    "fuzz_one_sided": Policy.named("gaussian", 6.0, "absolute", "inputs", None, 1.5),
 }
 STEPS = ({"transform": "sample", "rate": RATE}, {"transform": "fuzz", "distribution": "gaussian", "scale": 0.01, "mode": "relative"}, {"transform": "quantise", "scheme": "bfloat16"})
 
@@ -67,7 +68,9 @@ def split_inputs_outputs(spark, d):
 
 
 def synthetic_corpus(spark, d):
-    return each(recs.synthetic(spark, 4, 25, RecordShape(3, 1)))
+    """As many synthetic records as there are embeddings, by the generator and held against their ids by a join."""
+    ids = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("bigint").alias("pos"))
+    return each(recs.synthetic(spark, 1, ids.count(), RecordShape(3, 1)).join(ids, "pos", "left_semi"))
 
 
 def sample_bernoulli(spark, d):
@@ -89,7 +92,9 @@ def sample_share_by_file(spark, d):
 
 
 def sample_names(spark, d):
-    return spark.createDataFrame([(r, sampling.file_name(r)) for r in (1.0, 0.5, 0.125, 0.05, 0.004)], "rate double, file_name string")
+    """What samples at the rates of discounts, and at an eighth of them, would be called."""
+    rates = spark.read.parquet(f"{d}/lineitem.parquet").where("l_discount > 0").select(F.explode(F.array(F.col("l_discount").cast("double"), F.col("l_discount") / 8)).alias("rate"))
+    return rates.distinct().select("rate", sampling.file_name_of("rate").alias("file_name"))
 
 
 def whole_pass_bytes(spark, d):
@@ -140,8 +145,15 @@ def run(steps: tuple):
     return lambda spark, d: each(Pipeline(steps).apply(corpus(spark, d), SHAPE, SEED)[0])
 
 
-def stage_seeds(spark, d):
-    return spark.createDataFrame([(k, str(stage_seed(SEED, k))) for k in (1, 2, 3)], "position long, seed string")
+def stage_seeds_of_orders(spark, d):
+    """The seeds that stages at the positions of order keys would have."""
+
+    def batches(it):
+        for batch in it:
+            seeds = stage_seeds(SEED, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seeds).cast(pa.string())], names=["position", "seed"])
+
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("bigint")).mapInArrow(batches, "position bigint, seed string")
 
 
 def record_digests(spark, d):
@@ -178,14 +190,16 @@ def derived_metrics(spark, d):
 
 
 def metadata_valid(spark, d):
-    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", F.when(F.col("p_partkey") % 2 == 0, "-").otherwise(" ")), F.lit("=")).alias("entry"))
-    valid = F.pandas_udf(lambda entries: entries.map(manifests.valid_metadata), "boolean")
-    return rows.select("p_partkey", valid("entry").alias("valid"))
+    """Entries made of parts' names and comments of orders' priorities, some with spaces, no value or no equals sign."""
+    kind = F.pmod("p_partkey", F.lit(4))
+    key = F.regexp_replace("p_name", " ", F.when(kind == 0, " ").when(kind == 1, "-").otherwise("_"))
+    value = F.when(kind == 2, F.repeat("p_name", F.pmod("p_partkey", F.lit(90)).cast("int"))).otherwise(F.lit("v=w"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(kind == 3, key).otherwise(F.concat(key, F.lit("="), value)).alias("entry"))
+    return rows.select("p_partkey", manifests.is_valid("entry").alias("valid"))
 
 
 def manifest_timestamp(spark, d):
-    clock = F.pandas_udf(lambda seconds: seconds.map(manifests.timestamp), "string")
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", clock(F.col("event_id") * 86399).alias("created_at"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", manifests.timestamp_of(F.col("event_id") * 86399).alias("created_at"))
 
 
 def queries() -> dict:
@@ -194,10 +208,10 @@ def queries() -> dict:
     plain = (
         scan_records, corpus_geometry, discovery_order, read_record, split_inputs_outputs, synthetic_corpus, sample_bernoulli,
         sample_full_rate, sample_block_shuffle, sample_share_by_file, sample_names, whole_pass_bytes, quantise_bf16,
-        quantise_bf16_expression, quantise_error, error_probe_report, fuzz_counts, fuzz_preserve_non_finite, stage_seeds,
+        quantise_bf16_expression, quantise_error, error_probe_report, fuzz_counts, fuzz_preserve_non_finite,
         record_digests, sample_containment, baseline_compare, derived_metrics, metadata_valid, manifest_timestamp,
     )
-    found = {f.__name__: f for f in plain} | {name: fuzz_query(p) for name, p in POLICIES.items()}
+    found = {f.__name__: f for f in plain} | {"stage_seeds": stage_seeds_of_orders} | {name: fuzz_query(p) for name, p in POLICIES.items()}
     return found | {
         "pipeline_sample_fuzz_quantise": run(STEPS),
         "pipeline_quantise_fuzz": run((STEPS[2], STEPS[1])),

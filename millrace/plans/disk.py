@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "disk_round_trip": sql["scan_records"],
         "disk_quantise_pieces": sql["quantise_bf16"],
         "disk_sample": f"WITH {one_file},\n{sampled(SEED)},\nv AS ({VALUES.format('placed')})\nSELECT pos, i, x::DOUBLE AS value FROM v",
-        "disk_fuzz": sql["fuzz_gaussian_relative"].replace("* (1 + 0.05 *", "* (1 + 0.01 *"),
+        "disk_fuzz": f"WITH {CORPUS},\nv AS ({VALUES.format('corpus')}),\n{noise('v', SEED, 'n')}\nSELECT pos, i, ({fuzzed(policies[0])})::DOUBLE AS value FROM n",
         "disk_pipeline": sql["pipeline_sample_fuzz_quantise"].replace(CORPUS, one_file),
         "disk_quantise_fuzz_fuzz": f"""WITH {CORPUS},
 w AS ({VALUES.format('corpus')}), v AS (SELECT pos, i, {bf16('x')} AS x FROM w),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.fuzz import Policy
 from .catalogue import POLICIES, RATE, SEED
 from .pipeline import stage_seed
 
@@ -64,29 +65,33 @@ SELECT count(*) AS values, count(*) FILTER (x <> 0) AS non_zero, round(max((abs(
        round(avg((abs(q - x) / abs(x))::DOUBLE) FILTER (x <> 0), 9) AS mean_relative, round(max(abs(q - x))::DOUBLE, 9) AS max_absolute FROM q"""
     final = "SELECT pos, i, ({})::DOUBLE AS value FROM {}"
     with_values = f"WITH {CORPUS},\nv AS ({VALUES.format('corpus')})"
-    relative = POLICIES["fuzz_gaussian_relative"].__class__.named("gaussian", 0.01, "relative")
+    relative, held = Policy.named("gaussian", 0.01, "relative"), POLICIES["fuzz_clamped"]
+    word = "18446744073709551616::UHUGEINT"
     out = {
         "scan_records": f"{with_values}\n{final.format('x', 'v')}",
         "corpus_geometry": f"WITH {CORPUS} SELECT count(*) AS record_count, 65::BIGINT AS record_values, 260::BIGINT AS bytes_per_record, count(*) * 260 AS total_bytes FROM corpus",
         "discovery_order": "WITH n AS (SELECT printf('shard-%03d.bin', vec_id % 8) AS file_name, count(*) AS records FROM embeddings GROUP BY 1) SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS file_ord, records FROM n",
         "read_record": f"{with_values}\n{final.format('x', 'v')} WHERE pos = 17",
         "split_inputs_outputs": f"WITH {CORPUS} SELECT pos, list_reduce(list_prepend(0::DOUBLE, list_transform(vals[1:64], lambda z: z::DOUBLE)), lambda a, b: a + b) AS input_sum, vals[65]::DOUBLE AS output FROM corpus",
-        "synthetic_corpus": "SELECT g.r AS pos, v.k AS i, (g.r + v.k)::DOUBLE AS value FROM range(0, 100) g(r), range(0, 4) v(k)",
+        "synthetic_corpus": "SELECT vec_id::BIGINT AS pos, v.k AS i, (vec_id + v.k)::DOUBLE AS value FROM embeddings, range(0, 4) v(k)",
         "sample_bernoulli": f"SELECT vec_id::BIGINT AS pos FROM embeddings WHERE {uniform('keep', 'vec_id')} < {RATE}",
         "sample_full_rate": "SELECT count(*) AS kept FROM embeddings",
         "sample_block_shuffle": f"WITH {CORPUS},\n{sampled(SEED)} SELECT file_ord::BIGINT AS file_ord, rec_idx::BIGINT AS rec_idx, pos FROM placed",
         "sample_share_by_file": f"SELECT (vec_id % 8)::BIGINT AS file_ord, count(*) AS records_read, count(*) FILTER ({uniform('keep', 'vec_id')} < {RATE}) AS records_kept FROM embeddings GROUP BY 1",
-        "sample_names": "SELECT rate::DOUBLE AS rate, 'sample-' || round(rate * 100)::INT || '.bin' AS file_name FROM (VALUES (1.0), (0.5), (0.125), (0.05), (0.004)) t(rate)",
+        "sample_names": """SELECT DISTINCT rate, 'sample-' || round(rate * 100)::INT || '.bin' AS file_name
+FROM (SELECT unnest([l_discount::DOUBLE, l_discount::DOUBLE / 8]) AS rate FROM lineitem WHERE l_discount > 0)""",
         "whole_pass_bytes": f"WITH k AS (SELECT ceil(count(*) * {RATE})::BIGINT * 260 AS b FROM embeddings) SELECT b + ceil(b / 100)::BIGINT AS expected_bytes FROM k",
         "quantise_bf16": f"{with_values}\n{final.format(bf16('x'), 'v')}",
         "quantise_bf16_expression": f"WITH v AS (SELECT o_orderkey AS pos, o_totalprice::FLOAT AS x FROM orders) SELECT pos, ({bf16('x')})::DOUBLE AS value FROM v",
         "error_probe_report": f"""WITH v AS (SELECT (CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END)::FLOAT * ((0.017::FLOAT + (vec_id::FLOAT * 0.001::FLOAT)::FLOAT)::FLOAT * sqrt((1 + k)::FLOAT)::FLOAT)::FLOAT AS x FROM embeddings, range(0, 256) t(k)), {errors}""",
         "quantise_error": f"{with_values}, {errors}",
         "storage_reduction": "SELECT 1 - (count(*) * 130)::DOUBLE / (count(*) * 260) AS reduction FROM embeddings",
-        "fuzz_counts": f"""{with_values}, {noise('v', SEED, 'n')}, m AS (SELECT (x::DOUBLE + 1000.0 * (2 * u - 1))::FLOAT AS y FROM n WHERE i < 64)
-SELECT count(*) AS perturbed, count(*) FILTER (y < -1 OR y > 1) AS clamped, 0::BIGINT AS preserved FROM m""",
+        "fuzz_counts": f"""{with_values}, {noise('v', SEED, 'n')}, m AS (SELECT (x::DOUBLE + {held.scale} * (2 * u - 1))::FLOAT AS y FROM n WHERE i < 64)
+SELECT count(*) AS perturbed, count(*) FILTER (y < {held.low} OR y > {held.high}) AS clamped, 0::BIGINT AS preserved FROM m""",
         "fuzz_preserve_non_finite": "SELECT count(*) FILTER (vec_id % 3 = 0) AS nans, count(*) FILTER (vec_id % 5 = 0) AS infinities, count(*) * 65 - count(*) FILTER (vec_id % 3 = 0) - count(*) FILTER (vec_id % 5 = 0) AS finite FROM embeddings",
-        "stage_seeds": "SELECT * FROM (VALUES (1::BIGINT, '283084283387929719'), (2::BIGINT, '7589195149613138759'), (3::BIGINT, '12069378877930774043')) t(position, seed)",
+        "stage_seeds": f"""WITH z0 AS (SELECT o_orderkey::BIGINT AS position, ({SEED}::UHUGEINT + (o_orderkey::UHUGEINT * 11400714819323198485::UHUGEINT) % {word}) % {word} AS z FROM orders),
+z1 AS (SELECT position, (xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT) % {word} AS z FROM z0), z2 AS (SELECT position, (xor(z, z // 134217728) * 10723151780598845931::UHUGEINT) % {word} AS z FROM z1)
+SELECT position, xor(z, z // 2147483648)::VARCHAR AS seed FROM z2""",
         "record_digests": f"WITH {CORPUS} SELECT pos, sha256(array_to_string(list_transform(vals, lambda z: round(z::DOUBLE * 1000000)::BIGINT::VARCHAR), ',')) AS digest FROM corpus",
         "sample_containment": f"WITH {CORPUS}, kept AS (SELECT * FROM corpus WHERE {uniform('keep', 'pos')} < {RATE}) SELECT count(*) AS not_in_source FROM (SELECT vals FROM kept EXCEPT ALL SELECT vals FROM corpus)",
         "baseline_compare": """WITH a AS (SELECT o_orderpriority AS label, count(*) AS n, max(o_custkey) AS rss, sum(o_orderkey) AS size FROM orders WHERE o_custkey % 2 = 0 AND o_orderpriority <> '1-URGENT' GROUP BY 1),
@@ -94,7 +99,10 @@ b AS (SELECT o_orderpriority AS label, count(*) AS n, max(o_custkey) AS rss, sum
 SELECT coalesce(a.label, b.label) AS label, round(b.n / a.n::DOUBLE, 6) AS speed, round(b.rss / a.rss::DOUBLE, 6) AS memory, round(b.size / a.size::DOUBLE, 6) AS size, CASE WHEN b.label IS NULL THEN 'regression' WHEN a.label IS NULL THEN 'new'
   WHEN b.n < a.n * 0.99::DOUBLE OR b.rss > a.rss * 1.01::DOUBLE OR b.size > a.size * 1.01::DOUBLE THEN 'regression' ELSE 'ok' END AS verdict FROM a FULL JOIN b ON a.label = b.label""",
         "derived_metrics": "SELECT o_orderpriority AS label, round(count(*) / 1.5::DOUBLE, 6) AS records_per_second, 0.5::DOUBLE AS output_ratio FROM orders GROUP BY 1",
-        "metadata_valid": "SELECT p_partkey, regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END, '[A-Za-z0-9_.-]{1,64}') AS valid FROM part",
+        "metadata_valid": r"""WITH e AS (
+  SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '-') ELSE replace(p_name, ' ', '_') END AS k,
+         CASE WHEN p_partkey % 4 = 2 THEN repeat(p_name, p_partkey % 90) ELSE 'v=w' END AS v FROM part)
+SELECT p_partkey, p_partkey % 4 <> 3 AND regexp_full_match(k, '[A-Za-z0-9_.-]{1,64}') AND strlen(v) <= 1024 AS valid FROM e""",
         "manifest_timestamp": "SELECT event_id, strftime(make_timestamp(event_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM events",
     }
     for name, policy in POLICIES.items():

@@ -36,6 +36,14 @@ def stage_seed(seed: int, position: int) -> int:
     return z ^ z >> 31
 
 
+def stage_seeds(seed: int, positions: np.ndarray) -> np.ndarray:
+    """`stage_seed` of many positions at once, as unsigned 64-bit integers."""
+    z = np.uint64(seed & _WORD) + positions.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+    return z ^ z >> np.uint64(31)
+
+
 @dataclass(frozen=True)
 class Stage:
     """A planned stage: what it is called, its seed if it draws, its parameters and what it does to records."""

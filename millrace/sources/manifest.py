@@ -8,6 +8,9 @@ import re
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .. import __version__
 from ..errors import InvalidManifest, InvalidMetadata
 from ..shape import RecordShape
@@ -35,18 +38,24 @@ def parse_metadata(entries: Iterable[str]) -> dict[str, str]:
     return dict(sorted(out.items()))
 
 
-def valid_metadata(entry: str) -> bool:
-    try:
-        parse_metadata([entry])
-    except InvalidMetadata:
-        return False
-    return True
+def is_valid(entry: str) -> Column:
+    """Whether each string of a column is an entry that `parse_metadata` takes."""
+    first = F.instr(entry, "=")
+    value = F.when(first > 0, F.substr(F.col(entry), first + 1))
+    whole = F.col(entry).rlike(r"\A[A-Za-z0-9_.-]{1,64}=[^\x00-\x1F\x7F-\x9F]*\z")
+    return F.coalesce(whole & (F.octet_length(value) <= 1024), F.lit(False))
 
 
 def timestamp(unix: int) -> str:
     return datetime.fromtimestamp(unix, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def timestamp_of(unix: Column) -> Column:
+    """`timestamp` of a column of seconds, whatever the session's time zone."""
+    local = F.timestamp_seconds(unix).cast("timestamp_ntz")
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def source_identity(path: str, files: list[SourceFile], records: int) -> dict:
     listed = [{"name": f.name, "bytes": f.bytes} for f in files]
     return {"path": os.path.realpath(path), "identity_strategy": "path+bytes", "file_count": len(files), "record_count": records, "files": listed}

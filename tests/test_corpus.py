@@ -125,13 +125,13 @@ def test_quantise_halves_and_declares(spark, source, tmp_path):
 
 
 def test_pipeline_equals_its_stages(spark, source, tmp_path):
-    config = Pipeline.from_json(json.dumps({"version": 1, "seed": 20260831, "stages": STEPS}))
+    config = Pipeline.from_json(json.dumps({"version": 1, "seed": 41, "stages": STEPS}))
     whole = str(tmp_path / "whole")
     made = transforms.run_pipeline(spark, source, whole, SHAPE, config)
     at, shape = source, SHAPE
     for k, spec in enumerate(STEPS, 1):
         out = str(tmp_path / f"stage{k}")
-        transforms.run_stage(spark, at, out, shape, spec if spec["transform"] == "quantise" else spec | {"seed": stage_seed(20260831, k)})
+        transforms.run_stage(spark, at, out, shape, spec if spec["transform"] == "quantise" else spec | {"seed": stage_seed(41, k)})
         at = out
     assert published(whole)[1] == published(at)[1]
     assert [s["name"] for s in made["pipeline"]] == ["sample", "fuzz", "quantise"] and made["transform"]["parameters"]["stage_count"] == 3
@@ -266,6 +266,7 @@ def test_conditions_on_positions_reach_the_reader(pushing, source):
 
 
 def test_seeds_are_the_generators():
+    # fixed values: the generator's first three outputs from this seed
     assert [stage_seed(20260831, k) for k in (1, 2, 3)] == [283084283387929719, 7589195149613138759, 12069378877930774043]
 
 
