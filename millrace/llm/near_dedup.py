@@ -159,7 +159,8 @@ def _shingle_rows(column: pa.Array) -> np.ndarray:
 def histogram(rows: DataFrame, buckets, size: int = BUCKETS, above: int = 0) -> np.ndarray:
     """How many values of the one column fall into each of `size` counters: as many numbers, whatever the corpus.
 
-    A task tells counters that exceed `above` times its mean, so that many small ones need not be told.
+    With `above`, a task tells only counters over one and over so many times its mean, so that the many small ones need
+    not be told; what is left orders values by how common they are.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def histogram(rows: DataFrame, buckets, size: int = BUCKETS, above: int = 0) ->
         for batch in it:
             for part in buckets(batch.column(0)):
                 total += np.bincount(part, minlength=size)
-        used = np.flatnonzero(total > above * total.mean())
+        used = np.flatnonzero(total > (max(1, above * total.mean()) if above else 0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
     found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -285,7 +286,7 @@ def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
     The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
     each class under that leader apart, with the classes of both in the key. Two linked members need no link.
     """
-    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)])
+    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)], above=1)
     classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
     classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
     told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")

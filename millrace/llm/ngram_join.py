@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .near_dedup import SHORT_APART, across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
+from .near_dedup import SHORT, across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
 from .shared import hot_keys, spread_join, written
 
 #: Counters of occurrences, of which a task tells those over so many times its mean: a consistent order is all they
@@ -185,5 +185,5 @@ def join_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", "b")
     links = test(written(best, "best"))
     links = written(links if same is None else links.unionByName(same), "links")
-    labels = across_components(written(tiles(shared, percent), "tiles"), components(links), sets, percent, test, 1, SHORT_APART)
+    labels = across_components(written(tiles(shared, percent), "tiles"), components(links), sets, percent, test, 1, SHORT)
     return by_row(rows, reps, labels).select(F.col("id").alias(id_col), "n_shingles", "component_id")
