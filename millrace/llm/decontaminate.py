@@ -4,10 +4,15 @@ Every benchmark item of n words is compared with windows of n words; a document
 whole of it, where it has shingles enough to be as similar as asked. A window can only be as similar as asked if
 enough of its shingles occur in items of its size, so windows without are left out before any fingerprint is made:
 they cannot match. The others get a 128-bit SimHash over their shingles, each counted as often as it occurs. The
-index cuts fingerprints into 8 blocks of 16 bits and lists every item under all values within 3 bits of its own
-block: two fingerprints within 31 bits agree within 3 bits on some block, so none within that radius is missed.
-What the index finds within the radius is verified on the words themselves by weighted Jaccard similarity, the sum
-of the smaller shingle counts over the sum of the larger.
+index cuts fingerprints into 8 blocks of 16 bits and lists every item under all values within a bit of its own
+block: two fingerprints within 15 bits agree within one bit on some block, so none within that radius is missed, and
+a window meets about one in five hundred of the items of its size by chance.
+
+A window at similarity 0.8 may lie outside any radius that is still selective, so there is an exact way beside the
+index: of an item's shingles the window lacks fewer than a fifth, so it has one of any fifth of them. The rarest
+fifth among the items are the item's anchors, and a window meets the items whose anchors it holds. What either way
+finds is verified on the words themselves by weighted Jaccard similarity, the sum of the smaller shingle counts over
+the sum of the larger.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
 from .shared import numbered, spread_join, written
 
-SHINGLE, BLOCKS, BLOCK_BITS, FLIPS = 5, 8, 16, 3
+SHINGLE, BLOCKS, BLOCK_BITS, FLIPS = 5, 8, 16, 1
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Words of items whose shingles go to every task at once, 8 bytes each; a larger benchmark takes a pass over the
 #: documents per so many.
@@ -55,22 +60,45 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     return out
 
 
+def anchors(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """Of the shingles of an item, and how often each occurs in all items: distinct ones, the rarest first, that make
+    up one more occurrence than a window may lack."""
+    own, at, n = np.unique(shingles, return_index=True, return_counts=True)
+    order = np.lexsort((own, often[at]))
+    spare = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    return own[order][: int(np.searchsorted(np.cumsum(n[order]), spare)) + 1]
+
+
 class Index:
-    """Of a block of items: the shingle hashes by size in words. Its size follows the items given to it."""
+    """Of a block of items: the shingle hashes and the anchors by size in words, and (text, anchor) of every item's
+    anchors. Its size follows the items given to it."""
 
     def __init__(self, texts: list[str], percent: int):
-        self.percent, self.by_size = percent, {}
+        self.percent, self.by_size, self.anchors, self.anchored = percent, {}, {}, []
+        row = 0
         for _, _, data, offsets in runs(pa.array(texts, pa.large_string())):
             words, _, _, counts = word_hashes(data, offsets)
             shingles, n = shingle_hashes(words, counts, SHINGLE)
             owner = np.repeat(counts, n)
             for size in np.unique(counts[counts > 0]).tolist():
                 self.by_size.setdefault(size, []).append(shingles[owner == size])
+            self.anchored.append((row, shingles, n, counts))
+            row += len(counts)
+        every = np.concatenate([x[1] for x in self.anchored] or [np.zeros(0, U64)])
+        every, often = np.unique(every, return_counts=True)
+        told = []
+        for first, shingles, n, counts in self.anchored:
+            for k, (m, end, size) in enumerate(zip(n.tolist(), np.cumsum(n).tolist(), counts.tolist(), strict=True)):
+                if size >= SHINGLE:
+                    own = anchors(shingles[end - m : end], often[np.searchsorted(every, shingles[end - m : end])], percent)
+                    self.anchors.setdefault(size, []).append(own)
+                    told += [(texts[first + k], a) for a in own.view(np.int64).tolist()]
+        self.anchored, self.anchors = told, {k: np.unique(np.concatenate(v)) for k, v in self.anchors.items()}
         self.by_size = {k: np.unique(np.concatenate(v)) for k, v in self.by_size.items()}
         self.any = np.unique(np.concatenate([v for k, v in self.by_size.items() if k >= SHINGLE] or [np.zeros(0, U64)]))
 
-    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, starts, fingerprints) of the windows of one document that may match an item."""
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[int]]]]:
+        """(size, starts, fingerprints, anchors held) of the windows of one document that may match an item."""
         count = np.array([len(words)])
         own, _ = shingle_hashes(words, count, SHINGLE)
         found = contained(own, self.any) if len(words) >= SHINGLE else np.zeros(0, bool)
@@ -81,6 +109,7 @@ class Index:
             if size < SHINGLE:
                 short, _ = shingle_hashes(words, count, size)
                 starts, base, length = np.flatnonzero(contained(short, known)), short, 1
+                met = np.zeros(0, np.int64)  # equal windows have equal fingerprints
             else:
                 length, base = min(size - SHINGLE + 1, len(own)), own
                 need = -(-self.percent * (size - SHINGLE + 1) // 100)
@@ -90,8 +119,11 @@ class Index:
                 total[hit[contained(own[hit], known)] + 1] = 1
                 total = np.cumsum(total)
                 starts = np.flatnonzero(total[length:] - total[: len(total) - length] >= need)
+                met = hit[contained(own[hit], self.anchors[size])]
             if len(starts):
-                yield size, starts, fingerprints(base, starts, length)
+                low, high = np.searchsorted(met, starts), np.searchsorted(met, starts + length)
+                held = [np.unique(base[met[a:b]]).view(np.int64).tolist() for a, b in zip(low, high, strict=True)]
+                yield size, starts, fingerprints(base, starts, length), held
 
 
 def contained(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -103,11 +135,12 @@ def contained(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, size, f1, f2, window): windows that may match items of `size` words, with their text."""
+    """(id, start, size, f1, f2, window, anchors): windows that may match items of `size` words, with their text and
+    the anchors of such items that they hold."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids, out = batch.column(0).to_pylist(), [[], [], [], [], [], []]
+            ids, out = batch.column(0).to_pylist(), [[] for _ in range(7)]
             for first, _, data, offsets in runs(batch.column(1)):
                 words, begins, ends, counts = word_hashes(data, offsets)
                 shingles, n = shingle_hashes(words, counts, SHINGLE)
@@ -119,16 +152,16 @@ def window_rows(docs: DataFrame, index: Index, id_col: str, text_col: str) -> Da
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 for d in np.flatnonzero(few):
                     a, b = upto[d], upto[d + 1]
-                    for size, starts, prints in index.windows(words[a:b]):
-                        for s, (f1, f2) in zip(starts.tolist(), prints.view(np.int64).tolist(), strict=True):
+                    for size, starts, prints, held in index.windows(words[a:b]):
+                        for s, (f1, f2), own in zip(starts.tolist(), prints.view(np.int64).tolist(), held, strict=True):
                             text = data[begins[a + s] : ends[min(a + s + size, b) - 1]].tobytes().decode()
-                            for column, value in zip(out, (ids[first + d], s, size, f1, f2, text), strict=True):
+                            for column, value in zip(out, (ids[first + d], s, size, f1, f2, text, own), strict=True):
                                 column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "start", "size", "f1", "f2", "window"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "start", "size", "f1", "f2", "window", "anchors"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "id bigint, start bigint, size bigint, f1 bigint, f2 bigint, window string")
+    return rows.mapInArrow(batches, "id bigint, start bigint, size bigint, f1 bigint, f2 bigint, window string, anchors array<bigint>")
 
 
 def item_prints(items: DataFrame) -> DataFrame:
@@ -167,6 +200,12 @@ def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
     return asked.hint("merge").join(listed, ["size", "block"]).where(apart <= RADIUS).select("size", "f1", "f2", "item_id").distinct()
 
 
+def by_anchor(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(size, f1, f2, item_id): fingerprints of windows with the items of their size whose anchors they hold."""
+    asked = windows.select("size", "f1", "f2", F.explode("anchors").alias("anchor")).distinct()
+    return asked.join(items, ["size", "anchor"]).select("size", "f1", "f2", "item_id").distinct()
+
+
 @lru_cache(REMEMBERED)
 def weighted_similarity(a: str, b: str) -> float:
     """Sum of the smaller over sum of the larger counts of the texts' shingles, words lower-cased in A-Z."""
@@ -197,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
 
     Words are runs outside space and 0x09-0x0D, lower-cased in A-Z; shingles have five words, or all of a shorter
     item's. A document of fewer words than the item is one window. Of equally similar windows the first is given. Null or wordless texts and items match nothing; items
-    with one text each match; rows that repeat an id report together, those without an id under null. Empty tables
+    with one text each match; texts of any length count whole; rows that repeat an id report together, those without an id under null. Empty tables
     give no rows. Only ids and texts are read.
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
@@ -208,9 +247,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_c
         part = listed.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == k)
         index = Index([r.item for r in part.select("item").distinct().collect()], percent)
         windows = written(window_rows(docs, index, id_col, text_col), "windows")
-        pairs = within_radius(windows.select("size", "f1", "f2").distinct(), part)
-        pairs = pairs.join(part.select("item_id", "item", "size"), ["item_id", "size"])
-        hits = verified(spread_join(windows, pairs, ["size", "f1", "f2"], "id"), percent)
+        held = docs.sparkSession.createDataFrame(pa.table({"item": pa.array([t for t, _ in index.anchored], pa.string()), "anchor": pa.array([a for _, a in index.anchored], pa.int64())}))
+        pairs = within_radius(windows.select("size", "f1", "f2").distinct(), part).unionByName(by_anchor(windows, part.select("item_id", "size", "item").join(held, "item")))
+        pairs = pairs.distinct().join(part.select("item_id", "item", "size"), ["item_id", "size"])
+        hits = verified(spread_join(windows.drop("anchors"), pairs, ["size", "f1", "f2"], "id"), percent)
         found = hits if found is None else found.unionByName(hits)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "size")).alias("best")
     return found.groupBy("id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows")).select(

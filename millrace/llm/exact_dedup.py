@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from .shared import hot_keys, numbered, shared_dir, spread_join, written
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Micro-batches that the arrivals of one call come in, as far as they are files enough: all but the first find
+#: retained state. A stream that goes on, as in `run_stream`, has as many as there are new files for.
+MICRO_BATCHES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -51,7 +54,8 @@ def run_stream(arrivals: DataFrame, path: str) -> DataFrame:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        stream = retained(spark.readStream.schema(arrivals.schema).parquet(f"{path}/arrivals"))
+        files = max(1, -(-len(arrivals.inputFiles()) // MICRO_BATCHES))
+        stream = retained(spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/arrivals"))
 
         def append(changed: DataFrame, batch: int) -> None:
             changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
@@ -69,19 +73,21 @@ def run_stream(arrivals: DataFrame, path: str) -> DataFrame:
     return newest.groupBy("digest").agg(F.max_by(F.struct("keep", "n"), "batch").alias("s")).select("digest", "s.keep", "s.n")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, row_col: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, row_col: str | None = None, state_dir: str | None = None) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal when their normalised bytes are. Null text counts as empty, and empty texts equal each other.
     Of equal texts the smallest id stays, nulls last; of repeated rows with that id exactly one has kept = true.
     An empty table gives no rows. Other columns of `docs` are not read, so their names cannot clash. `row_col` names
     a column that is unique and stable (shared.numbered); it then comes out too and tells which row is meant.
+    `state_dir` names a new folder for arrivals, state and checkpoint, which `run_stream` can go on with; without it
+    they go to the shared folder. Texts of any length count whole.
     """
     if row_col is None:
         docs, row = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     else:
         docs, row = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_col), row_col
-    path = shared_dir(docs.sparkSession)
+    path = state_dir or shared_dir(docs.sparkSession)
     rows = docs.select("id", normalised(F.col("text")).alias("norm"), F.col(row).alias("row"))
     at = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     arrivals = rows.select(digest(F.col("norm")).alias("digest"), sha256_digest(F.col("norm")).alias("sha"), at.alias("at"))

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, U64, mixed, runs
+from .shared import written
 
 #: State size, bytes that a piece labels, bytes read before and behind it, and pieces in a matrix.
 HIDDEN, PIECE, CONTEXT, BATCH = 8, 256, 32, 1024
-#: About how many pieces of each language train the network: rows (document, piece), each as likely as any other.
-SAMPLE = 2_000
+#: About how many pieces of each language train the network, rows (document, piece), each as likely as any other, and
+#: of all languages together: with more than their quotient of languages, each gives fewer.
+SAMPLE, SAMPLE_ALL = 2_000, 200_000
 #: Training steps, their rate, the pieces in a step, and bytes of a stretch of one that a step reads.
 STEPS, RATE, PER_STEP, STRETCH = 300, 0.02, 160, 48
-#: The most languages that a corpus may name; with more the column holds something else, and training refuses it.
-LANGUAGES = 1_000
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -210,23 +210,24 @@ def held_out(doc_id):
 
 
 def training_pieces(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, id, piece): about SAMPLE pieces per language, from all over the texts of all that may teach.
+    """(lang, id, piece): about SAMPLE pieces per language, and SAMPLE_ALL of all, from all over the texts that may teach.
 
-    Pieces are chosen by a hash of the id and their number, at a rate that the size of their language's texts sets.
+    Pieces are chosen by a hash of the id and their number, at a rate that the size of their language's texts sets;
+    only languages with more pieces than their part need one of their own.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(~held_out(F.col(id_col)), F.lit(False)))
     rows = known.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("n")).limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"{lang_col} names more than {LANGUAGES} languages")
-    share = {r["lang"]: min(1.0, SAMPLE / max(1, r["n"])) for r in sizes}
+    sizes = written(rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("n")), "sizes")
+    languages = max(1, sizes.count())
+    part, thin = max(1, min(SAMPLE, SAMPLE_ALL // languages)), min(1.0, SAMPLE_ALL / languages)
+    share = {r["lang"]: thin * part / r["n"] for r in sizes.where(F.col("n") > part).collect()}
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             langs, ids, out = batch.column(0).to_pylist(), batch.column(1).to_numpy(), [[], [], []]
             for first, _, data, offsets in runs(batch.column(2)):
                 doc, start, end = piece_bounds(offsets)
-                below = np.array([share[x] for x in langs[first : first + len(offsets) - 1]])[doc]
+                below = np.array([share.get(x, thin) for x in langs[first : first + len(offsets) - 1]])[doc]
                 draw = mixed(mixed(ids[first + doc].astype(U64)) ^ (start - offsets[doc]).astype(U64)) >> U64(11)
                 for k in np.flatnonzero(draw < below * 2.0**53):
                     for column, value in zip(out, (langs[first + doc[k]], ids[first + doc[k]], data[start[k] : end[k]].tobytes()), strict=True):

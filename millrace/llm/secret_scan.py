@@ -33,6 +33,8 @@ CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=-]+"), 16
 ANY_CANDIDATE = r"[A-Za-z0-9+/_=-]{16}"
 #: Labelled credentials that the automata learn from, per kind, and sampled ordinary candidates for the background.
 SAMPLE = 2_000
+#: Bytes of the longest string that teaches; longer ones are scored whole all the same.
+LONGEST = 4_096
 #: Confidence of the compatibility test, and the log-likelihood ratio per letter from which a candidate is a secret.
 ALPHA, MARGIN = 0.05, 0.35
 #: Rounds in which candidates are weighed between the automata and the background that is learnt from them.
@@ -239,9 +241,9 @@ def labelled(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, Automaton], Background]:
-    """An automaton per kind, and the background, each from at most `sample` distinct strings: those whose hashes
-    are smallest over the whole table, so the choice depends on no order or partition."""
-    strings = written(labelled(docs, text_col).distinct(), "credentials")
+    """An automaton per kind, and the background, each from at most `sample` distinct strings of LONGEST bytes at most:
+    those whose hashes are smallest over the whole table, so the choice depends on no order or partition."""
+    strings = written(labelled(docs, text_col).where(F.octet_length("credential") <= LONGEST).distinct(), "credentials")
     kept = {}
     for kind in (*KINDS[:3], "other"):
         rows = strings.where(F.col("kind") == kind).orderBy(F.xxhash64("credential"), "credential").limit(sample)
@@ -255,7 +257,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     exclusive, by start and then kind in the order assign, access, hex, format. `margin` is the log-likelihood ratio
     a letter of the credential, or null where nothing was learnt.
 
-    Null and empty texts have no spans; repeated rows each get theirs; an empty table gives no rows. Without any
+    Null and empty texts have no spans; texts of any length are scanned whole; of spans that start together the kind
+    decides; repeated rows each get theirs; an empty table gives no rows. Without any
     base span in the table nothing is learnt and no format span is added. Only the id and the text are read.
     """
     automata, background = learn(docs, text_col, sample)
@@ -288,7 +291,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Counts per kind, the base spans' digest and all spans as text, beside the other columns of `scanned`."""
+    """Counts per kind, the base spans' digest, all spans as text, and the margin of each span in that order, so that
+    what the automata make of every span is told, beside the other columns of `scanned`."""
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -297,4 +301,4 @@ def digest(scanned: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"] != "format")
     others = [c for c in scanned.columns if c != "spans"]
-    return scanned.select(*others, *map(count, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select(*others, *map(count, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.transform("spans", lambda s: F.round(s["margin"], 6)).alias("margins"))

@@ -117,7 +117,7 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 FROM raw LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
-#: Every window of an item's size that shares a shingle with it, by the shingles' counts.
+#: Every window of an item's size that shares a shingle with it, by the shingles' counts; a shorter document is one window.
 LEAKS = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k, greatest(len(w) - 4, 1) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -125,9 +125,9 @@ item AS (SELECT item_id, n, k, m, s, count(*) AS c
          FROM (SELECT item_id, n, k, m, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m + 1)) AS p FROM i)) GROUP BY ALL),
 place AS (SELECT doc_id, k, p, words, array_to_string(w[p:p + k - 1], ' ') AS s
           FROM (SELECT doc_id, w, k, len(w) AS words, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
-met AS (SELECT doc_id, item_id, n, m, c, s, unnest(range(greatest(p - m + 1, 1), least(p, words - n + 1) + 1)) AS start FROM place JOIN item USING (k, s)),
-bag AS (SELECT doc_id, item_id, n, m, start, least(count(*), any_value(c)) AS common FROM met GROUP BY doc_id, item_id, n, m, start, s),
-scored AS (SELECT doc_id, item_id, n, start, sum(common)::BIGINT / (2 * m - sum(common)::BIGINT) AS similarity FROM bag GROUP BY doc_id, item_id, n, m, start)
+met AS (SELECT doc_id, item_id, least(n, words) AS n, m, least(m, words - k + 1) AS own, c, s, unnest(range(greatest(p - m + 1, 1), least(p, greatest(words - n, 0) + 1) + 1)) AS start FROM place JOIN item USING (k, s)),
+bag AS (SELECT doc_id, item_id, n, m, own, start, least(count(*), any_value(c)) AS common FROM met GROUP BY doc_id, item_id, n, m, own, start, s),
+scored AS (SELECT doc_id, item_id, n, start, sum(common)::BIGINT / (m + own - sum(common)::BIGINT) AS similarity FROM bag GROUP BY doc_id, item_id, n, m, own, start)
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start))::BIGINT - 1 AS start_word, any_value(n)::BIGINT AS n_words, count(*) AS n_windows
 FROM scored WHERE 100 * similarity >= 80 GROUP BY doc_id, item_id
 """
