@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
 from .near_dedup import SHORT, across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
-from .shared import hot_keys, spread_join, written
+from .shared import written
 
 #: Counters of occurrences, of which a task tells those over so many times its mean: a consistent order is all they
 #: give, so shingles may share one.
@@ -87,8 +87,8 @@ def occurrences(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
 
 
 def measured(docs: DataFrame, counts: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, h1, h2, prefix, bitmap): the set's size, 128 bits that identify it, the shingles that it is
-    posted under, rarest first, and its bitmap; none of these two for an empty set."""
+    """(id, n_shingles, h1, h2, band, prefix, bitmap): the set's size, 128 bits that identify it, its size band, the
+    shingles that it is posted under, rarest first, and its bitmap; none of these two for an empty set."""
     counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +101,17 @@ def measured(docs: DataFrame, counts: np.ndarray, size: int, percent: int, id_co
                 order = np.lexsort((own, counts[own % U64(COUNTERS)]))[: len(own) - -(-percent * len(own) // 100) + 1]
                 prefix.append(own[order].tobytes() if len(own) else None)
                 bitmaps.append(bitmap(own, bits(len(own))).tobytes() if len(own) else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bitmaps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "h1", "h2", "prefix", "bitmap"])
+            numbers = [pa.array(x, pa.int64()) for x in (n, h1, h2, band(np.array(n, np.int64), percent))]
+            columns = [batch.column(0), *numbers, pa.array(prefix, pa.binary()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "h1", "h2", "band", "prefix", "bitmap"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, prefix binary, bitmap binary")
+    return rows.mapInArrow(batches, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, band bigint, prefix binary, bitmap binary")
 
 
 def postings(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, rest, band, core): each set under the shingles of its prefix, with the elements from that one
-    on, its size band, and whether a set that is no smaller can still be linked through that shingle."""
+    """(token, id, at, core): each set of `reps` (id, n_shingles, prefix) under the shingles of its prefix, the place of
+    each there, and whether a set that is no smaller can still be linked through that shingle."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -118,11 +119,28 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
             sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)], np.int64)
             token = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(2)), np.int64)
             row = np.repeat(np.arange(len(n)), sizes)
-            rest = n[row] - (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            columns = [token, batch.column(0).to_numpy()[row], n[row], rest, band(n, percent)[row], rest >= need(n, n, percent)[row]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "rest", "band", "core"])
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            columns = [token, batch.column(0).to_numpy()[row], at, n[row] - at >= need(n, n, percent)[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "at", "core"])
 
-    return reps.select("id", "n_shingles", "prefix").mapInArrow(batches, "token bigint, id bigint, n bigint, rest bigint, band bigint, core boolean")
+    return reps.select("id", "n_shingles", "prefix").mapInArrow(batches, "token bigint, id bigint, at int, core boolean")
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """(token, id, at, lead): the postings under shingles that may link two sets, each with the set that the fewest
+    rarer shingles put before this one, the most central there. One exchange of postings, most of which stand alone; a
+    shingle has a row a set that is posted under it, a small part of any set's rows, and is read as it comes."""
+    own = Window.partitionBy("token")
+    told = posted.select("token", "id", "at", F.count(F.lit(1)).over(own).alias("n"), F.max("core").over(own).alias("core"), F.min(F.struct("at", "id")).over(own).alias("lead"))
+    return told.where("n > 1 AND core").select("token", "id", "at", F.col("lead.id").alias("lead"))
+
+
+def still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (token, id, at) of `shared` under shingles whose sets lie in different components."""
+    own, component = Window.partitionBy("token"), F.coalesce("component", "id")
+    placed = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "at", component.alias("component"))
+    apart_ = F.min("component").over(own) < F.max("component").over(own)
+    return placed.withColumn("apart", apart_).where("apart").select("token", "id", "at")
 
 
 def bit(of: str) -> Column:
@@ -130,12 +148,14 @@ def bit(of: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(pmod({of}, {MASK}) as int))")
 
 
-def tiles(shared: DataFrame, percent: int) -> DataFrame:
+def tiles(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(key, id, weight, rest) for `across_components`: each posting in the tile of its shingle and band, and, as the
-    larger one, in that of the band below where that tile has members of its own."""
+    larger one, in that of the band below where that tile has members of its own; `rest` is what the set has from that
+    shingle on, which bounds what it can share through it."""
+    rows = shared.join(sizes.select("id", "n_shingles", "band"), "id").withColumn("bands", F.bit_or(bit("band")).over(Window.partitionBy("token")))
     each = F.explode(F.when(F.col("bands").bitwiseAND(bit("band - 1")) != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    rows = shared.withColumn("low", each)
-    return rows.select(F.xxhash64("token", F.col("band") - F.col("low")).alias("key"), "id", (F.col("n") * 2 * percent).alias("weight"), "rest")
+    rows = rows.withColumn("low", each)
+    return rows.select(F.xxhash64("token", F.col("band") - F.col("low")).alias("key"), "id", (F.col("n_shingles") * 2 * percent).alias("weight"), (F.col("n_shingles") - F.col("at")).alias("rest"))
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -164,26 +184,26 @@ def join_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     whole. Rows that repeat an id are one node, with the links of all their texts. A row without an id links with
     nothing, component_id null. An empty table gives no rows; other columns of `docs` are not read.
     """
-    rows = written(measured(docs, occurrences(docs, size, text_col), size, percent, id_col, text_col), "measured")
-    reps, same = unlike_sets(rows, ["prefix", "bitmap"])
-    posted = postings(reps, percent)
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("core").alias("core"), F.bit_or(bit("band")).alias("bands"))
-    lists = written(lists.where("n > 1 AND core").select("token", "n", "bands"), "lists")
-    hot = hot_keys(lists.select("token", "n"), ["token"], lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shared = written(spread_join(posted.drop("core"), lists.select("token", "bands"), "token", "id", hot), "shared")
-
-    wanted = reps.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), "doc", "h1")
+    rows = measured(docs, occurrences(docs, size, text_col), size, percent, id_col, text_col)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "measured")
+    nodes, same = unlike_sets(rows, ["row"])
+    numbers = nodes.select("row", F.col("id").alias("node"))
+    first = lambda *c: rows.select("row", *c).join(numbers, "row").select(F.col("node").alias("id"), *c)
+    shared = written(met(postings(first("n_shingles", "prefix"), percent)), "shared")
+    reps = written(first("n_shingles", "band", "bitmap").join(shared.select("id").distinct(), "id", "left_semi"), "bitmaps")
+
+    wanted = nodes.join(reps, "id", "left_semi").select(F.col("id").alias("node"), "doc", "h1")
     sets = shingle_sets(docs, wanted, size, id_col, text_col)
     sets = written(sets if same is None else sets.dropDuplicates(["id"]), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(written(bounded(pairs, reps, percent), "bounded"), sets, percent)
 
-    # the fewer of a set's shingles are rarer than the tile's, the more central it is
-    leads = shared.groupBy("token").agg(F.min_by("id", F.struct(F.col("n") - F.col("rest"), "id")).alias("lead"))
-    votes = spread_join(shared.select("token", "id"), leads, "token", "id", hot).where("lead != id").groupBy("id", "lead").count()
+    votes = shared.where("lead != id").groupBy("id", "lead").count()
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", "b")
     links = test(written(best, "best"))
     links = written(links if same is None else links.unionByName(same), "links")
-    labels = across_components(written(tiles(shared, percent), "tiles"), components(links), sets, percent, test, 1, SHORT)
-    return by_row(rows, reps, labels).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    labels = components(links)
+    lists = written(tiles(written(still_open(shared, labels), "open"), reps, percent), "tiles")
+    labels = across_components(lists, labels, sets, percent, test, 1, SHORT)
+    return by_row(rows, nodes, labels).select(F.col("id").alias(id_col), "n_shingles", "component_id")
