@@ -1,4 +1,10 @@
-"""From raw documents to a training mix: five stages, each one operator, each over all that the one before kept."""
+"""From raw documents to a training mix: five stages, each one operator, each over all that the one before kept.
+
+Every stage decides rows, not ids: ids may repeat or be missing. Null and blank texts are rejected by the first stage;
+null languages and sources are languages and sources of their own in the mix; of rows with equal or linked texts the
+least id stays, nulls last, and of rows tied in id one; texts of any length are read whole; other columns pass through,
+whatever they are called, up to the last stage; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
