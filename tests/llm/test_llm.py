@@ -1,6 +1,8 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on the awkward inputs."""
 
 import hashlib
+import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -220,6 +222,54 @@ def test_label_model_finds_accuracies():
     assert np.abs(model.accuracies()[:4, 1] - skill).max() < 0.05
 
 
+def plain_em(patterns, counts, rounds):
+    """The label model's EM, document kind by document kind, in plain loops."""
+    n = len(patterns[0])
+    part = []
+    for p in patterns:
+        bad = [k for k, v in enumerate(p) if v == quality.BAD]
+        good = 0.05 if bad else 0.95
+        part.append([good] + [(1 - good) * ((k in bad) / len(bad) if bad else 1 / n) for k in range(n)])
+    for _ in range(rounds):
+        weights = [sum(c * q[z] for c, q in zip(counts, part, strict=True)) + 0.1 for z in range(n + 1)]
+        likely = [[[sum(c * q[z] for c, q, p in zip(counts, part, patterns, strict=True) if p[k] == v) + 0.1 for v in (quality.BAD, quality.NONE, quality.GOOD)] for k in range(n)] for z in range(n + 1)]
+        likely = [[[x / sum(votes_) for x in votes_] for votes_ in of] for of in likely]
+        part = []
+        for p in patterns:
+            odds = [weights[z] * math.prod(likely[z][k][v] for k, v in enumerate(p)) for z in range(n + 1)]
+            part.append([x / sum(odds) for x in odds])
+    return [q[0] for q in part]
+
+
+def test_label_model_equals_plain_em():
+    rng = np.random.default_rng(6)
+    table = np.unique(rng.choice([quality.BAD, quality.NONE, quality.GOOD], (40, 5), p=[0.2, 0.3, 0.5]), axis=0)
+    counts = rng.integers(1, 50, len(table)).astype(float)
+    for rounds in (1, 2, 7):
+        assert np.allclose(quality.fit_label_model(table, counts, rounds).posterior(table), plain_em(table.tolist(), counts.tolist(), rounds), atol=1e-9)
+
+
+def test_scorer_equals_plain_gradient_steps():
+    rng = np.random.default_rng(8)
+    docs = [{int(f): int(c) for f, c in zip(rng.choice(50, 6, replace=False), rng.integers(1, 5, 6), strict=True)} for _ in range(12)]
+    target = rng.random(12)
+    weights, seen, offset, offset_seen = defaultdict(float), defaultdict(lambda: 1e-8), 0.0, 1e-8
+    for _ in range(20):
+        errors = []
+        for d, t in zip(docs, target, strict=True):
+            z = sum(weights[f] * c for f, c in d.items()) / sum(d.values()) + offset
+            errors.append((1 / (1 + math.exp(-z)) - t) / len(docs))
+        grad = {f: sum(e * d.get(f, 0) / sum(d.values()) for e, d in zip(errors, docs, strict=True)) + 1e-6 * weights[f] for f in range(50)}
+        g = sum(errors) + 1e-6 * offset
+        for f in range(50):
+            seen[f] += grad[f] ** 2
+            weights[f] -= 2.0 * grad[f] / seen[f] ** 0.5
+        offset_seen += g**2
+        offset -= 2.0 * g / offset_seen**0.5
+    made = quality.fit_scorer([np.array(sorted(d.items()), np.int32).tobytes() for d in docs], target, 20)
+    assert np.allclose(made[:50], [weights[f] for f in range(50)], atol=1e-9) and abs(made[-1] - offset) < 1e-9 and not made[50:-1].any()
+
+
 def test_quality_of_awkward_texts(spark, awkward, none):
     got = {(r["doc_id"], i): r for i, r in enumerate(quality.classify(clashing(awkward)).collect())}
     assert len(got) == awkward.count() and all(0 <= r["score"] <= 1 for r in got.values())
@@ -340,6 +390,39 @@ def test_index_finds_all_within_the_radius(spark):
     assert {(r["f1"], r["f2"]) for r in found} == {p[1:] for p in prints[: decontaminate.RADIUS + 1]}
 
 
+def test_windows_at_the_threshold_are_met_outside_the_radius(spark):
+    """Windows that lack just as many shingles as they may, at places that spread what is lost: most lie outside the
+    radius, and all are found. Unlike windows of one size do not meet each other's items."""
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(76))) for k in range(60)]  # 72 shingles, of which 8 may go
+    texts = []
+    for k, text in items:
+        words = text.split()
+        words[k % 66 + 2], words[-1] = "other", "end"  # five and one shingle: 66 of 78
+        words[0] = "begin"
+        texts.append(" ".join(words))
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontaminate.contamination(docs, bench).collect()}
+    want = contaminated(list(enumerate(texts)), items)
+    assert got == want and len(want) == 60 and min(s for s, _ in want.values()) < 0.85
+    prints = decontaminate.item_prints(docs.selectExpr("doc_id AS item_id", "text")).selectExpr("size", "g1 AS f1", "g2 AS f2")
+    near = decontaminate.within_radius(prints, decontaminate.item_prints(bench)).count()
+    assert near < 60  # the index alone would lose some
+
+
+def test_sql_of_contamination_knows_short_documents(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(6)] + [(9, "two words")]
+    texts = [" ".join(items[k][1].split()[: 30 - 2 * k]) for k in range(6)] + [items[0][1] + " " + items[1][1], "two", "two words", "", None]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    connection.register("benchmark", bench.toArrow())
+    want = connection.sql(queries.oracle_sql()["op5_decontaminate"]).df()
+    assert rows(decontaminate.contamination(docs, bench).toPandas()) == rows(want) and len(want) == 6
+
+
 def test_contamination_of_awkward_texts(spark, awkward, none, monkeypatch):
     bench = spark.createDataFrame([(1, LONG), (2, None), (3, " "), (4, "one"), (5, LONG)], "item_id bigint, text string")
     hits = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(clashing(awkward), bench).collect()}
@@ -520,6 +603,14 @@ def test_states_merge():
     assert len(machine.states) < 40 and machine.score("abab") > machine.score("ab9b")
 
 
+def test_margins_stand_beside_their_spans_and_very_long_credentials_do_not_teach(spark):
+    texts = [f"token = {'abcdef' * 3}{i:04d}" for i in range(60)] + ["token=" + "ab1" * 5_000]
+    found = secret_scan.digest(secret_scan.scan(docs_of(spark, texts))).collect()
+    assert all(len(r["margins"]) == len(r["spans"].split(",")) and r["margins"][0] is not None for r in found) and len(found) == 61
+    learnt = spark.createDataFrame([("token=" + "ab1" * 5_000,)], "text string")
+    assert secret_scan.learn(learnt) [0] == {}
+
+
 def test_secrets_of_awkward_texts(spark, awkward, none):
     assert secret_scan.scan(clashing(awkward).drop("spans")).count() == awkward.count()
     assert secret_scan.scan(none).count() == 0
@@ -691,6 +782,15 @@ def test_unspaced_text_teaches_from_all_over(spark):
     assert (got["lang_pred"] == got["lang"]).all()
 
 
+def test_very_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ALL", 60)
+    df = spark.createDataFrame([(i, f"text number {i} " * 40, f"l{i % 90}", "s", 1) for i in range(400)], DOCS)
+    pieces = language.training_pieces(df, "doc_id", "text", "lang")
+    assert 5 < pieces.count() < 200 and pieces.select("lang").distinct().count() > 5
+    monkeypatch.setattr(language, "STEPS", 2)
+    assert language.identify(df.limit(50)).count() == 50
+
+
 def test_languages_of_awkward_texts(spark, awkward, none):
     got = {r["doc_id"]: r for r in language.identify(clashing(awkward)).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and got[10]["lang_pred"] != "und" and got[0]["score"] == 0
@@ -760,6 +860,15 @@ def test_a_later_run_continues_the_state(spark, tmp_path):
     assert sorted((r["keep"]["id"], r["n"]) for r in state.collect()) == [(0, 1), (1, 2), (11, 1)]
 
 
+def test_later_batches_find_retained_state(spark, tmp_path):
+    texts = ["same", "a", "same", "b", "b", "same"] * 20
+    out = exact_dedup.exact_groups(docs_of(spark, texts).repartition(9), state_dir=str(tmp_path / "s"))
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in out.collect()} == {(i, texts.index(t), texts.count(t)) for i, t in enumerate(texts)}
+    assert len([f for f in os.listdir(tmp_path / "s" / "checkpoint" / "commits") if f.isdigit()]) >= 3
+    changed = spark.read.parquet(str(tmp_path / "s" / "state"))
+    assert changed.where("batch > 0").count() > 0 and changed.groupBy("digest").count().where("count > 1").count() > 0
+
+
 # pipeline
 
 
@@ -786,6 +895,37 @@ def test_stages_follow_each_other(spark):
     assert set(mixed["doc_id"]) <= ids[4] and list(mixed.columns) == ["doc_id", "domain", "lang", "source", "tokens", "epoch", "budget"]
 
 
+@pytest.fixture(scope="module")
+def odd_corpus(spark, awkward, tmp_path_factory):
+    """A folder with documents that have nulls, repeated rows, tied ids and columns named like those of stages."""
+    folder = tmp_path_factory.mktemp("odd")
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = awkward.selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, LONG, None, "src0", 3), (7, LONG, "en", "src1", 3)], DOCS)
+    clashing(prose.unionByName(odd).unionByName(nulls).unionByName(prose.limit(5))).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(None, None), (5, " ")], "item_id bigint, text string")).write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_the_pipeline_on_awkward_rows(spark, odd_corpus):
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, odd_corpus).cache()
+        assert kept.columns == docs.columns and 0 < kept.count() <= before.count() and kept.exceptAll(before).count() == 0
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]) for r in kept.select("text").collect()]
+    assert len(texts) == len(set(texts))
+    mixed = corpus_pipeline.run(spark, odd_corpus).collect()
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert mixed and {r["doc_id"] for r in mixed} <= ids and all(0 <= r["epoch"] < 3 and r["tokens"] > 0 for r in mixed)
+
+
+def test_the_pipeline_on_empty_tables(spark, tmp_path, none):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 # 11 n-gram join
 
 
