@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, runs, string_bytes
-from .shared import spread_join, written
+from .shared import written
 
 #: Documents of its language that a kept term is in, ranks of terms that are told, and the scale of shares.
 LEAST, TOP, SCALE = 10, 10, 1_000_000_000
 #: Kept terms of a chunk, and sources whose vectors meet in a task.
 CHUNK, SOURCES = 4_096, 64
-#: Rows of counts in a chunk.
-ROWS = 1 << 20
+#: Rows of counts in a chunk, and tasks that a language's chunks are dealt over.
+ROWS, DEALT = 1 << 20, 64
 #: Bytes of text that are coded by one dictionary.
 CODED = 1 << 24
 LETTER = np.zeros(256, bool)
@@ -218,7 +218,9 @@ def audit(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = kept.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term")
     parts = written(sorted_.mapInArrow(chunks, _CHUNK).withColumn("at", F.monotonically_increasing_id()), "chunks")
-    told = spread_join(parts, totals(groups, kept).withColumnRenamed("sources", "all_sources"), "lang", "at")
+    # chunks are few but large, so each language's are dealt over many tasks, each with the language's totals
+    every = totals(groups, kept).withColumnRenamed("sources", "all_sources").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    told = parts.withColumn("deal", F.pmod(F.xxhash64("at"), F.lit(DEALT)).cast("int")).join(every, ["lang", "deal"])
     found = written(told.mapInArrow(compared, _FOUND), "found")
     near = found.where("part = 'pair'").select("lang", "source", "item", "value")
     back = near.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
