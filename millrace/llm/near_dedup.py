@@ -326,9 +326,9 @@ def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     return written(members.withColumn("place", place).withColumn("k", k).where(F.col("place") <= F.col("k") - least + 1).drop("place", "k"), "members")
 
 
-def across_components(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, test, least: int, most: int) -> DataFrame:
+def across_components(lists: DataFrame, labels: DataFrame, sets_of, percent: int, test, least: int, most: int) -> DataFrame:
     """The components (node, component) once every linked pair in a list of the written `lists` (key, id, weight, rest)
-    counts. `test` tells linked pairs (a, b) from others; two linked documents share `least` lists or more, and lists
+    counts. `sets_of` has the sets (id, shingles) of pairs, `test` tells linked pairs (a, b) from others; two linked documents share `least` lists or more, and lists
     of at most `most` members give their pairs."""
     scale = 2 * (100 + percent)
     while True:
@@ -346,7 +346,7 @@ def across_components(lists: DataFrame, labels: DataFrame, sets: DataFrame, perc
         if led.isEmpty():
             fresh = written(found, "links")
             return labels if fresh.isEmpty() else relabelled(labels, fresh)
-        apart = written(deviations(led, sets, percent), "deviations")
+        apart = written(deviations(led, sets_of(led), percent), "deviations")
         fresh = written(found.unionByName(apart.where(F.col("class") <= LINKED).select("a", "b")), "links")
         if not fresh.isEmpty():
             labels = relabelled(labels, fresh)
@@ -383,7 +383,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int
     links = test(written(best, "best"))
     links = written(links if same is None else links.unionByName(same), "confirmed")
     lists = shared.select(F.col("token").alias("key"), "id", (-F.col("score")).alias("weight"), F.lit(ANY).alias("rest"))
-    labels = across_components(lists, components(links), sets, percent, test, COMMON, SHORT)
+    labels = across_components(lists, components(links), lambda _: sets, percent, test, COMMON, SHORT)
     out = by_row(signed, reps, labels)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

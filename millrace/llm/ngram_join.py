@@ -15,7 +15,7 @@ first, so a passage that very many documents share comes last and posts nobody b
 * A pair is first met by its bitmaps: a set's elements flip bits of 2 * size bits or more, as many in both bands of a
   tile, so the bits in which two bitmaps differ are at most the elements that only one of the sets has, and the bound
   on the overlap that follows drops nearly all pairs that are not linked at a 32nd of the bytes. What is left is
-  intersected exactly.
+  intersected exactly; only for that are sets made of texts again.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .near_dedup import SHORT, across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
+from .near_dedup import across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
 from .shared import written
 
 #: Counters of occurrences, of which a task tells those over so many times its mean: a consistent order is all they
@@ -38,6 +38,8 @@ COUNTERS, LOUD = 1 << 20, 4
 _ALSO = np.random.default_rng(1_117).integers(0, 1 << 64, 2, dtype=U64)
 #: Bits of the least bitmap; each band's is a power of two above.
 LEAST_BITS = 64
+#: Members of a tile that is small enough to give its pairs.
+TILE = 32
 #: Bands that a mask tells apart.
 MASK = 62
 
@@ -192,12 +194,16 @@ def join_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     shared = written(met(postings(first("n_shingles", "prefix"), percent)), "shared")
     reps = written(first("n_shingles", "band", "bitmap").join(shared.select("id").distinct(), "id", "left_semi"), "bitmaps")
 
-    wanted = nodes.join(reps, "id", "left_semi").select(F.col("id").alias("node"), "doc", "h1")
-    sets = shingle_sets(docs, wanted, size, id_col, text_col)
-    sets = written(sets if same is None else sets.dropDuplicates(["id"]), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the written `pairs`, from the texts: only what bitmaps or long tiles ask for is ever made."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = nodes.join(ids, "id", "left_semi").select(F.col("id").alias("node"), "doc", "h1")
+        sets = shingle_sets(docs, wanted, size, id_col, text_col)
+        return written(sets if same is None else sets.dropDuplicates(["id"]), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
-        return confirmed(written(bounded(pairs, reps, percent), "bounded"), sets, percent)
+        may = written(bounded(pairs, reps, percent), "bounded")
+        return may if may.isEmpty() else confirmed(may, sets_of(may), percent)
 
     votes = shared.where("lead != id").groupBy("id", "lead").count()
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", "b")
@@ -205,5 +211,5 @@ def join_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     links = written(links if same is None else links.unionByName(same), "links")
     labels = components(links)
     lists = written(tiles(written(still_open(shared, labels), "open"), reps, percent), "tiles")
-    labels = across_components(lists, labels, sets, percent, test, 1, SHORT)
+    labels = across_components(lists, labels, sets_of, percent, test, 1, TILE)
     return by_row(rows, nodes, labels).select(F.col("id").alias(id_col), "n_shingles", "component_id")
