@@ -286,7 +286,7 @@ def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
     The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
     each class under that leader apart, with the classes of both in the key. Two linked members need no link.
     """
-    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)], above=1)
+    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)], above=4)
     classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
     classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
     told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")
