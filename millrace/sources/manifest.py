@@ -51,9 +51,15 @@ def timestamp(unix: int) -> str:
 
 
 def timestamp_of(unix: Column) -> Column:
-    """`timestamp` of a column of seconds, whatever the session's time zone."""
-    local = F.timestamp_seconds(unix).cast("timestamp_ntz")
-    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """`timestamp` of a column of seconds, whatever the session's time zone; also of years beyond 9999, which have all
+    their digits and no sign."""
+    second = F.pmod(unix, F.lit(86400))
+    day = F.date_from_unix_date(((unix - second) / 86400).cast("int"))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    year = F.year(day)
+    year = F.when(year.between(0, 999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    clock = [two(n) for n in (second / 3600, second % 3600 / 60, second % 60)]
+    return F.concat(F.concat_ws("-", year, two(F.month(day)), two(F.dayofmonth(day))), F.lit("T"), F.concat_ws(":", *clock), F.when(unix.isNotNull(), F.lit("Z")))
 
 
 def source_identity(path: str, files: list[SourceFile], records: int) -> dict:

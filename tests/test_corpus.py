@@ -356,6 +356,22 @@ def test_timestamp():
     assert manifest.timestamp(951782400) == "2000-02-29T00:00:00Z"
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_timestamp_of_any_year_in_any_zone(spark, duck, zone):
+    """Years beyond 9999 have no sign, and hours that a zone skips or has twice are told apart."""
+    seconds = [0, -1, 951782400, 253402300799, 253402300800, 518_394_000_000, 8_000_000_000_000, -60_000_000_000, -62_200_000_000, 1678588200, 1699162200, 1699165800]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        table = spark.createDataFrame([(s,) for s in [*seconds, None]], "s bigint")
+        got = dict(table.select("s", manifest.timestamp_of(F.col("s"))).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    values = ", ".join(f"({s})" for s in seconds)
+    want = duck.sql(f"SELECT s, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%SZ') FROM (VALUES {values}) t(s)").fetchall()
+    assert got == dict(want) | {None: None}
+    assert got[518_394_000_000] == "18397-04-02T13:20:00Z"
+
+
 def test_synthetic_files(spark, tmp_path):
     out = str(tmp_path / "made")
     write_synthetic(spark, out, 3, 5, SHAPE)
