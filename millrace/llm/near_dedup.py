@@ -25,6 +25,7 @@ all differ share no rare deviations and are never paired.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ MATCHES = 34
 COMMON = 10
 #: Counters of list lengths: a consistent order is all they give, so lists may share one.
 BUCKETS = 1 << 18
+#: Counters of deviations, and counters that a task tells as one row.
+APART, SLICE = 1 << 22, 1 << 14
 #: Members of a list of signatures, and of one of deviations, that is short enough to give its pairs.
 SHORT, SHORT_APART = 4, 64
 #: Upper edges of the classes of members by their weight, in units of the greatest weight that is linked to the leader.
@@ -156,25 +159,47 @@ def _shingle_rows(column: pa.Array) -> np.ndarray:
     return string_bytes(column)[0].view(U64)
 
 
-def histogram(rows: DataFrame, buckets, size: int = BUCKETS, above: int = 0) -> np.ndarray:
+def _slice(packed: pa.BinaryScalar) -> np.ndarray:
+    data = packed.as_buffer()
+    return np.frombuffer(data, f"u{len(data) // SLICE}")
+
+
+def histogram(rows: DataFrame, buckets, size: int = BUCKETS) -> np.ndarray:
     """How many values of the one column fall into each of `size` counters: as many numbers, whatever the corpus.
 
-    With `above`, a task tells only counters over one and over so many times its mean, so that the many small ones need
-    not be told; what is left orders values by how common they are.
+    Tasks tell all their counters, in slices of which each is a row of the smallest integers that hold it, and slices are
+    summed by their place: as many rows a task whatever its values are, and no counter is left out.
     """
 
+    def told(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        packed = [part.astype(np.min_scalar_type(int(part.max()))).tobytes() for part in counts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in it:
             for part in buckets(batch.column(0)):
-                total += np.bincount(part, minlength=size)
-        used = np.flatnonzero(total > (max(1, above * total.mean()) if above else 0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
+                np.add.at(total, part, 1)
+        yield told({at: part for at, part in enumerate(total.reshape(-1, SLICE)) if part.any()})
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = defaultdict(lambda: np.zeros(SLICE, np.int64))
+        for batch in it:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[at] += _slice(part)
+        yield told(total)
+
+    schema = "slice bigint, counts binary"
+    found = written(rows.mapInArrow(batches, schema).repartition("slice").mapInArrow(sums, schema), "counters").toArrow()
+    lengths = np.zeros((size // SLICE, SLICE), np.int64)
+    for at, part in zip(found["slice"].to_pylist(), found["counts"], strict=True):
+        lengths[at] = _slice(part)
+    return lengths.ravel()
+
 
-    found = rows.mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    lengths = np.zeros(size, np.int64)
-    lengths[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return lengths
+def ranks(lengths: np.ndarray) -> np.ndarray:
+    """Counters for an order alone, in two bytes."""
+    return np.minimum(lengths, 2**16 - 1).astype(np.uint16)
 
 
 def list_lengths(reps: DataFrame) -> np.ndarray:
@@ -284,9 +309,10 @@ def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
     be found; `rest` is how many the two can share at most from this one on.
 
     The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
-    each class under that leader apart, with the classes of both in the key. Two linked members need no link.
+    each class under that leader apart, with the classes of both in the key. Two linked members need no link, and a
+    deviation that is alone on its counter has no partner.
     """
-    lengths = histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(BUCKETS)).astype(np.int64)], above=4)
+    lengths = ranks(histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(APART)).astype(np.int64)], APART))
     classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
     classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
     told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")
@@ -296,13 +322,15 @@ def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
             columns = [[np.zeros(0, np.int64)] for _ in range(4)]
             for id_, weight, kind, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
                 own = np.frombuffer(blob.as_buffer(), U64)
-                own = own[np.lexsort((own, lengths[own % U64(BUCKETS)]))]
+                length = lengths[own % U64(APART)]
+                order = np.lexsort((own, length))
+                own, alone = own[order], int((length < 2).sum())
                 for other in classes:
                     need = max(1, -(-(weight + other["low"]) // (2 * (100 + percent))))
                     if max(kind, other["class"]) > LINKED and need <= min(len(own), other["most"]):
-                        n = len(own) - need + 1
-                        key = mixed(own[:n] ^ _CLASS[min(kind, other["class"]), max(kind, other["class"])]).view(np.int64)
-                        for column, values in zip(columns, (key, np.full(n, id_), np.full(n, weight), len(own) - np.arange(n)), strict=True):
+                        at = np.arange(alone, len(own) - need + 1)
+                        key = mixed(own[at] ^ _CLASS[min(kind, other["class"]), max(kind, other["class"])]).view(np.int64)
+                        for column, values in zip(columns, (key, np.full(len(at), id_), np.full(len(at), weight), len(own) - at), strict=True):
                             column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["key", "id", "weight", "rest"])
 

@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .near_dedup import across_components, beside, by_row, confirmed, document_sets, histogram, set_hash, shingle_sets, unlike_sets
+from .near_dedup import across_components, beside, by_row, confirmed, document_sets, histogram, ranks, set_hash, shingle_sets, unlike_sets
 from .shared import written
 
-#: Counters of occurrences, of which a task tells those over so many times its mean: a consistent order is all they
-#: give, so shingles may share one.
-COUNTERS, LOUD = 1 << 20, 4
+#: Counters of occurrences: a consistent order is all they give, so shingles may share one.
+COUNTERS = 1 << 22
 _ALSO = np.random.default_rng(1_117).integers(0, 1 << 64, 2, dtype=U64)
 #: Bits of the least bitmap; each band's is a power of two above.
 LEAST_BITS = 64
@@ -78,20 +77,19 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def occurrences(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
-    """How many shingles fall on each of COUNTERS counters."""
+    """How many shingles fall on each of COUNTERS counters, as far as `ranks` tells."""
 
     def buckets(column: pa.Array) -> Iterator[np.ndarray]:
         for _, _, data, offsets in runs(column):
             words, _, _, counts = word_hashes(data, offsets)
             yield (shingle_hashes(words, counts, size)[0] % U64(COUNTERS)).astype(np.int64)
 
-    return histogram(docs.select(F.col(text_col).cast("string")), buckets, COUNTERS, LOUD)
+    return ranks(histogram(docs.select(F.col(text_col).cast("string")), buckets, COUNTERS))
 
 
 def measured(docs: DataFrame, counts: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, h1, h2, band, prefix, bitmap): the set's size, 128 bits that identify it, its size band, the
     shingles that it is posted under, rarest first, and its bitmap; none of these two for an empty set."""
-    counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

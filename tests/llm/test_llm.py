@@ -689,6 +689,19 @@ def test_pairs_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
     assert totals[1] < 8 * totals[0] and totals[1] < 1000 * 20
 
 
+def test_deviations_of_unlike_members_make_no_lists(spark):
+    """Members that lack the same half of their leader and share nothing else, each in a task of its own."""
+    leader, common = [f"l{i}" for i in range(50)], [f"c{i}" for i in range(50)]
+    number = {w: np.uint64(k * 2_654_435_761 + 1) for k, w in enumerate([*leader, *common, *(f"m{m}x{i}" for m in range(12) for i in range(50))])}
+    packed = lambda words: np.sort(np.array([number[w] for w in words], np.uint64)).tobytes()
+    sets = [(0, packed([*leader, *common])), *((m + 1, packed([*common, *(f"m{m}x{i}" for i in range(50))])) for m in range(12))]
+    pairs = spark.createDataFrame([(0, m + 1) for m in range(12)], "a bigint, b bigint")
+    apart = near_dedup.deviations(pairs, spark.createDataFrame(sets, "id bigint, shingles binary"), 80)
+    apart = near_dedup.written(apart.repartition(12, "b"), "apart")
+    assert apart.where(F.col("class") > near_dedup.LINKED).count() == 12
+    assert near_dedup.deviation_lists(apart, 80).count() == 0
+
+
 def test_near_groups_of_awkward_texts(spark, awkward, none):
     out = near_dedup.near_groups(clashing(awkward), size=4).collect()
     by_id = {r["doc_id"]: r for r in out if r["doc_id"] != 3}
@@ -979,6 +992,12 @@ def test_bitmaps_never_hide_a_link():
     assert (ngram_join.band(np.array([80, 100]), 80)[::-1] - ngram_join.band(np.array([80, 100]), 80)).max() <= 1
 
 
+def test_counters_hold_every_shingle_however_texts_are_dealt(spark):
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(1, 60)) for i in range(40)]
+    dealt = [ngram_join.occurrences(docs_of(spark, texts).repartition(n), 5, "text") for n in (1, 13)]
+    assert dealt[0].sum() == sum(len(t.split()) - 4 for t in texts) and (dealt[0] == dealt[1]).all()
+
+
 def test_a_large_family_makes_no_pairs(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(200)]
