@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, relabelled
 from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
-from .shared import hot_keys, numbered, spread_join, written
+from .shared import compact, hot_keys, numbered, spread_join, written
 
 COORDINATES = 64
 #: At similarity 0.8 a pair collides on 51 of 64 coordinates, give or take 3; on fewer than 34 about once in 10^7.
@@ -47,6 +47,8 @@ COMMON = 10
 BUCKETS = 1 << 18
 #: Counters of deviations, and counters that a task tells as one row.
 APART, SLICE = 1 << 22, 1 << 14
+#: Packs that a batch of postings of deviations is dealt in.
+SLICES = 1 << 10
 #: Members of a list of signatures, and of one of deviations, that is short enough to give its pairs.
 SHORT, SHORT_APART = 4, 64
 #: Upper edges of the classes of members by their weight, in units of the greatest weight that is linked to the leader.
@@ -304,37 +306,69 @@ def deviations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint, weight bigint, class int, shingles binary")
 
 
-def deviation_lists(members: DataFrame, percent: int) -> DataFrame:
-    """(key, id, weight, rest): `deviations` posted under those of them by which a partner in another component can
-    be found; `rest` is how many the two can share at most from this one on.
+def in_slices(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of 64-bit integers, of which the first column is a hash, packed by SLICES slices of that hash."""
+    values = np.stack(columns, 1)
+    of = (values[:, 0].view(U64) % U64(SLICES)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    at, first = np.unique(of[order], return_index=True)
+    packed = [part.tobytes() for part in np.split(values[order], first[1:])] if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed, pa.binary())], names=["slice", "packed"])
+
+
+def deviation_lists(members: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """(key, id, component, weight, rest, n, lead), as of `open_lists`: the written `deviations` posted under those of
+    them by which a partner in another component of the written `labels` can be found; `rest` is how many the two can
+    share at most from this one on. Without labels every member is a component of its own.
 
     The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
     each class under that leader apart, with the classes of both in the key. Two linked members need no link, and a
-    deviation that is alone on its counter has no partner.
+    deviation that is alone on its counter has no partner, nor has a member in a class that lies in its own component.
+    However full the counters are, postings meet by their keys, in packs, and only lists that are open become rows.
     """
     lengths = ranks(histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(APART)).astype(np.int64)], APART))
-    classes = members.groupBy("a", "class").agg(F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"))
-    classes = written(classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most")).alias("classes")), "classes")
-    told = spread_join(members, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b")
+    placed = members.withColumn("component", F.col("b"))
+    if labels is not None:
+        placed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    classes = placed.groupBy("a", "class").agg(
+        F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"), F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    classes = classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most", "first", "last")).alias("classes"))
+    hot = hot_keys(members.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"], members.count())
+    told = spread_join(placed, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b", hot)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            columns = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for id_, weight, kind, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
+            columns = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for id_, component, weight, kind, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5), strict=True):
                 own = np.frombuffer(blob.as_buffer(), U64)
                 length = lengths[own % U64(APART)]
                 order = np.lexsort((own, length))
                 own, alone = own[order], int((length < 2).sum())
                 for other in classes:
                     need = max(1, -(-(weight + other["low"]) // (2 * (100 + percent))))
-                    if max(kind, other["class"]) > LINKED and need <= min(len(own), other["most"]):
+                    across = not other["first"] == other["last"] == component
+                    if across and max(kind, other["class"]) > LINKED and need <= min(len(own), other["most"]):
                         at = np.arange(alone, len(own) - need + 1)
                         key = mixed(own[at] ^ _CLASS[min(kind, other["class"]), max(kind, other["class"])]).view(np.int64)
-                        for column, values in zip(columns, (key, np.full(len(at), id_), np.full(len(at), weight), len(own) - at), strict=True):
+                        for column, values in zip(columns, (key, *[np.full(len(at), v) for v in (id_, component, weight)], len(own) - at), strict=True):
                             column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["key", "id", "weight", "rest"])
+            yield in_slices([np.concatenate(c) for c in columns])
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = [np.frombuffer(v.as_buffer(), np.int64) for batch in it for v in batch.column(1)]
+        if packs:
+            own = np.concatenate(packs).reshape(-1, 5)
+            own = own[np.lexsort((own[:, 1], own[:, 3], own[:, 0]))]  # the least weight leads a list
+            first = np.flatnonzero(np.concatenate([[True], own[1:, 0] != own[:-1, 0]]))
+            n = np.diff(first, append=len(own))
+            low, high = (f.reduceat(own[:, 2], first) for f in (np.minimum, np.maximum))
+            several = np.repeat(low < high, n)
+            columns = [*own.T, np.repeat(n, n), np.repeat(own[first, 1], n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], names=["key", "id", "component", "weight", "rest", "n", "lead"])
 
-    return told.select("b", "weight", "class", "classes", "shingles").mapInArrow(batches, "key bigint, id bigint, weight bigint, rest bigint")
+    packed = told.select("b", "component", "weight", "class", "classes", "shingles").mapInArrow(batches, "slice bigint, packed binary")
+    return packed.repartition("slice").mapInArrow(meet, "key bigint, id bigint, component bigint, weight bigint, rest bigint, n bigint, lead bigint")
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
@@ -359,10 +393,8 @@ def across_components(lists: DataFrame, labels: DataFrame, sets_of, percent: int
     counts. `sets_of` has the sets (id, shingles) of pairs, `test` tells linked pairs (a, b) from others; two linked documents share `least` lists or more, and lists
     of at most `most` members give their pairs."""
     scale = 2 * (100 + percent)
-    while True:
-        members = open_lists(lists, labels, least)
-        if members.isEmpty():
-            return labels
+    members = open_lists(lists, labels, least)
+    while not members.isEmpty():
         short = members.where(F.col("n") <= most).select("key", "id", "component", "weight", "rest")
         x, y = (short.select("key", *[F.col(c).alias(f"{c}_{i}") for c in short.columns if c != "key"]) for i in "ab")
         may = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
@@ -378,7 +410,8 @@ def across_components(lists: DataFrame, labels: DataFrame, sets_of, percent: int
         fresh = written(found.unionByName(apart.where(F.col("class") <= LINKED).select("a", "b")), "links")
         if not fresh.isEmpty():
             labels = relabelled(labels, fresh)
-        lists, least, most = written(deviation_lists(apart, percent), "lists"), 1, SHORT_APART
+        members, most = written(deviation_lists(apart, percent, labels), "members"), SHORT_APART
+    return labels
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,7 +437,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, matches: int
     sets = written(sets if same is None else sets.dropDuplicates(["id"]), "sets")
 
     def test(pairs: DataFrame) -> DataFrame:
-        return confirmed(written(colliding(pairs, reps, matches), "tested"), sets, percent)
+        return confirmed(written(compact(colliding(pairs, reps, matches), pairs.count()), "tested"), sets, percent)
 
     votes = shared.where("leader != id").groupBy("id", "leader").count()
     best = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", "leader")).alias("best")).select(F.col("best.leader").alias("a"), "b")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that go to one task, and the most keys that can be hot.
 ROWS_PER_COPY, HOT_KEYS = 1_000, 10_000
+#: Rows of a file of a table of numbers whose length is known.
+ROWS_PER_FILE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, most: int) -> DataFrame:
+    """df, which is about to be written and has `most` rows of numbers at most, in partitions of up to ROWS_PER_FILE of
+    them, but one for every core: as many files as a shuffle has partitions cost a task a file in each later job."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, most // ROWS_PER_FILE))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it as long as a column of `df` is called so, in any case of letters."""
     taken = {c.lower() for c in df.columns}

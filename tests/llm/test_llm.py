@@ -702,6 +702,31 @@ def test_deviations_of_unlike_members_make_no_lists(spark):
     assert near_dedup.deviation_lists(apart, 80).count() == 0
 
 
+def test_lists_of_deviations_are_open_however_full_the_counters_are(spark, monkeypatch):
+    """Every counter is met many times, so none tells that a deviation is alone; no posting without a partner becomes a
+    row, nor does one whose partners are all of its own component."""
+    monkeypatch.setattr(near_dedup, "APART", near_dedup.SLICE)
+    rng = np.random.default_rng(5)
+    leader, shared_ = rng.integers(0, 1 << 63, 800).astype(np.uint64), rng.integers(0, 1 << 63, (20, 400)).astype(np.uint64)
+    sets = [(0, np.sort(leader).tobytes())]
+    for m in range(60):
+        own = rng.integers(0, 1 << 63, 800).astype(np.uint64)
+        sets.append((m + 1, np.sort(np.concatenate([leader[m : m + 400], own[:400] if m >= 40 else np.concatenate([shared_[m // 2], own[:30]])])).tobytes()))
+    pairs = spark.createDataFrame([(0, m + 1) for m in range(60)], "a bigint, b bigint")
+    apart = near_dedup.written(near_dedup.deviations(pairs, spark.createDataFrame(sets, "id bigint, shingles binary"), 80), "apart")
+    assert apart.where(F.col("class") > near_dedup.LINKED).count() == 60
+    labels = spark.createDataFrame([(m + 1, m + 1 - m % 2) for m in range(20)], "node bigint, component bigint")
+    for given, first in ((None, 1), (labels, 21)):
+        found = near_dedup.deviation_lists(apart, 80, given).toPandas()
+        by_key = found.groupby("key")
+        assert len(found) and (by_key["component"].nunique() > 1).all() and (by_key["id"].nunique() == by_key["n"].first()).all()
+        together = {tuple(sorted(ids)) for _, ids in by_key["id"]}
+        assert {(m, m + 1) for m in range(first, 41, 2)} <= together
+        assert not {(m, m + 1) for m in range(1, first, 2)} & together
+    one = spark.createDataFrame([(m + 1, 1) for m in range(60)], "node bigint, component bigint")
+    assert near_dedup.deviation_lists(apart, 80, one).count() == 0
+
+
 def test_near_groups_of_awkward_texts(spark, awkward, none):
     out = near_dedup.near_groups(clashing(awkward), size=4).collect()
     by_id = {r["doc_id"]: r for r in out if r["doc_id"] != 3}
@@ -717,6 +742,24 @@ def test_components_of_a_chain(spark):
     assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_labels_lie_in_few_files(spark):
+    """A small graph costs no file, and so no task in the next job, for each partition of a shuffle."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a bigint, b bigint")
+        labels = graph.components(links)
+        joined = graph.relabelled(labels, spark.createDataFrame([(1, 2), (999, 0)], "a bigint, b bigint"))
+        for found in (labels, joined):
+            assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        out = {r["node"]: r["component"] for r in joined.collect()}
+        assert out == {i: 0 if i < 4 else i // 2 * 2 for i in range(200)} | {999: 0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # 9 languages
 
 
