@@ -37,6 +37,8 @@ from .graph import components, relabelled
 from .kernels import U64, mixed, runs, shingle_hashes, string_bytes, word_hashes
 from .shared import compact, hot_keys, numbered, spread_join, written
 
+#: Bytes of texts whose shingles are made at once: their arrays stay in a processor's cache.
+AT_ONCE = 1 << 18
 COORDINATES = 64
 #: At similarity 0.8 a pair collides on 51 of 64 coordinates, give or take 3; on fewer than 34 about once in 10^7.
 MATCHES = 34
@@ -57,20 +59,33 @@ LINKED = EDGES.index(1.0)
 _CLASS = np.random.default_rng(911).integers(0, 1 << 64, (len(EDGES) + 1, len(EDGES) + 1), dtype=U64)
 #: Place of a signature's posting: its lists don't bound what two documents share.
 ANY = 1 << 40
+#: Side of a posting whose partners are all others of its list; those of sides 0 and 1 are each other's.
+BOTH = 2
 
 _rng = np.random.default_rng(4_093)
 _MUL = _rng.integers(0, 1 << 64, COORDINATES, dtype=U64) | U64(1)
 _ADD = _rng.integers(0, 1 << 64, COORDINATES, dtype=U64)
 
 
-def document_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """Of each document in turn, the sorted distinct hashes of its shingles."""
-    for _, _, data, offsets in runs(column):
+def run_sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each run of documents in turn: the sorted distinct hashes of the shingles of each, end to end, and their number."""
+    for _, _, data, offsets in runs(column, AT_ONCE):
         words, _, _, counts = word_hashes(data, offsets)
         shingles, n = shingle_hashes(words, counts, size)
+        ends, doc = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+        for start, end in zip(ends - n, ends, strict=True):
+            shingles[start:end].sort()
+        first = np.ones(len(shingles), bool)
+        first[1:] = (shingles[1:] != shingles[:-1]) | (doc[1:] != doc[:-1])
+        yield shingles[first], np.bincount(doc[first], minlength=len(n))
+
+
+def document_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Of each document in turn, the sorted distinct hashes of its shingles."""
+    for own, n in run_sets(column, size):
         ends = np.cumsum(n)
         for start, end in zip(ends - n, ends, strict=True):
-            yield np.unique(shingles[start:end])
+            yield own[start:end]
 
 
 def minima(distinct: np.ndarray) -> np.ndarray:
@@ -181,7 +196,7 @@ def histogram(rows: DataFrame, buckets, size: int = BUCKETS) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in it:
             for part in buckets(batch.column(0)):
-                np.add.at(total, part, 1)
+                np.add.at(total, part, np.uint32(1))  # an int of Python's is added in another, far slower way
         yield told({at: part for at, part in enumerate(total.reshape(-1, SLICE)) if part.any()})
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +294,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint")
 
 
+def least_partner(lacks: int, adds: int, lead: int, percent: int) -> int:
+    """The weight that a member has at least which is linked to one that lacks so many of a leader's `lead` shingles
+    and adds so many, as far as these numbers tell.
+
+    With l and d for lacks and adds, a weight is 200 * l + 2 * percent * d - (100 - percent) * lead. The two share
+    l' + d' at most, and no more of either kind than the first one has, so 2 * percent * l' + 200 * d' has to come up
+    to `gap`; that costs the least weight where d' is as large as can be.
+    """
+    own = 2 * percent
+    gap = 200 * lacks + own * adds - 2 * (100 - percent) * lead
+    if gap <= 200 * adds:
+        return own * max(gap, 0) // 200 - (100 - percent) * lead
+    return 200 * (gap - 200 * adds) // max(own, 1) + own * adds - (100 - percent) * lead
+
+
 def deviations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight, class, shingles) of leaders a and members b: the shingles that only one of the two has, each
-    hashed with the leader, and the member's part of what a pair under that leader has to share.
+    """(a, b, weight, class, least, shingles) of leaders a and members b: the shingles that only one of the two has, each
+    hashed with the leader, the member's part of what a pair under that leader has to share, and the least weight of
+    the members that it can be linked to.
 
     With L, n shingles of leader and member and m of the leader's that the member lacks, two members have
     L - m - m' + c in common, c being the deviations they share. They are linked if (100 + percent) times that is
@@ -291,7 +322,7 @@ def deviations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            weight, kind, apart = [], [], []
+            weight, kind, least, apart = [], [], [], []
             for lead, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
                 both = among(x, y)
@@ -299,11 +330,13 @@ def deviations(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 weight.append(2 * percent * len(y) + 2 * (100 + percent) * len(lacks) - (100 + percent) * len(x))
                 unit = max(1, (100 - percent) * len(x))
                 kind.append(sum(weight[-1] > e * unit for e in EDGES))
-                apart.append(mixed(np.concatenate([lacks, y[~among(y, x)]]) ^ mixed(np.array([lead]).astype(U64))).tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(weight, pa.int64()), pa.array(kind, pa.int32()), pa.array(apart, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "weight", "class", "shingles"])
+                adds = y[~among(y, x)]
+                least.append(least_partner(len(lacks), len(adds), len(x), percent))
+                apart.append(mixed(np.concatenate([lacks, adds]) ^ mixed(np.array([lead]).astype(U64))).tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(weight, pa.int64()), pa.array(kind, pa.int32()), pa.array(least, pa.int64()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "weight", "class", "least", "shingles"])
 
-    return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint, weight bigint, class int, shingles binary")
+    return beside(pairs, sets, "shingles").mapInArrow(batches, "a bigint, b bigint, weight bigint, class int, least bigint, shingles binary")
 
 
 def in_slices(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -316,59 +349,84 @@ def in_slices(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
 
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def partnered(own: np.ndarray, scale: int) -> np.ndarray:
+    """Which of the postings (key, id, component, weight, rest, side), in order of their keys, may have a partner: there
+    is one on the other side of the list, in another component, whose weight asks for no more than `rest`."""
+    key, _, component, weight, rest, side = own.T
+    first = starts(key)
+    n, out = np.diff(first, append=len(own)), np.zeros(len(own), bool)
+    if not len(own):
+        return out
+    for mine, other in ((0, 1), (1, 0), (BOTH, BOTH)):
+        partner = side == other
+        told = ((np.minimum, weight, ANY), (np.minimum, component, 2**63 - 1), (np.maximum, component, -(2**63)))
+        lightest, low, high = (np.repeat(f.reduceat(np.where(partner, c, none), first), n) for f, c, none in told)
+        out |= (side == mine) & ((low < component) | (high > component)) & (rest * scale >= weight + lightest)
+    return out
+
+
 def deviation_lists(members: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """(key, id, component, weight, rest, n, lead), as of `open_lists`: the written `deviations` posted under those of
-    them by which a partner in another component of the written `labels` can be found; `rest` is how many the two can
+    """(key, id, component, weight, rest, side, n, lead), as of `open_lists`: the written `deviations` posted under those
+    of them by which a partner in another component of the written `labels` can be found; `rest` is how many the two can
     share at most from this one on. Without labels every member is a component of its own.
 
-    The least weight in a partner's class bounds from below what the two have to share: a prefix argument, made for
-    each class under that leader apart, with the classes of both in the key. Two linked members need no link, and a
-    deviation that is alone on its counter has no partner, nor has a member in a class that lies in its own component.
-    However full the counters are, postings meet by their keys, in packs, and only lists that are open become rows.
+    The least weight in a partner's class, or that a partner of the member has at least, bounds from below what the two
+    have to share: a prefix argument, made for each class under that leader apart, with the classes of both in the key.
+    A list for two classes has a side for each, and members of one side find nothing by it among themselves. Two linked
+    members need no link, and a deviation that is alone on its counter has no partner, nor has a member in a class that
+    lies in its own component or is too light for it. However full the counters are, postings meet by their keys, in
+    packs, and only those that may have a partner become rows.
     """
     lengths = ranks(histogram(members.select("shingles"), lambda column: [(_shingle_rows(column) % U64(APART)).astype(np.int64)], APART))
     placed = members.withColumn("component", F.col("b"))
     if labels is not None:
         placed = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     classes = placed.groupBy("a", "class").agg(
-        F.min("weight").alias("low"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"), F.min("component").alias("first"), F.max("component").alias("last")
+        F.min("weight").alias("low"), F.max("weight").alias("high"), (F.max(F.length("shingles")) / 8).cast("bigint").alias("most"), F.min("component").alias("first"), F.max("component").alias("last")
     )
-    classes = classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "most", "first", "last")).alias("classes"))
+    classes = classes.groupBy("a").agg(F.collect_list(F.struct("class", "low", "high", "most", "first", "last")).alias("classes"))
+    scale = 2 * (100 + percent)
     hot = hot_keys(members.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"], members.count())
     told = spread_join(placed, classes.where(F.exists("classes", lambda c: c["class"] > LINKED)), "a", "b", hot)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            columns = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for id_, component, weight, kind, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5), strict=True):
+            columns = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for id_, component, weight, kind, least, classes, blob in zip(*[batch.column(k).to_pylist() for k in range(6)], batch.column(6), strict=True):
                 own = np.frombuffer(blob.as_buffer(), U64)
                 length = lengths[own % U64(APART)]
                 order = np.lexsort((own, length))
                 own, alone = own[order], int((length < 2).sum())
                 for other in classes:
-                    need = max(1, -(-(weight + other["low"]) // (2 * (100 + percent))))
-                    across = not other["first"] == other["last"] == component
+                    need = max(1, -(-(weight + max(other["low"], least)) // scale))
+                    across = not other["first"] == other["last"] == component and other["high"] >= least
                     if across and max(kind, other["class"]) > LINKED and need <= min(len(own), other["most"]):
                         at = np.arange(alone, len(own) - need + 1)
                         key = mixed(own[at] ^ _CLASS[min(kind, other["class"]), max(kind, other["class"])]).view(np.int64)
-                        for column, values in zip(columns, (key, *[np.full(len(at), v) for v in (id_, component, weight)], len(own) - at), strict=True):
+                        side = BOTH if kind == other["class"] else int(kind > other["class"])
+                        for column, values in zip(columns, (key, *[np.full(len(at), v) for v in (id_, component, weight)], len(own) - at, np.full(len(at), side)), strict=True):
                             column.append(values)
             yield in_slices([np.concatenate(c) for c in columns])
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = [np.frombuffer(v.as_buffer(), np.int64) for batch in it for v in batch.column(1)]
         if packs:
-            own = np.concatenate(packs).reshape(-1, 5)
+            own = np.concatenate(packs).reshape(-1, 6)
             own = own[np.lexsort((own[:, 1], own[:, 3], own[:, 0]))]  # the least weight leads a list
-            first = np.flatnonzero(np.concatenate([[True], own[1:, 0] != own[:-1, 0]]))
+            while not (may := partnered(own, scale)).all():  # who has lost all partners is none
+                own = own[may]
+            first = starts(own[:, 0])
             n = np.diff(first, append=len(own))
-            low, high = (f.reduceat(own[:, 2], first) for f in (np.minimum, np.maximum))
-            several = np.repeat(low < high, n)
             columns = [*own.T, np.repeat(n, n), np.repeat(own[first, 1], n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], names=["key", "id", "component", "weight", "rest", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "component", "weight", "rest", "side", "n", "lead"])
 
-    packed = told.select("b", "component", "weight", "class", "classes", "shingles").mapInArrow(batches, "slice bigint, packed binary")
-    return packed.repartition("slice").mapInArrow(meet, "key bigint, id bigint, component bigint, weight bigint, rest bigint, n bigint, lead bigint")
+    packed = told.select("b", "component", "weight", "class", "least", "classes", "shingles").mapInArrow(batches, "slice bigint, packed binary")
+    return packed.repartition("slice").mapInArrow(meet, "key bigint, id bigint, component bigint, weight bigint, rest bigint, side bigint, n bigint, lead bigint")
 
 
 def open_lists(lists: DataFrame, labels: DataFrame, least: int) -> DataFrame:
@@ -393,11 +451,12 @@ def across_components(lists: DataFrame, labels: DataFrame, sets_of, percent: int
     counts. `sets_of` has the sets (id, shingles) of pairs, `test` tells linked pairs (a, b) from others; two linked documents share `least` lists or more, and lists
     of at most `most` members give their pairs."""
     scale = 2 * (100 + percent)
-    members = open_lists(lists, labels, least)
+    members = open_lists(lists, labels, least).withColumn("side", F.lit(BOTH))
     while not members.isEmpty():
-        short = members.where(F.col("n") <= most).select("key", "id", "component", "weight", "rest")
+        short = members.where(F.col("n") <= most).select("key", "id", "component", "weight", "rest", "side")
         x, y = (short.select("key", *[F.col(c).alias(f"{c}_{i}") for c in short.columns if c != "key"]) for i in "ab")
         may = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+        may &= (F.col("side_a") != F.col("side_b")) | (F.col("side_a") == BOTH)
         may &= F.least("rest_a", "rest_b") * scale >= F.when(F.col("rest_a") < ANY, F.col("weight_a") + F.col("weight_b")).otherwise(0)
         pairs = written(x.join(y, "key").where(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
         found = test(pairs)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U64, mixed, runs, shingle_hashes, word_hashes
-from .near_dedup import across_components, beside, by_row, confirmed, document_sets, histogram, ranks, set_hash, shingle_sets, unlike_sets
+from .near_dedup import AT_ONCE, across_components, beside, by_row, confirmed, histogram, ranks, run_sets, shingle_sets, unlike_sets
 from .shared import written
 
 #: Counters of occurrences: a consistent order is all they give, so shingles may share one.
@@ -64,8 +64,12 @@ def bits(n: int) -> int:
 def bitmap(own: np.ndarray, width: int) -> np.ndarray:
     """`width` bits, as bytes: each is whether an odd number of the set's elements fall on it. Folding one half onto
     the other with exclusive or gives the bitmap of half the width."""
-    out = np.bincount((mixed(own ^ _ALSO[1]) % U64(width)).astype(np.int64), minlength=width) & 1
-    return np.packbits(out.astype(bool), bitorder="little")
+    return flipped(mixed(own ^ _ALSO[1]), width)
+
+
+def flipped(at: np.ndarray, width: int) -> np.ndarray:
+    out = np.bincount((at % U64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(out.astype(np.uint8), bitorder="little")
 
 
 def apart(x: bytes, y: bytes) -> int:
@@ -80,28 +84,40 @@ def occurrences(docs: DataFrame, size: int, text_col: str) -> np.ndarray:
     """How many shingles fall on each of COUNTERS counters, as far as `ranks` tells."""
 
     def buckets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in runs(column):
+        for _, _, data, offsets in runs(column, AT_ONCE):
             words, _, _, counts = word_hashes(data, offsets)
             yield (shingle_hashes(words, counts, size)[0] % U64(COUNTERS)).astype(np.int64)
 
     return ranks(histogram(docs.select(F.col(text_col).cast("string")), buckets, COUNTERS))
 
 
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums mod 2^64 of consecutive parts of `values` of these sizes, as signed integers."""
+    out, some = np.zeros(len(sizes), U64), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out.view(np.int64)
+
+
 def measured(docs: DataFrame, counts: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, h1, h2, band, prefix, bitmap): the set's size, 128 bits that identify it, its size band, the
     shingles that it is posted under, rarest first, and its bitmap; none of these two for an empty set."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, h1, h2, prefix, bitmaps = [], [], [], [], []
-            for own in document_sets(batch.column(1), size):
-                n.append(len(own))
-                h1.append(set_hash(own))
-                h2.append(int(mixed(own ^ _ALSO[0]).sum(dtype=U64).view(np.int64)))
-                order = np.lexsort((own, counts[own % U64(COUNTERS)]))[: len(own) - -(-percent * len(own) // 100) + 1]
-                prefix.append(own[order].tobytes() if len(own) else None)
-                bitmaps.append(bitmap(own, bits(len(own))).tobytes() if len(own) else None)
-            numbers = [pa.array(x, pa.int64()) for x in (n, h1, h2, band(np.array(n, np.int64), percent))]
+            n, h1, h2, prefix, bitmaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+            for hashes, sizes in run_sets(batch.column(1), size):
+                n.append(sizes)
+                h1.append(sums(mixed(hashes), sizes))
+                h2.append(sums(mixed(hashes ^ _ALSO[0]), sizes))
+                rank, places = counts[hashes % U64(COUNTERS)], mixed(hashes ^ _ALSO[1])
+                ends = np.cumsum(sizes)
+                for start, end, m in zip((ends - sizes).tolist(), ends.tolist(), sizes.tolist(), strict=True):
+                    order = np.argsort(rank[start:end], kind="stable")[: m - -(-percent * m // 100) + 1]
+                    prefix.append(hashes[start:end][order].tobytes() if m else None)
+                    bitmaps.append(flipped(places[start:end], bits(m)).tobytes() if m else None)
+            n, h1, h2 = (np.concatenate(x) for x in (n, h1, h2))
+            numbers = [pa.array(x, pa.int64()) for x in (n, h1, h2, band(n, percent))]
             columns = [batch.column(0), *numbers, pa.array(prefix, pa.binary()), pa.array(bitmaps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "h1", "h2", "band", "prefix", "bitmap"])
 

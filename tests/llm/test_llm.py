@@ -727,6 +727,47 @@ def test_lists_of_deviations_are_open_however_full_the_counters_are(spark, monke
     assert near_dedup.deviation_lists(apart, 80, one).count() == 0
 
 
+def test_members_of_one_side_make_no_lists(spark):
+    """Two members share fewer deviations than a link asks for; posted for partners that are more like their leader, of
+    which there are three that share none, they met each other."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    leader, both = draw(100), draw(10)
+    sets = [leader, *(np.concatenate([leader[:k], leader[k + 20 :], draw(20)]) for k in (30, 50, 70)), *(np.concatenate([leader[30:], both, draw(20)]) for _ in range(2))]
+    sets = spark.createDataFrame([(i, np.sort(x).tobytes()) for i, x in enumerate(sets)], "id bigint, shingles binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 6)], "a bigint, b bigint")
+    apart = near_dedup.written(near_dedup.deviations(pairs, sets, 80), "apart")
+    assert sorted(r["class"] for r in apart.collect()) == [6, 6, 6, 8, 8]
+    assert near_dedup.deviation_lists(apart, 80).count() == 0
+
+
+def test_linked_members_meet_on_both_sides_of_a_list(spark):
+    """Members from like their leader to unlike it, in steps: each linked pair of which one is not linked to the leader,
+    by brute force, is in a list, and its weights are no less than `least` tells."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    leader, own = draw(100), draw(100)
+    sets = [leader]
+    for k in range(0, 100, 4):
+        for _ in range(2):
+            kept = np.concatenate([leader[k:], own[:k]])
+            sets.append(np.concatenate([rng.choice(kept, 98, replace=False), draw(int(rng.integers(0, 9)))]))
+    frame = spark.createDataFrame([(i, np.sort(x).tobytes()) for i, x in enumerate(sets)], "id bigint, shingles binary")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(sets))], "a bigint, b bigint")
+    apart = near_dedup.written(near_dedup.deviations(pairs, frame, 80), "apart")
+    by = {r["b"]: r for r in apart.collect()}
+    found = near_dedup.deviation_lists(apart, 80).toPandas()
+    met = {p for _, g in found.groupby("key") for x, s in zip(g["id"], g["side"]) for y, t in zip(g["id"], g["side"]) if x < y and (s != t or s == near_dedup.BOTH) for p in [(x, y)]}
+    wanted = set()
+    for x in by:
+        for y in range(x + 1, len(sets)):
+            if near_dedup.alike(len(sets[x]), len(sets[y]), len(np.intersect1d(sets[x], sets[y])), 80):
+                assert by[x]["weight"] >= by[y]["least"] and by[y]["weight"] >= by[x]["least"]
+                if max(by[x]["class"], by[y]["class"]) > near_dedup.LINKED:
+                    wanted.add((x, y))
+    assert len(wanted) > 50 and len({by[x]["class"] for p in wanted for x in p}) > 4 and wanted <= met
+
+
 def test_near_groups_of_awkward_texts(spark, awkward, none):
     out = near_dedup.near_groups(clashing(awkward), size=4).collect()
     by_id = {r["doc_id"]: r for r in out if r["doc_id"] != 3}
